@@ -1,0 +1,5 @@
+"""No streaming operator exists here: every job of this library is a batch job.
+
+The row-wise operators (``operators.cleaning``, ``operators.mentions`` with a
+broadcast security table) hold no state, so they also accept a streaming frame.
+"""
