@@ -10,7 +10,9 @@ from pyspark.sql import Column, functions as F
 TICKER_TOKEN = r"\$?[A-Z]{1,5}(?![A-Za-z0-9_])"
 URL = r"https?://\S+|www\.\S+"
 MARKDOWN = r"[*_`>~\[\]\(\)]"
-WHITESPACE = r"\s+"
+# Runs of whitespace and lone non-spaces; a lone space needs no replacing.
+WHITESPACE = r"\s{2,}|[\t\n\x0B\f\r]"
+URL_HINTS = ("://", "www.")
 PLACEHOLDERS = ("[removed]", "[deleted]")
 
 
@@ -52,7 +54,10 @@ def has_real_text(text: Column | str) -> Column:
 
 
 def strip_urls(text: Column | str) -> Column:
-    return F.regexp_replace(_col(text), URL, " ")
+    """Links replaced by a space. Most texts hold none and skip the pattern."""
+    c = _col(text)
+    maybe = reduce(lambda a, b: a | b, (c.contains(hint) for hint in URL_HINTS))
+    return F.when(maybe, F.regexp_replace(c, URL, " ")).otherwise(c)
 
 
 def strip_markdown(text: Column | str) -> Column:

@@ -26,17 +26,25 @@ def parse_returns(raw: DataFrame) -> DataFrame:
     )
 
 
-def _volatility(over, size: int, min_periods: int | None):
-    frame = over.rowsBetween(-(size - 1), 0)
-    root = F.sqrt(F.sum(F.col("ret") * F.col("ret")).over(frame))
-    if min_periods:
-        return F.when(F.count("ret").over(frame) >= F.lit(min(min_periods, size)), root)
-    return root
+def _panel_columns(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], windows: Sequence[int], min_periods: int | None
+) -> DataFrame:
+    """``df`` with vol_w and y_w; both window steps share one sort."""
+    over = f"PARTITION BY {_names(keys)} ORDER BY {_names(order)}"
+
+    def volatility(size: int) -> str:
+        frame = f"OVER ({over} ROWS BETWEEN {size - 1} PRECEDING AND CURRENT ROW)"
+        root = f"sqrt(sum(ret * ret) {frame})"
+        if min_periods:
+            return f"CASE WHEN count(ret) {frame} >= {min(min_periods, size)} THEN {root} END"
+        return root
+
+    vols = df.selectExpr("*", *[f"{volatility(w)} AS vol_{w}" for w in windows])
+    return vols.selectExpr("*", *[f"lead(vol_{w}) OVER ({over}) AS y_{w}" for w in windows])
 
 
-def _panel_columns(df: DataFrame, over, windows: Sequence[int], min_periods: int | None, kept: Sequence[str]):
-    vols = df.select(*kept, *[_volatility(over, w, min_periods).alias(f"vol_{w}") for w in windows])
-    return vols.select("*", *[F.lead(f"vol_{w}").over(over).alias(f"y_{w}") for w in windows])
+def _names(columns: Sequence[str]) -> str:
+    return ", ".join(f"`{c}`" for c in columns)
 
 
 def volatility_panel(
@@ -65,8 +73,7 @@ def volatility_panel(
         split = not unique_days and _longest_series(returns) > LONG_SERIES_ROWS
     if split:
         return _chunked_panel(returns, windows, min_periods, tie_break, chunk_rows)
-    over = Window.partitionBy("PERMNO").orderBy("date", *tie_break)
-    return _panel_columns(returns, over, windows, min_periods, returns.columns)
+    return _panel_columns(returns, ["PERMNO"], ["date", *tie_break], windows, min_periods)
 
 
 def _longest_series(returns: DataFrame) -> int:
@@ -115,8 +122,7 @@ def _chunked_panel(
         )
     )
     copied = placed.select(*kept, "_pos", own.alias("_own"), F.explode(copies).alias("_chunk"))
-    over = Window.partitionBy("PERMNO", "_chunk").orderBy("_pos")
-    panel = _panel_columns(copied, over, windows, min_periods, [*kept, "_own", "_chunk", "_pos"])
+    panel = _panel_columns(copied, ["PERMNO", "_chunk"], ["_pos"], windows, min_periods)
     return panel.filter("_own = _chunk").drop("_own", "_chunk", "_pos")
 
 

@@ -7,31 +7,35 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from volscribe.operators.panel import parse_returns, volatility_panel
-from volscribe.session import configure, work_folder
+from volscribe.session import configure, spread, work_folder
 from volscribe.sources.ndjson import standardize, union_posts_comments
 from volscribe.sources.tables import prepare_securities
 
 # Securities whose tickers occur in the texts.
-CORE_SECURITIES = [
-    ("the", "19950101", "20011231", 0),
-    ("OF", "19950101", "19981231", 1),
-    ("OF", "19990101", "20011231", 1),
-    ("DE", "19960101", "20001231", 2),
-    ("TO", "19950101", "20011231", 3),
-    ("AND", "19970615", "20011231", 4),
-    ("LA", "19950101", "20011231", 5),
-    ("IN", "19950101", "19991231", 6),
-    ("DER", "19950101", "20011231", 7),
-    ("A", "19950101", "20011231", 8),
-    ("WAS", "19950101", "20011231", 9),
-    ("ON", "bad", "20011231", 9),
-    (None, "19950101", "20011231", 9),
-]
+CORE_SECURITIES = """
+    ('the', '19950101', '20011231', 0),
+    ('OF', '19950101', '19981231', 1),
+    ('OF', '19990101', '20011231', 1),
+    ('DE', '19960101', '20001231', 2),
+    ('TO', '19950101', '20011231', 3),
+    ('AND', '19970615', '20011231', 4),
+    ('LA', '19950101', '20011231', 5),
+    ('IN', '19950101', '19991231', 6),
+    ('DER', '19950101', '20011231', 7),
+    ('A', '19950101', '20011231', 8),
+    ('WAS', '19950101', '20011231', 9),
+    ('ON', 'bad', '20011231', 9),
+    (NULL, '19950101', '20011231', 9)
+"""
+ADVERT = "**Buy** $A now https://x.example.org/a?b=1 (see [this](www.y.example.com/z)) "
 FIRST_SECOND = 788918400
 
+_schemas: dict[str, StructType] = {}
+
 
 class Inputs:
     def __init__(self, spark: SparkSession, folder: str):
@@ -39,40 +43,31 @@ class Inputs:
         self.folder = folder
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        path = f"{self.folder}/{name}.parquet"
+        if path not in _schemas:
+            _schemas[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_schemas[path]).parquet(path)
 
     # -- texts -----------------------------------------------------------------
 
     def raw_posts(self) -> DataFrame:
-        doc, text = F.col("doc_id"), F.col("text")
-        advert = F.lit(
-            "**Buy** $A now https://x.example.org/a?b=1 (see [this](www.y.example.com/z)) "
-        )
-        body = (
-            F.when(doc % 25 == 1, F.lit("[removed]"))
-            .when(doc % 25 == 2, F.lit(" [Deleted] "))
-            .when(doc % 25 == 3, F.lit("   "))
-            .when(doc % 25 == 4, F.lit(None).cast("string"))
-            .when(doc % 10 == 0, F.concat(advert, text))
-            .otherwise(text)
-        )
-        return self.table("documents").select(
-            F.concat(F.lit("p"), doc.cast("string")).alias("id"),
-            (F.lit(FIRST_SECOND) + ((doc * 37) % 2400) * 86400 + (doc % 24) * 3600).cast("string").alias("created_utc"),
-            F.col("source").alias("subreddit"),
-            F.when(doc % 3 == 0, F.concat(F.lit("Title $OF "), doc.cast("string"))).alias("title"),
-            body.alias("selftext"),
+        documents = self.table("documents").select("doc_id", "text", "source")
+        return spread(documents, "doc_id").selectExpr(
+            "concat('p', doc_id) AS id",
+            f"cast({FIRST_SECOND} + ((doc_id * 37) % 2400) * 86400 + (doc_id % 24) * 3600 AS string) AS created_utc",
+            "source AS subreddit",
+            "CASE WHEN doc_id % 3 = 0 THEN concat('Title $OF ', doc_id) END AS title",
+            f"""CASE WHEN doc_id % 25 = 1 THEN '[removed]' WHEN doc_id % 25 = 2 THEN ' [Deleted] '
+                     WHEN doc_id % 25 = 3 THEN '   ' WHEN doc_id % 25 = 4 THEN NULL
+                     WHEN doc_id % 10 = 0 THEN concat('{ADVERT}', text) ELSE text END AS selftext""",
         )
 
     def raw_comments(self) -> DataFrame:
-        conv, turn, text = F.col("conv_id"), F.col("turn"), F.col("text")
-        return self.table("conversations").select(
-            F.concat(F.lit("c"), conv.cast("string"), F.lit("_"), turn.cast("string")).alias("id"),
-            (F.lit(FIRST_SECOND) + ((conv * 53 + turn) % 2400) * 86400 + (turn % 24) * 3600)
-            .cast("string")
-            .alias("created_utc"),
-            F.col("role").alias("subreddit"),
-            F.when((conv + turn) % 4 == 0, F.concat(text, F.lit(" $TO $OF moon"))).otherwise(text).alias("body"),
+        return self.table("conversations").selectExpr(
+            "concat('c', conv_id, '_', turn) AS id",
+            f"cast({FIRST_SECOND} + ((conv_id * 53 + turn) % 2400) * 86400 + (turn % 24) * 3600 AS string) AS created_utc",
+            "role AS subreddit",
+            "CASE WHEN (conv_id + turn) % 4 = 0 THEN concat(text, ' $TO $OF moon') ELSE text END AS body",
         )
 
     def posts(self) -> DataFrame:
@@ -87,25 +82,19 @@ class Inputs:
     # -- securities ------------------------------------------------------------
 
     def core_securities(self) -> DataFrame:
-        rows = [
-            F.struct(
-                F.lit(ticker).cast("string").alias("Ticker"), F.lit(start).alias("SecInfoStartDt"),
-                F.lit(end).alias("SecInfoEndDt"), F.lit(number).cast("bigint").alias("PERMNO"),
-            )
-            for ticker, start, end, number in CORE_SECURITIES
-        ]
-        return self.spark.range(1).select(F.inline(F.array(*rows)))
+        return self.spark.sql(
+            f"""SELECT Ticker, SecInfoStartDt, SecInfoEndDt, cast(PERMNO AS bigint) AS PERMNO
+                FROM VALUES {CORE_SECURITIES} AS v(Ticker, SecInfoStartDt, SecInfoEndDt, PERMNO)"""
+        )
 
     def raw_securities(self) -> DataFrame:
         """The core securities and one more per supplier, some with bad or no data."""
-        key = F.col("s_suppkey")
-        listed = self.table("supplier").select(
-            F.when(key % 7 != 0, F.concat(F.lit("zq"), key.cast("string"))).alias("Ticker"),
-            F.when(key % 11 == 0, F.lit("n/a"))
-            .otherwise(F.date_format(F.date_add(F.lit("1995-01-01").cast("date"), (key % 1000).cast("int")), "yyyyMMdd"))
-            .alias("SecInfoStartDt"),
-            F.lit("20011231").alias("SecInfoEndDt"),
-            (key % 10).cast("bigint").alias("PERMNO"),
+        listed = self.table("supplier").selectExpr(
+            "CASE WHEN s_suppkey % 7 <> 0 THEN concat('zq', s_suppkey) END AS Ticker",
+            """CASE WHEN s_suppkey % 11 = 0 THEN 'n/a'
+               ELSE date_format(date_add(DATE '1995-01-01', cast(s_suppkey % 1000 AS int)), 'yyyyMMdd') END AS SecInfoStartDt""",
+            "'20011231' AS SecInfoEndDt",
+            "s_suppkey % 10 AS PERMNO",
         )
         return self.core_securities().unionByName(listed)
 
@@ -116,24 +105,23 @@ class Inputs:
 
     def prices(self, grain: str) -> DataFrame:
         """Mean unit price per security and day; 'symbol' folds securities into ten."""
-        key = F.col("l_suppkey") if grain == "wide" else F.col("l_suppkey") % 10
-        return (
-            self.table("lineitem")
-            .groupBy(key.cast("bigint").alias("PERMNO"), F.col("l_shipdate").cast("date").alias("date"))
-            .agg(F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("p"))
+        key = "l_suppkey" if grain == "wide" else "l_suppkey % 10"
+        lines = self.table("lineitem").selectExpr(
+            f"{key} AS PERMNO", "cast(l_shipdate AS date) AS date", "l_extendedprice / l_quantity AS unit"
         )
+        return lines.groupBy("PERMNO", "date").agg(F.avg("unit").alias("p"))
 
     def raw_returns(self, grain: str = "wide") -> DataFrame:
-        over = Window.partitionBy("PERMNO").orderBy("date")
-        change = self.prices(grain).withColumn("r", F.lit(0.02) * F.ln(F.col("p") / F.lag("p").over(over)))
-        digits = F.round("r", 6).cast("decimal(12,6)").cast("string")
-        day = F.dayofmonth("date")
-        return change.select(
+        digits = "cast(cast(round(r, 6) AS decimal(12, 6)) AS string)"
+        change = self.prices(grain).selectExpr(
+            "PERMNO", "date", "0.02D * ln(p / lag(p) OVER (PARTITION BY PERMNO ORDER BY date)) AS r"
+        )
+        return change.selectExpr(
             "PERMNO",
-            F.date_format("date", "yyyyMMdd").alias("date"),
-            F.when(day % 11 == 0, F.lit("C")).when(day % 13 == 0, F.lit("")).otherwise(digits).alias("RET"),
-            F.when(day % 22 == 0, F.lit("B")).otherwise(digits).alias("RETX"),
-            F.when((day == 22) & (F.month("date") == 6), F.lit("-0.5")).alias("DLRET"),
+            "date_format(date, 'yyyyMMdd') AS date",
+            f"CASE WHEN day(date) % 11 = 0 THEN 'C' WHEN day(date) % 13 = 0 THEN '' ELSE {digits} END AS RET",
+            f"CASE WHEN day(date) % 22 = 0 THEN 'B' ELSE {digits} END AS RETX",
+            "CASE WHEN day(date) = 22 AND month(date) = 6 THEN '-0.5' END AS DLRET",
         )
 
     def returns(self, grain: str = "wide") -> DataFrame:
@@ -149,15 +137,13 @@ class Inputs:
         vectors = self.table("embeddings")
         number = vectors.agg(F.count("*")).scalar()
         docs = self.table("documents").select(
-            F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("id"), (F.col("doc_id") % number).alias("vec_id")
+            F.expr("concat('p', doc_id)").alias("id"), (F.col("doc_id") % number).alias("vec_id")
         )
-        return docs.join(vectors.select("vec_id", F.col("embedding").alias("embed")), "vec_id").select("id", "embed")
+        return docs.join(vectors.selectExpr("vec_id", "embedding AS embed"), "vec_id").select("id", "embed")
 
     def ticker_map(self) -> DataFrame:
-        core = self.core_securities().na.drop(subset=["Ticker"]).select(F.upper("Ticker").alias("TICKER"), "PERMNO")
-        days = self.table("lineitem").select(
-            (F.col("l_suppkey") % 10).cast("bigint").alias("PERMNO"), F.col("l_shipdate").cast("date").alias("DATE")
-        )
+        core = self.core_securities().selectExpr("upper(Ticker) AS TICKER", "PERMNO").na.drop(subset=["TICKER"])
+        days = self.table("lineitem").selectExpr("l_suppkey % 10 AS PERMNO", "cast(l_shipdate AS date) AS DATE")
         # Ten or so tickers from a list in this file; days are made distinct first.
         return days.distinct().join(F.broadcast(core.distinct()), "PERMNO").select("DATE", "TICKER", "PERMNO")
 

@@ -7,22 +7,14 @@ import re
 from volscribe.plans.datasets import CORE_SECURITIES
 
 
-def _literal(value) -> str:
-    return "NULL" if value is None else f"'{value}'" if isinstance(value, str) else str(value)
-
-
-_VALUES = ", ".join("(" + ", ".join(map(_literal, row)) + ")" for row in CORE_SECURITIES)
-
-
-# Added before rounding, in units of the last digit kept: exact halves, which the
-# engines may round either way after summing in another order, are moved off the edge.
-EDGE = 0.0317
+# Rounds half up, but with the edge a little below the exact half: exact halves are
+# common among short decimals, and sums taken in another order may fall either side.
+EDGE = 0.5317
 
 
 def rounded(value: str, digits: int = 6) -> str:
-    """Rounded, with tiny values of either sign as plain zero."""
-    moved = f"({value} + CAST({EDGE * 10 ** -digits!r} AS DOUBLE))"
-    return f"CASE WHEN abs({moved}) < CAST({0.5 * 10 ** -digits!r} AS DOUBLE) THEN CAST(0.0 AS DOUBLE) ELSE round({moved}, {digits}) END"
+    scale = f"CAST({10 ** digits} AS DOUBLE)"
+    return f"floor(({value}) * {scale} + CAST({EDGE} AS DOUBLE)) / {scale}"
 
 
 def _prices(key: str) -> str:
@@ -112,7 +104,7 @@ TABLES: dict[str, str] = {
     SELECT *, false AS is_comment FROM posts UNION ALL SELECT *, true AS is_comment FROM comments""",
     "core_securities": (
         "SELECT Ticker, SecInfoStartDt, SecInfoEndDt, CAST(PERMNO AS BIGINT) AS PERMNO "
-        f"FROM (VALUES {_VALUES}) v(Ticker, SecInfoStartDt, SecInfoEndDt, PERMNO)"
+        f"FROM (VALUES {CORE_SECURITIES}) v(Ticker, SecInfoStartDt, SecInfoEndDt, PERMNO)"
     ),
     "raw_securities": """
     SELECT * FROM core_securities UNION ALL

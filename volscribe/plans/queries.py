@@ -38,13 +38,15 @@ def query(name: str, oracle: str | None = None):
 
 
 def rounded(c: Column | str, digits: int = 6) -> Column:
-    c = F.col(c) if isinstance(c, str) else c
-    moved = c + F.lit(sql.EDGE * 10**-digits)
-    return F.when(F.abs(moved) < F.lit(0.5 * 10**-digits), F.lit(0.0)).otherwise(F.round(moved, digits))
+    """The counterpart of ``oracle.rounded``, the same arithmetic on doubles."""
+    scale = float(10**digits)
+    if isinstance(c, str):
+        return F.expr(f"floor({c} * {scale}D + {sql.EDGE}D) / {scale}D")
+    return F.floor(c * F.lit(scale) + F.lit(sql.EDGE)) / F.lit(scale)
 
 
 def day(c: Column | str) -> Column:
-    return (F.col(c) if isinstance(c, str) else c).cast("string")
+    return F.expr(f"cast({c} AS string)") if isinstance(c, str) else c.cast("string")
 
 
 R, DAY = sql.rounded, "CAST({} AS VARCHAR)".format
@@ -103,7 +105,10 @@ PANEL_OUT = f"PERMNO, {DAY('date')} AS date, " + ", ".join(
 
 def panel_out(df: DataFrame) -> DataFrame:
     values = [c for c in df.columns if c not in ("PERMNO", "date")]
-    return df.select(F.col("PERMNO").cast("bigint").alias("PERMNO"), day("date").alias("date"), *[rounded(c).alias(c) for c in values])
+    return df.selectExpr(
+        "cast(PERMNO AS bigint) AS PERMNO", "cast(date AS string) AS date",
+        *[f"floor({c} * 1e6D + {sql.EDGE}D) / 1e6D AS {c}" for c in values],
+    )
 
 
 @query(

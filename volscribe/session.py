@@ -83,22 +83,30 @@ def written(df: DataFrame, label: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal rows out by ``key`` when the input has fewer splits than there are cores.
+
+    For costly row-wise work on a few unsplittable files. An input with enough
+    splits, as any large one, is left as it is and not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def measured_bytes(df: DataFrame) -> int:
     """In-memory size of ``df``, from one aggregate over its columns."""
-    width = F.lit(ROW_OVERHEAD_BYTES)
+    parts = [str(ROW_OVERHEAD_BYTES)]
     for field in df.schema:
-        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
-            width = width + F.coalesce(F.octet_length(field.name), F.lit(0))
-        elif isinstance(field.dataType, T.ArrayType):
-            item = getattr(field.dataType.elementType, "typeName", lambda: "")()
-            if item in ("string", "array", "map", "struct"):
-                raise TypeError(f"cannot size column {field.name}")
-            width = width + F.greatest(F.size(field.name), F.lit(0)) * 8
-        elif isinstance(field.dataType, (T.MapType, T.StructType)):
+        kind = field.dataType
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            parts.append(f"coalesce(octet_length(`{field.name}`), 0)")
+        elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.NumericType):
+            parts.append(f"coalesce(cardinality(`{field.name}`), 0) * 8")
+        elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
             raise TypeError(f"cannot size column {field.name}")
         else:
-            width = width + 8
-    return int(df.agg(F.coalesce(F.sum(width.cast("long")), F.lit(0))).first()[0])
+            parts.append("8")
+    return int(df.agg(F.expr(f"coalesce(sum(cast({' + '.join(parts)} AS bigint)), 0)")).first()[0])
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
