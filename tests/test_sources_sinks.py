@@ -121,7 +121,7 @@ def test_hot_key_is_written_by_several_tasks(spark, tmp_path):
         for name, value in before.items():
             spark.conf.set(name, value)
     files = {k.name: len(list(k.glob("*.parquet"))) for k in path.glob("PERMNO=*")}
-    assert files["PERMNO=1"] > 3 and min(files.values()) <= 2
+    assert files["PERMNO=1"] > 3
     assert spark.read.parquet(str(path)).count() == 200_000
 
 

@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# A lone capital letter is a status flag, not a number.
-FLAG = r"^[A-Z]$"
+# How much of an md5 makes a number.
 MD5_HEAD = 8
 MD5_HEAD_RANGE = 16**MD5_HEAD
 
 
 def numeric_with_flags(text: Column | str) -> Column:
-    """Text to double; flags, blanks and anything unparsable become null."""
-    return F.regexp_replace(text, FLAG, "").try_cast("double")
+    """Text to double; one-letter flags, blanks and anything unparsable become null."""
+    return (F.col(text) if isinstance(text, str) else text).try_cast("double")
 
 
 def first_return(*texts: Column | str) -> Column:

@@ -22,35 +22,34 @@ def scatter_sample(panel: DataFrame, keys: Sequence[str], n: int = SCATTER_ROWS)
 
 
 def density(panel: DataFrame, columns: Sequence[str] = SCATTER_COLUMNS, bins: int = 50) -> DataFrame:
-    """Equal-width histogram of each column over all rows, as a share of its rows."""
+    """Equal-width histogram of each column over all rows.
+
+    The spans are one row, read as a scalar subquery. Each row turns into one
+    (metric, bin) pair per column, which are counted before the exchange.
+    """
     spans = panel.agg(
-        *[F.min(c).alias(f"lo_{c}") for c in columns], *[F.max(c).alias(f"hi_{c}") for c in columns]
-    )
-    long = panel.select(
-        F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in columns]))
-    ).na.drop(subset=["value"])
-    limits = spans.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(c).alias("metric"), F.col(f"lo_{c}").alias("lo"), F.col(f"hi_{c}").alias("hi"))
-                    for c in columns
-                ]
-            )
-        )
+        F.struct(
+            *[F.min(c).alias(f"lo_{c}") for c in columns], *[F.max(c).alias(f"hi_{c}") for c in columns]
+        ).alias("_spans")
     )
-    # One row per column, so this broadcast has a fixed size.
-    placed = long.join(F.broadcast(limits), "metric").withColumn(
-        "bin",
-        F.least(
-            F.coalesce(F.floor(F.try_divide(F.col("value") - F.col("lo"), (F.col("hi") - F.col("lo")) / bins)), F.lit(0)),
-            F.lit(bins - 1),
-        ).cast("int"),
+
+    def place(c: str) -> str:
+        width = f"((_spans.hi_{c} - _spans.lo_{c}) / {bins})"
+        bin_of = f"coalesce(floor(try_divide({c} - _spans.lo_{c}, {width})), 0)"
+        return f"named_struct('metric', '{c}', 'bin', cast(least({bin_of}, {bins - 1}) AS int), 'present', {c} IS NOT NULL)"
+
+    counted = (
+        panel.select(*columns, spans.scalar().alias("_spans"))
+        .selectExpr(f"inline(array({', '.join(map(place, columns))}))")
+        .filter("present")
+        .groupBy("metric", "bin")
+        .agg(F.count("*").alias("row_count"))
+        .select("*", spans.scalar().alias("_spans"))
     )
-    return placed.groupBy("metric", "bin").agg(
-        F.count("*").alias("row_count"),
-        (F.min("lo") + F.col("bin") * (F.min("hi") - F.min("lo")) / bins).alias("bin_start"),
+    starts = " ".join(
+        f"WHEN '{c}' THEN _spans.lo_{c} + bin * (_spans.hi_{c} - _spans.lo_{c}) / {bins}" for c in columns
     )
+    return counted.selectExpr("metric", "bin", "row_count", f"CASE metric {starts} END AS bin_start")
 
 
 def correlations(panel: DataFrame, columns: Sequence[str] = SCATTER_COLUMNS) -> DataFrame:

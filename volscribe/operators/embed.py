@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import partial
 
 import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 # Rows per forward pass and vector width of the delivered model.
 BATCH_ROWS = 2048
@@ -72,8 +73,9 @@ def batch_embed(
     dimensions: int = DIMENSIONS,
     batch_rows: int = BATCH_ROWS,
     tasks: int | None = None,
+    keep: Sequence[str] = ("id", "ticker"),
 ) -> DataFrame:
-    """One float vector per token row.
+    """One float vector per token row, beside the columns to ``keep``.
 
     The factory is called once per task; rows go through the encoder in batches
     of ``batch_rows``. ``tasks`` deals the rows out evenly over that many tasks,
@@ -90,21 +92,22 @@ def batch_embed(
                 part = batch.slice(at, batch_rows)
                 ids, mask = (
                     part.column(c).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
-                    for c in (2, 3)
+                    for c in (len(keep), len(keep) + 1)
                 )
                 vectors = np.ascontiguousarray(encoder(ids, mask), dtype=np.float32)
                 if vectors.shape != (part.num_rows, dimensions):
                     raise ValueError(f"encoder gave shape {vectors.shape}, wanted {(part.num_rows, dimensions)}")
                 offsets = np.arange(0, vectors.size + 1, dimensions, dtype=np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.ListArray.from_arrays(offsets, vectors.reshape(-1))],
-                    names=["id", "ticker", "embed"],
+                    [*part.columns[: len(keep)], pa.ListArray.from_arrays(offsets, vectors.reshape(-1))],
+                    names=[*keep, "embed"],
                 )
 
-    narrow = tokens.select("id", "ticker", "input_ids", "attention_mask")
+    narrow = tokens.select(*keep, "input_ids", "attention_mask")
     if tasks:
         narrow = narrow.repartition(tasks)
-    return narrow.mapInArrow(embed, "id string, ticker string, embed array<float>")
+    schema = StructType(narrow.schema.fields[:-2] + [StructField("embed", ArrayType(FloatType()))])
+    return narrow.mapInArrow(embed, schema)
 
 
 def vector_from_array(df: DataFrame, column: str = "embed", out: str = "embed_vec") -> DataFrame:

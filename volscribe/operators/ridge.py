@@ -27,6 +27,10 @@ PENALTIES = (1e-4, 1e-3, 1e-2, 1e-1, 1.0)
 FOLDS = 3
 PARALLELISM = 8
 
+# Tasks that add up cross products. Each sends a matrix per year and fold, about
+# 100 MB with 768 dimensions, so their number must not grow with the rows.
+CROSS_PRODUCT_TASKS = 2000
+
 LAGS = ("c_vol_1", "c_vol_5", "c_vol_22", "c_vol_63")
 LABEL = "c_y_1"
 EMBED = "r_embed"
@@ -67,11 +71,11 @@ def design_rows(
     )
 
 
-def cross_products(rows: DataFrame) -> DataFrame:
+def cross_products(rows: DataFrame, tasks: int = CROSS_PRODUCT_TASKS) -> DataFrame:
     """Upper triangle of Z'Z per (year, fold), with Z = (x, y, 1), one row per matrix row.
 
-    Each task adds up its own matrices and sends those; the sums are then combined
-    before and after the exchange.
+    Rows stream through at most ``tasks`` tasks, without an exchange. Each adds up
+    its own matrices and sends those, however many rows it saw.
     """
 
     def partial_sums(batches: Iterator) -> Iterator:
@@ -101,7 +105,7 @@ def cross_products(rows: DataFrame) -> DataFrame:
                 names=["year", "fold", "i", "values"],
             )
 
-    partial = rows.select(F.year("date").alias("year"), "fold", "x", "y").mapInArrow(
+    partial = rows.select(F.year("date").alias("year"), "fold", "x", "y").coalesce(tasks).mapInArrow(
         partial_sums, "year int, fold int, i int, values array<double>"
     )
     return (

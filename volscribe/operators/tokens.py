@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, ByteType, IntegerType, StructField, StructType
 
 from volscribe.functions.numeric import md5_head
 
@@ -24,6 +25,7 @@ def tokenize_fixed_length(
     pad_token: str = "[PAD]",
     eos_token: str = "[SEP]",
     column: str = "clean_text",
+    keep: Sequence[str] = ("id", "ticker"),
 ) -> DataFrame:
     """Token ids cut and padded to ``max_length`` by a given tokenizer.
 
@@ -47,24 +49,32 @@ def tokenize_fixed_length(
         for batch in batches:
             for at in range(0, batch.num_rows, ENCODE_BATCH):
                 part = batch.slice(at, ENCODE_BATCH)
-                rows = tokenizer.encode_batch([t or "" for t in part.column(2).to_pylist()])
+                # A text that names several tickers sits in as many rows: encode it once.
+                texts_once = part.column(len(keep)).fill_null("").dictionary_encode()
+                rows = tokenizer.encode_batch(texts_once.dictionary.to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(0),
-                        part.column(1),
-                        pa.array([r.ids for r in rows], pa.list_(pa.int32())),
-                        pa.array([r.attention_mask for r in rows], pa.list_(pa.int8())),
+                        *part.columns[: len(keep)],
+                        pa.array([r.ids for r in rows], pa.list_(pa.int32())).take(texts_once.indices),
+                        pa.array([r.attention_mask for r in rows], pa.list_(pa.int8())).take(texts_once.indices),
                     ],
-                    names=["id", "ticker", "input_ids", "attention_mask"],
+                    names=[*keep, "input_ids", "attention_mask"],
                 )
 
-    return texts.select("id", "ticker", column).mapInArrow(
-        encode, "id string, ticker string, input_ids array<int>, attention_mask array<tinyint>"
+    kept = texts.select(*keep, F.col(column).alias("_text"))
+    schema = StructType(
+        kept.schema.fields[:-1]
+        + [StructField("input_ids", ArrayType(IntegerType())), StructField("attention_mask", ArrayType(ByteType()))]
     )
+    return kept.mapInArrow(encode, schema)
 
 
 def tokenize_hashed(
-    texts: DataFrame, max_length: int = SHORT_LENGTH, vocabulary: int = HASH_VOCABULARY, column: str = "clean_text"
+    texts: DataFrame,
+    max_length: int = SHORT_LENGTH,
+    vocabulary: int = HASH_VOCABULARY,
+    column: str = "clean_text",
+    keep: Sequence[str] = ("id", "ticker"),
 ) -> DataFrame:
     """The same output without a vocabulary: words hash to ids 1..vocabulary.
 
@@ -74,11 +84,10 @@ def tokenize_hashed(
     ids = F.transform(
         F.slice(words, 1, max_length), lambda w: (md5_head(w) % F.lit(vocabulary) + 1).cast("int")
     )
-    cut = texts.select("id", "ticker", F.coalesce(ids, F.array().cast("array<int>")).alias("ids"))
+    cut = texts.select(*keep, F.coalesce(ids, F.array().cast("array<int>")).alias("ids"))
     missing = F.lit(max_length) - F.size("ids")
     return cut.select(
-        "id",
-        "ticker",
+        *keep,
         F.concat("ids", F.array_repeat(F.lit(PAD_ID), missing)).alias("input_ids"),
         F.concat(
             F.transform("ids", lambda _: F.lit(1).cast("tinyint")),

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from volscribe.functions.text import clean, has_real_text
 from volscribe.operators.embed import batch_embed
-from volscribe.operators.link import attach_embeddings, attach_security, link_panel, with_created_date
+from volscribe.operators.link import attach_security, link_panel, with_created_date
 from volscribe.operators.mentions import mine_mentions
-from volscribe.operators.ridge import design_rows, ridge_walk_forward
+from volscribe.operators.ridge import LABEL, LAGS, design_rows, ridge_walk_forward
 from volscribe.operators.tokens import tokenize_hashed
 from volscribe.plans.datasets import Inputs
+from volscribe.session import written
 
 
 def clean_mentions(texts: DataFrame, securities: DataFrame, distinct: bool = True) -> DataFrame:
@@ -37,12 +38,18 @@ def linked_with_vectors(inputs: Inputs) -> DataFrame:
 
 
 def text_to_forecast(inputs: Inputs, dimensions: int = 32) -> DataFrame:
-    """Raw texts and returns to ridge forecasts, vectors made by the hashed encoder."""
+    """Raw texts and returns to ridge forecasts, vectors made by the hashed encoder.
+
+    Texts are read once. Short token arrays, not texts or vectors, go through the
+    joins, and only mentions that reach the panel are embedded. The vectors are
+    stored before fitting: they are the costly part to lose with an executor.
+    """
     mentions = clean_mentions(inputs.texts(), inputs.securities())
-    vectors = batch_embed(tokenize_hashed(mentions), dimensions=dimensions)
-    keys = with_created_date(mentions.drop("clean_text"))
-    linked = link_panel(attach_security(keys, inputs.ticker_map()), inputs.panel("symbol"))
-    with_vectors = attach_embeddings(
-        linked.withColumnsRenamed({"r_id": "id", "r_ticker": "ticker"}), vectors
-    ).withColumnsRenamed({"id": "r_id", "ticker": "r_ticker", "embed": "r_embed"})
-    return ridge_walk_forward(design_rows(with_vectors))
+    tokens = tokenize_hashed(mentions, keep=("id", "ticker", "created_utc"))
+    mapped = attach_security(with_created_date(tokens), inputs.ticker_map())
+    linked = link_panel(mapped, inputs.panel("symbol")).withColumnsRenamed(
+        {"r_input_ids": "input_ids", "r_attention_mask": "attention_mask"}
+    )
+    keep = ("r_id", "r_ticker", "PERMNO", "c_date", *LAGS, LABEL)
+    vectors = batch_embed(linked, dimensions=dimensions, keep=keep).withColumnRenamed("embed", "r_embed")
+    return ridge_walk_forward(design_rows(written(vectors, "vectors")))

@@ -31,9 +31,10 @@ def read_lines(spark: SparkSession, path: str, method: str = "jvm") -> DataFrame
     if method == "jvm":
         return spark.read.text(path)
     if method == "python":
-        # Only path and length are selected, so file contents stay unread here.
+        # Only path and length are selected, so file contents stay unread here. The
+        # scan packs files by length, so a large archive gets a task of its own.
         files = spark.read.format("binaryFile").load(path).select("path", "length")
-        return files.repartition("path").mapInPandas(_stream_lines, "value string")
+        return files.mapInPandas(_stream_lines, "value string")
     raise ValueError(f"unknown read method {method!r}")
 
 
