@@ -198,4 +198,9 @@ def test_model_is_saved_and_reloaded(linked, tmp_path):
     save_model(model, path)
     save_model(model, path)
     again = LinearRegressionModel.load(path)
+    fits = ridge.ridge_walk_forward(ridge.design_rows(linked))
+    best, test = ridge.last_window_model(ridge.design_rows(linked), fits)
+    last = fits.orderBy(F.desc("train_start")).first()
+    assert best.getRegParam() == last.best_lambda and test.count() == last.n_test
+    assert np.allclose(evaluate(best, test, "label"), [last.mse, last.r2], rtol=1e-6)
     assert np.allclose(again.coefficients.toArray(), model.coefficients.toArray())

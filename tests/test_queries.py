@@ -13,9 +13,9 @@ TABLES = (
 ).split()
 QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
 
-# No SQL: model fits, and a tokenizer library.
+# No SQL: cross-validated model fits.
 WITHOUT_SQL = {
-    "sink_model", "tokenize_fixed_length", "ridge_cv", "ridge_walk_forward", "ridge_walk_forward_security_day",
+    "sink_model", "ridge_cv", "ridge_cv_spark_ml", "ridge_walk_forward", "ridge_walk_forward_security_day",
     "best_lambda", "text_to_forecast",
 }
 
@@ -54,12 +54,6 @@ def test_every_query_has_sql_but_the_listed_ones():
     assert ORACLES.keys() <= QUERIES.keys()
 
 
-def test_tokenizer_query_covers_every_mention(spark):
-    tokens = QUERIES["tokenize_fixed_length"](spark, SF).collect()
-    assert len(tokens) == QUERIES["clean_mentions"](spark, SF).count()
-    assert {len(r.input_ids.split()) for r in tokens} == {32}
-
-
 def test_entry_gives_rows(spark):
     df = contract.entry(spark)
     assert df.count() > 0

@@ -14,11 +14,12 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame, functions as F
 
+from volscribe.functions.dates import year_range
 from volscribe.functions.numeric import md5_head
 from volscribe.operators.windows import MIN_TRAIN_ROWS, THREE_AND_GAP, Scheme, window_bounds, with_roles
 
@@ -242,3 +243,17 @@ def ridge_cv(
         foldCol=fold_col,
         parallelism=parallelism,
     ).fit(train)
+
+
+def last_window_model(rows: DataFrame, fits: DataFrame) -> tuple[LinearRegressionModel, DataFrame]:
+    """Spark ML model of the latest window with its chosen penalty, and that window's test rows."""
+    last = fits.orderBy(F.desc("train_start")).select(
+        "train_start", "train_end", "test_start", "test_end", "best_lambda"
+    ).first()
+    if last is None:
+        raise ValueError("no window has enough rows to be fitted")
+    train, test = (
+        ml_rows(rows.filter(year_range("date", first, final)))
+        for first, final in ((last.train_start, last.train_end), (last.test_start, last.test_end))
+    )
+    return linear_regression(last.best_lambda).fit(train), test

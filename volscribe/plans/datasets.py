@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from volscribe.operators.panel import parse_returns, volatility_panel
 from volscribe.session import configure, spread, work_folder
-from volscribe.sources.ndjson import standardize, union_posts_comments
+from volscribe.sources.ndjson import open_filesystem, standardize, union_posts_comments
 from volscribe.sources.tables import prepare_securities
 
 # Securities whose tickers occur in the texts.
@@ -163,11 +163,10 @@ def write_archive(records: DataFrame, label: str) -> str:
 
         import pandas as pd
         import zstandard
-        from pyarrow import fs
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId()
-        filesystem, folder = fs.FileSystem.from_uri(path)
+        filesystem, folder = open_filesystem(path)
         filesystem.create_dir(folder)
         final = f"{folder}/part-{number:05d}.ndjson.zst"
         draft = f"{folder}/_draft-{number:05d}-{uuid.uuid4().hex}"

@@ -18,7 +18,7 @@ from volscribe.operators import (
 )
 from volscribe.plans import oracle as sql, pipelines
 from volscribe.plans.datasets import Inputs, write_archive
-from volscribe.session import work_folder
+from volscribe.session import work_folder, written
 from volscribe.sources import ndjson, sinks, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -171,11 +171,14 @@ def sink_parquet_zstd(i: Inputs) -> DataFrame:
 
 @query("sink_model")
 def sink_model(i: Inputs) -> DataFrame:
-    rows = ridge.ml_rows(_design(i))
+    """The last window's model, saved, read back and scored on that window's test year."""
+    rows = written(_design(i), "design")
+    fits = ridge.ridge_walk_forward(rows, min_train_rows=1)
+    model, test = ridge.last_window_model(rows, fits)
     path = work_folder(i.spark, "model")
-    sinks.save_model(ridge.linear_regression(0.1).fit(rows), path)
-    scored = LinearRegressionModel.load(path).transform(rows)
-    return aggregates.regression_metrics(scored)
+    sinks.save_model(model, path)
+    scored = aggregates.regression_metrics(LinearRegressionModel.load(path).transform(test))
+    return scored.select("n", rounded("mse", 8).alias("mse"), rounded("r2").alias("r2"))
 
 
 # ------------------------------------------------------------- filters, projections
@@ -698,10 +701,24 @@ HASHED_IDS = (
 DIMENSIONS = 16
 
 
-@query("tokenize_fixed_length")
+SHORT_WORD_IDS = (
+    "list_concat([2], list_transform(list_filter(string_split(clean_text, ' '), lambda w: w <> '')[1:30], lambda w: "
+    "CASE WHEN regexp_full_match(w, '[a-z]') THEN 4 + ascii(w) - 97 "
+    "WHEN regexp_full_match(w, '[a-z][a-z]') THEN 30 + (ascii(w) - 97) * 26 + ascii(w[2]) - 97 ELSE 1 END), [3])"
+)
+
+
+@query(
+    "tokenize_fixed_length",
+    f"SELECT id, ticker, array_to_string(list_resize({SHORT_WORD_IDS}, 32, 0), ' ') AS input_ids, "
+    f"CAST(len({SHORT_WORD_IDS}) AS INTEGER) AS tokens FROM clean_mentions",
+)
 def tokenize_fixed_length(i: Inputs) -> DataFrame:
-    out = tokens.tokenize_fixed_length(_clean_mentions(i), _spelling_tokenizer())
-    return out.select("id", "ticker", F.array_join("input_ids", " ").alias("input_ids"), F.aggregate("attention_mask", F.lit(0), lambda a, b: a + b).alias("tokens"))
+    out = tokens.tokenize_fixed_length(_clean_mentions(i), _short_word_tokenizer())
+    return out.select(
+        "id", "ticker", F.array_join("input_ids", " ").alias("input_ids"),
+        F.aggregate("attention_mask", F.lit(0), lambda a, b: a + b).alias("tokens"),
+    )
 
 
 @query(
@@ -795,6 +812,14 @@ def ridge_cv(i: Inputs) -> DataFrame:
     return ridge.cv_scores(_ridge(i))
 
 
+@query("ridge_cv_spark_ml")
+def ridge_cv_spark_ml(i: Inputs) -> DataFrame:
+    """The library's own cross-validation over all rows, for comparison."""
+    rows = ridge.ml_rows(written(_design(i), "design"))
+    errors = ridge.ridge_cv(rows).avgMetrics
+    return i.spark.createDataFrame(list(zip(ridge.PENALTIES, map(float, errors))), "penalty double, cv_mse double")
+
+
 @query("ridge_walk_forward")
 def ridge_walk_forward(i: Inputs) -> DataFrame:
     return _ridge(i).select(
@@ -914,17 +939,16 @@ def _total(values: Column, digits: int) -> Column:
     return rounded(F.aggregate(values, F.lit(0.0), lambda a, b: a + b), digits)
 
 
-def _spelling_tokenizer() -> str:
-    """A tokenizer that spells words: its vocabulary is letters and digits by rule."""
+def _short_word_tokenizer() -> str:
+    """A tokenizer that knows every word of one or two letters, numbered by rule."""
     import string
 
-    from tokenizers import Tokenizer, models, normalizers, pre_tokenizers, processors
+    from tokenizers import Tokenizer, models, pre_tokenizers, processors
 
-    symbols = string.ascii_lowercase + string.digits + string.punctuation
-    entries = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", *symbols, *(f"##{s}" for s in symbols)]
+    letters = string.ascii_lowercase
+    entries = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", *letters, *(a + b for a in letters for b in letters)]
     vocabulary = {entry: number for number, entry in enumerate(entries)}
-    tokenizer = Tokenizer(models.WordPiece(vocabulary, unk_token="[UNK]"))
-    tokenizer.normalizer = normalizers.BertNormalizer(lowercase=True)
-    tokenizer.pre_tokenizer = pre_tokenizers.BertPreTokenizer()
+    tokenizer = Tokenizer(models.WordLevel(vocabulary, unk_token="[UNK]"))
+    tokenizer.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
     tokenizer.post_processor = processors.BertProcessing(("[SEP]", vocabulary["[SEP]"]), ("[CLS]", vocabulary["[CLS]"]))
     return tokenizer.to_str()

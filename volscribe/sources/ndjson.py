@@ -38,16 +38,24 @@ def read_lines(spark: SparkSession, path: str, method: str = "jvm") -> DataFrame
     raise ValueError(f"unknown read method {method!r}")
 
 
+def open_filesystem(path: str):
+    """Arrow file system and inner path for a path as Spark spells it."""
+    from pyarrow import fs
+
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = "file://" + path.removeprefix("file:")
+    if path.startswith("s3a://"):
+        path = "s3://" + path.removeprefix("s3a://")
+    return fs.FileSystem.from_uri(path)
+
+
 def _stream_lines(batches: Iterator) -> Iterator:
     import pandas as pd
     import zstandard
-    from pyarrow import fs
 
     for batch in batches:
         for path in batch["path"]:
-            if path.startswith("file:/") and not path.startswith("file://"):
-                path = "file://" + path[len("file:"):]
-            filesystem, inner = fs.FileSystem.from_uri(path)
+            filesystem, inner = open_filesystem(path)
             with filesystem.open_input_stream(inner, compression=None) as raw:
                 stream = raw
                 if path.endswith((".zst", ".zstd")):

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from volscribe.functions.dates import compact_date_epoch
+from volscribe.session import broadcast_if_small, written
 
 # Column names of the two delivered CSV files.
 SECURITY_COLUMNS = ("Ticker", "SecInfoStartDt", "SecInfoEndDt")
@@ -46,10 +47,14 @@ def read_projected(spark: SparkSession, path: str, columns: Sequence[str]) -> Da
 def read_partitions(spark: SparkSession, path: str, key: str, wanted: Sequence | DataFrame) -> DataFrame:
     """Only the folders of the wanted keys of a table partitioned by ``key``.
 
-    A short literal list becomes a partition filter. A table of keys is joined
-    instead; when it is small, dynamic partition pruning skips the folders.
+    A short literal list becomes a partition filter. A table of keys is stored once
+    and semi-joined; while it is small enough to broadcast, dynamic partition pruning
+    skips the other folders. Pruning asks for a filter on the keys, so they get the
+    range they lie in anyway.
     """
     table = spark.read.parquet(path)
-    if isinstance(wanted, DataFrame):
-        return table.join(wanted.select(key).distinct(), key, "left_semi")
-    return table.filter(F.col(key).isin(*wanted))
+    if not isinstance(wanted, DataFrame):
+        return table.filter(F.col(key).isin(*wanted))
+    keys = written(wanted.select(key).distinct(), "keys")
+    low, high = keys.agg(F.min(key), F.max(key)).first()
+    return table.join(broadcast_if_small(keys.filter(F.col(key).between(low, high))), key, "left_semi")
