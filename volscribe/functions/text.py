@@ -12,6 +12,8 @@ URL = r"https?://\S+|www\.\S+"
 MARKDOWN = r"[*_`>~\[\]\(\)]"
 # Runs of whitespace and lone non-spaces; a lone space needs no replacing.
 WHITESPACE = r"\s{2,}|[\t\n\x0B\f\r]"
+# The two above at once: runs of marks and whitespace, but not a lone space.
+MARKDOWN_OR_WHITESPACE = r"[*_`>~\[\]()\t\n\x0B\f\r][*_`>~\[\]()\s]*| [*_`>~\[\]()\s]+"
 URL_HINTS = ("://", "www.")
 PLACEHOLDERS = ("[removed]", "[deleted]")
 
@@ -69,5 +71,9 @@ def squeeze_space(text: Column | str) -> Column:
 
 
 def clean(text: Column | str) -> Column:
-    """URLs out, lower case, markdown out, single spaces, no outer spaces."""
-    return reduce(lambda c, step: step(c), (strip_urls, F.lower, strip_markdown, squeeze_space), _col(text))
+    """URLs out, lower case, markdown out, single spaces, no outer spaces.
+
+    Marks become spaces and runs of spaces one space, so both are replaced in a
+    single scan of the text.
+    """
+    return F.trim(F.regexp_replace(F.lower(strip_urls(text)), MARKDOWN_OR_WHITESPACE, " "))

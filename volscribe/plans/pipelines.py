@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from volscribe.functions.text import clean, has_real_text
+from volscribe.functions.text import clean
+from volscribe.operators.cleaning import filter_placeholder_text
 from volscribe.operators.embed import batch_embed
 from volscribe.operators.link import attach_security, link_panel, with_created_date
 from volscribe.operators.mentions import mine_mentions
@@ -15,13 +16,14 @@ from volscribe.session import written
 
 
 def clean_mentions(texts: DataFrame, securities: DataFrame, distinct: bool = True) -> DataFrame:
-    """Mentions with the cleaned text of their post.
+    """Mentions with the cleaned text of their post; tickers are mined from the raw text.
 
-    A text is cleaned once, before it is repeated for each ticker it names.
-    Tickers are mined from the raw text.
+    Cleaning comes after the join with the securities: most texts name no valid
+    ticker and need none.
     """
-    ready = texts.filter(has_real_text("selftext")).withColumn("clean_text", clean("selftext"))
-    return mine_mentions(ready, securities, ("id", "created_utc", "subreddit", "clean_text"), distinct=distinct)
+    keep = ("id", "created_utc", "subreddit", "selftext")
+    found = mine_mentions(filter_placeholder_text(texts), securities, keep, distinct=distinct)
+    return found.select("id", "created_utc", "subreddit", "ticker", clean("selftext").alias("clean_text"))
 
 
 def mentions_on_panel(texts: DataFrame, securities: DataFrame, ticker_map: DataFrame, panel: DataFrame) -> DataFrame:

@@ -380,7 +380,7 @@ METRICS = (
 
 @query("regression_metrics", f"SELECT CAST(g AS INTEGER) AS test_year, {METRICS} FROM har_pred GROUP BY g")
 def regression_metrics(i: Inputs) -> DataFrame:
-    rows = _har_rows(i)
+    rows = written(_har_rows(i), "har")
     scored = ols.predict(rows, ols.walk_forward(rows))
     out = aggregates.regression_metrics(scored, "y_1", by=("year",))
     return out.select(F.col("year").alias("test_year"), "n", rounded("mse", 8).alias("mse"), rounded("r2").alias("r2"))
@@ -537,7 +537,7 @@ def _sample_sql(n: int, seed: str, columns: str, source: str) -> str:
 
 @query("sample_topn_random", _sample_sql(20_000, "42", f"{R('ret')} AS ret", "ret_wide"))
 def sample_topn_random(i: Inputs) -> DataFrame:
-    return panel_out(sampling.sample_topn_random(i.returns(), ("PERMNO", "date"), 20_000))
+    return panel_out(sampling.sample_topn_random(written(i.returns(), "returns"), ("PERMNO", "date"), 20_000))
 
 
 @query(
@@ -545,7 +545,7 @@ def sample_topn_random(i: Inputs) -> DataFrame:
     _sample_sql(5_000, "scatter", ", ".join(f"{R(c)} AS {c}" for c in diagnostics.SCATTER_COLUMNS), "panel_wide"),
 )
 def scatter_sample(i: Inputs) -> DataFrame:
-    return panel_out(diagnostics.scatter_sample(i.panel(), ("PERMNO", "date")))
+    return panel_out(diagnostics.scatter_sample(written(i.panel(), "panel"), ("PERMNO", "date")))
 
 
 @query(
@@ -777,7 +777,7 @@ def assemble_features(i: Inputs) -> DataFrame:
 
 @query("ols_fit_predict", f"SELECT PERMNO, {DAY('date')} AS date, {R('prediction')} AS prediction FROM har_pred")
 def ols_fit_predict(i: Inputs) -> DataFrame:
-    rows = _har_rows(i)
+    rows = written(_har_rows(i), "har")
     return panel_out(ols.predict(rows, ols.walk_forward(rows)).select("PERMNO", "date", "prediction"))
 
 
@@ -864,7 +864,7 @@ def _density_sql(columns, bins: int) -> str:
 
 @query("fig_scatter_density", _density_sql(diagnostics.SCATTER_COLUMNS, 50))
 def fig_scatter_density(i: Inputs) -> DataFrame:
-    return diagnostics.density(i.panel()).select("metric", "bin", "row_count", rounded("bin_start").alias("bin_start"))
+    return diagnostics.density(written(i.panel().select(*diagnostics.SCATTER_COLUMNS), "panel")).select("metric", "bin", "row_count", rounded("bin_start").alias("bin_start"))
 
 
 @query(
@@ -893,6 +893,7 @@ def mentions_on_panel(i: Inputs) -> DataFrame:
 
 
 # ------------------------------------------------------------------- shared pieces
+# Queries that pass over a derived frame more than once store it first.
 
 
 def _named(i: Inputs) -> DataFrame:
