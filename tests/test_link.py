@@ -40,7 +40,14 @@ def test_embeddings_by_mention_or_by_text(spark, posts):
         ("a", "X", [1.0]), ("a", "Y", [2.0]), ("b", "X", None), ("c", "Z", None)
     ]
     # On the text alone, two mentions meet two vectors: four rows.
-    assert link.attach_embeddings(posts, vectors, on=("id",)).filter("id = 'a'").count() == 4
+    assert link.attach_embeddings(posts, vectors, on=("id",), unique=False).filter("id = 'a'").count() == 4
+
+
+def test_stored_copies_of_a_vector_count_once(spark, posts):
+    copies = spark.range(3000).selectExpr("'a' AS id", "'X' AS ticker", "array(1.0F) AS embed")
+    assert link.attach_embeddings(posts, copies).count() == posts.count()
+    many = spark.range(1000).selectExpr("'a' AS id", "'X' AS ticker", "0L AS created_utc")
+    assert link.attach_embeddings(many, copies).filter("embed[0] = 1.0").count() == 1000
 
 
 def test_prefix(spark):

@@ -23,12 +23,20 @@ def with_created_date(posts: DataFrame) -> DataFrame:
     )
 
 
-def attach_embeddings(posts: DataFrame, embeddings: DataFrame, on: Sequence[str] = ("id", "ticker")) -> DataFrame:
+def attach_embeddings(
+    posts: DataFrame, embeddings: DataFrame, on: Sequence[str] = ("id", "ticker"), unique: bool = True
+) -> DataFrame:
     """Left join of the vectors; texts without one stay, with a null ``embed``.
 
-    ``on=("id",)`` pairs every mention row of a text with every vector row of it.
+    Vectors stored several times under one key count once, so every text row comes
+    out once. Copies are dropped before the exchange the join needs anyway.
+    ``unique=False`` joins them all: with ``on=("id",)`` each mention of a text then
+    meets each of the text's vectors.
     """
-    return posts.join(embeddings.select(*on, "embed"), list(on), "left")
+    vectors = embeddings.select(*on, "embed")
+    if unique:
+        vectors = vectors.dropDuplicates(list(on))
+    return posts.join(vectors, list(on), "left")
 
 
 def attach_security(posts: DataFrame, ticker_map: DataFrame, keep_unmapped: bool = False) -> DataFrame:
