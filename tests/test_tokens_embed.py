@@ -139,3 +139,34 @@ def test_security_day_mean(spark):
 def test_null_arrays_never_reach_the_vector_step(spark):
     df = spark.createDataFrame([(1, [1.0]), (2, None)], "k int, embed array<float>")
     assert embed.vector_from_array(df).count() == 1
+
+
+@pytest.mark.parametrize("inputs", [("input_ids", "attention_mask"), ("input_ids", "attention_mask", "token_type_ids")])
+def test_onnx_encoder_feeds_the_model_and_keeps_the_first_token(monkeypatch, inputs):
+    """No model file is at hand; a stand-in session records what it is given."""
+    import onnxruntime
+
+    seen = {}
+
+    class Input:
+        def __init__(self, name):
+            self.name = name
+
+    class Session:
+        def __init__(self, path, providers):
+            seen["path"] = path
+
+        def get_inputs(self):
+            return [Input(name) for name in inputs]
+
+        def run(self, outputs, feed):
+            seen["feed"] = feed
+            ids = feed["input_ids"].astype(np.float32)
+            return [np.stack([ids, ids * 2], axis=-1)]
+
+    monkeypatch.setattr(onnxruntime, "InferenceSession", Session)
+    encoder = embed.onnx_first_token("model.onnx")()
+    out = encoder(np.array([[5, 6, 0]], dtype=np.int32), np.array([[1, 1, 0]], dtype=np.int8))
+    assert out.tolist() == [[5.0, 10.0]]
+    assert seen["path"] == "model.onnx" and set(seen["feed"]) == set(inputs)
+    assert {v.dtype for v in seen["feed"].values()} == {np.dtype(np.int64)}

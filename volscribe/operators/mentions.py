@@ -54,7 +54,8 @@ def join_validity_interval(
     Overlapping life spans of a ticker repeat its mentions unless ``once``, which
     makes it a semi-join.
     """
-    spans = broadcast_if_small(securities).withColumnRenamed("ticker", "_ticker")
+    narrow = securities.select(F.col("ticker").alias("_ticker"), "start_ts", "end_ts")
+    spans = broadcast_if_small(narrow)
     match = (F.col("ticker") == F.col("_ticker")) & within_life_span(end_inclusive_day)
     joined = mentions.join(spans, match, "left_semi" if once else "inner")
     return joined.select(*mentions.columns)
