@@ -11,7 +11,7 @@ from tests.conftest import SF
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
+from volscribe.plans.queries import ORACLES, QUERIES  # noqa: E402
 
 # No SQL: cross-validated model fits.
 WITHOUT_SQL = {
@@ -54,6 +54,12 @@ def test_every_query_has_sql_but_the_listed_ones():
     assert ORACLES.keys() <= QUERIES.keys()
 
 
+def test_contract_has_all_queries():
+    assert QUERIES.items() <= contract.queries().items()
+    assert ORACLES.items() <= contract.oracle_sql().items()
+    assert contract.oracle_sql().keys() <= contract.queries().keys()
+
+
 def test_entry_gives_rows(spark):
     df = contract.entry(spark)
     assert df.count() > 0
