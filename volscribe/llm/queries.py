@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from volscribe.llm import exact_dedup, fingerprint, language, url_filter
+from volscribe.llm import exact_dedup, fingerprint, language, mixing, packing, substring_dedup, url_filter
 from volscribe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,6 +72,22 @@ def op5_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint.edited_neighbours(table(spark, folder, "documents"))
 
 
+@query("op6_substring_dedup")
+def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.dedup_units(table(spark, folder, "documents"))
+
+
+@query("op7_packing")
+def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op8_mixing")
+def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, folder, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 @query("op10_language_id")
 def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(table(spark, folder, "documents"))
