@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from volscribe.llm import exact_dedup, fingerprint, language, mixing, packing, substring_dedup, url_filter
+from volscribe.llm import exact_dedup, fingerprint, language, mixing, order_minhash, packing, substring_dedup, url_filter
 from volscribe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,6 +67,11 @@ def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, folder, "documents"))
 
 
+@query("op4_near_dedup")
+def op4_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return order_minhash.near_classes(table(spark, folder, "documents"))
+
+
 @query("op5_fingerprints")
 def op5_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint.edited_neighbours(table(spark, folder, "documents"))
