@@ -10,27 +10,49 @@ entry for each length up to the capacity, however many documents there are.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from volscribe.llm.common import id_and_text, shuffle_parts, slices
+from volscribe.llm.common import SLICE_BYTES, id_and_text, shuffle_parts, slices, text_buffer
+from volscribe.llm.words import span_hashes, word_spans
 from volscribe.session import written
 
 CAPACITY = 4096
 END_ID = 1
-# Words a task remembers the ids of, and the longest word it remembers.
-CACHED_WORDS, CACHED_BYTES = 400_000, 64
-_MARKS = re.compile(rb"([A-Za-z]+)([.,;:!?]+)")
+# Distinct words that a worker remembers the ids of.
+CACHED_WORDS = 1_000_000
+# A control character that is a token of its own.
+_BETWEEN = "\x01"
+
+
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+# Second bytes of the letters from U+00C0 to U+00FF.
+_ACCENTED = np.zeros(256, bool)
+_ACCENTED[[b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7)]] = True
+
+
+def without_marks(data: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The spans of words with a full stop or comma at the end, after a letter, as spans of their own."""
+    size, last, before = end - start, data[end - 1], data[end - 2]
+    letter = _LETTER[before] | (_ACCENTED[before] & (data[end - 3] == 0xC3) & (size >= 3))
+    cut = (size >= 2) & ((last == 46) | (last == 44)) & letter
+    at = np.r_[0, np.cumsum(1 + cut)]
+    starts, ends = np.repeat(start, 1 + cut), np.repeat(end, 1 + cut)
+    ends[at[:-1][cut]] -= 1
+    starts[at[:-1][cut] + 1] = end[cut] - 1
+    return starts, ends, at[first]
 
 
 class Encoder:
-    """Token ids of texts as little-endian bytes, encoded word by word and remembered.
+    """Token ids of texts, encoded word by word and remembered by the words' hashes.
 
     For tokenizers that drop white space and never join words across it, as
     ``tests/llm`` checks for the one in use.
@@ -42,33 +64,72 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer)
-        self.known: dict[bytes, bytes] = {}
-
-    def _fresh(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def _learn(self, words: set[bytes]) -> None:
-        """Words of plain letters and the marks after them are remembered apart, in lower case."""
-        parts = {w: [p.lower() for p in m.groups()] for w in words if (m := _MARKS.fullmatch(w))}
-        plain = (words - parts.keys()) | {p for ps in parts.values() for p in ps}
-        plain = list(plain - self.known.keys())
-        self.known.update(zip(plain, self._fresh(plain), strict=True))
-        for word, (letters, marks) in parts.items():
-            self.known[word] = self.known[letters] + self.known[marks]
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        unknown = {w for words in split for w in words if w not in self.known}
-        self._learn(unknown)
-        out = [b"".join(map(self.known.__getitem__, words)) for words in split]
-        for word in unknown:
-            if len(word) > CACHED_BYTES:
-                del self.known[word]
+        (self.between,) = self.tokenizer.encode(_BETWEEN, add_special_tokens=False).ids
+        self._forget()
+
+    def _forget(self) -> None:
+        self.row: dict[int, int] = {}
+        self.ids, self.start, self.count = np.empty(1 << 20, "<u4"), np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int64)
+        self.used = 0
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def fresh(self, words: list[bytes]) -> list[np.ndarray]:
+        """Ids of each word; many words are encoded at once, with a mark between them."""
+        texts = [w.decode() for w in words]
+        out: list[np.ndarray] = []
+        for low in range(0, len(texts), 500):
+            some = texts[low : low + 500]
+            (ids,) = self._ids([f" {_BETWEEN} ".join(some)])
+            marks = np.flatnonzero(ids == self.between)
+            if len(marks) == len(some) - 1:
+                out += [ids[i:j] for i, j in zip([0, *(marks + 1).tolist()], [*marks.tolist(), len(ids)], strict=True)]
+            else:
+                out += self._ids(some)
         return out
 
+    def _learn(self, hashes: list[int], words: list[bytes]) -> None:
+        found = self.fresh(words)
+        counts = np.array([len(x) for x in found], np.int64)
+        rows, high = len(self.row), self.used + int(counts.sum())
+        while high > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        while rows + len(words) > len(self.start):
+            self.start, self.count = (np.concatenate([x, np.empty_like(x)]) for x in (self.start, self.count))
+        self.ids[self.used : high] = np.concatenate(found)
+        self.start[rows : rows + len(words)] = self.used + np.cumsum(counts) - counts
+        self.count[rows : rows + len(words)] = counts
+        self.used = high
+        self.row.update(zip(hashes, range(rows, rows + len(words)), strict=True))
+
+    def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in one array, and where each text's start, with the end last."""
+        if len(self.row) > CACHED_WORDS:
+            self._forget()
+        start, end, first = word_spans(data, at)
+        if not len(start):
+            return np.empty(0, "<u4"), np.zeros(len(at), np.int64)
+        start, end, first = without_marks(data, start, end, first)
+        codes, distinct = pd.factorize(span_hashes(data, start, end))
+        example = np.empty(len(distinct), np.int64)
+        example[codes[::-1]] = np.arange(len(codes))[::-1]
+        hashes, stored = distinct.tolist(), data.tobytes()
+        new = [k for k, h in enumerate(hashes) if h not in self.row]
+        if new:
+            spans = zip(start[example[new]].tolist(), end[example[new]].tolist(), strict=True)
+            self._learn([hashes[k] for k in new], [stored[i:j] for i, j in spans])
+        rows = np.fromiter(map(self.row.__getitem__, hashes), np.int64, len(hashes))[codes]
+        counts = self.count[rows]
+        before = np.r_[0, np.cumsum(counts)]
+        return self.ids[np.repeat(self.start[rows] - before[:-1], counts) + np.arange(before[-1])], before[first]
+
+
+@lru_cache(maxsize=1)
+def _encoder(tokenizer: str) -> Encoder:
+    """The encoder of this worker process, which keeps the words it knows from task to task."""
+    return Encoder(tokenizer)
+
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of the pieces of every row of ``docs`` (doc_id, text).
@@ -80,15 +141,15 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
     end = np.array([END_ID], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
-        for part in slices(batches):
+        encoder = _encoder(shared.value)
+        for part in slices(batches, 4 * SLICE_BYTES):
             rows = []
-            encoded = encoder.encode(part.column("text").cast(pa.binary()).to_pylist())
-            for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoded, strict=True):
-                ids += end
-                for k, low in enumerate(range(0, len(ids), 4 * capacity)):
-                    own = ids[low : low + 4 * capacity]
-                    rows.append((doc_id, k, low // 4, len(own) // 4, zlib.crc32(own)))
+            ids, at = encoder.encode(*text_buffer(part.column("text")))
+            for doc_id, i, j in zip(part.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                own = ids[i:j].tobytes() + end
+                for k, low in enumerate(range(0, len(own), 4 * capacity)):
+                    piece = own[low : low + 4 * capacity]
+                    rows.append((doc_id, k, low // 4, len(piece) // 4, zlib.crc32(piece)))
             columns = zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, kind) for c, kind in columns], ["doc_id", "piece", "start", "length", "ids_crc32"]

@@ -32,26 +32,34 @@ def _raised(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers, _inverses
 
 
-def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash for each word, and where each text's words start, with the end last.
+def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each word starts and ends, and which word is the first of each text, with their number last.
 
     ``at`` holds where each text starts in ``data``, with the end last. Words never
     reach across texts.
     """
     inside = ~_SPACE[data]
-    if not inside.any():
-        return np.empty(0, np.uint64), np.zeros(len(at), np.int64)
     edge = np.zeros(len(data) + 1, bool)
     edge[at] = True
     before = np.r_[False, inside[:-1]]
     after = np.r_[inside[1:], False]
     start = np.flatnonzero(inside & (~before | edge[:-1]))
     end = np.flatnonzero(inside & (~after | edge[1:])) + 1
+    return start, end, np.searchsorted(start, at)
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each span."""
     powers, inverses = _raised(len(data) + 1)
     with np.errstate(over="ignore"):
         total = np.r_[np.uint64(0), np.cumsum(_BYTE[data] * powers[: len(data)])]
-        hashes = mixed((total[end] - total[start]) * inverses[start])
-    return hashes, np.searchsorted(start, at)
+        return mixed((total[end] - total[start]) * inverses[start])
+
+
+def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for each word, and which word is the first of each text, with their number last."""
+    start, end, first = word_spans(data, at)
+    return span_hashes(data, start, end), first
 
 
 def shingles(words: np.ndarray, first: np.ndarray, size: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
