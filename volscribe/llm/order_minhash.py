@@ -19,12 +19,14 @@ from pyspark.sql import DataFrame, functions as F
 from volscribe.llm.common import id_and_text, mixed, slices, text_buffer
 from volscribe.llm.components import components
 from volscribe.llm.words import shingles, word_hashes
-from volscribe.session import written
+from volscribe.session import broadcast_if_small, written
 
 # Sketches of a text, and k-mers of a sketch. At a similarity of 0.8 two texts share a
 # given sketch in about half of all cases and none of them in one of 30 million.
 SKETCHES, KMERS = 24, 3
 SIMILARITY = 0.8
+# Texts of a group that its others meet in one turn.
+STARS = 2
 _ODD = np.random.default_rng(4).integers(0, 2**63, SKETCHES * 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -137,28 +139,67 @@ def bodies(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(rows, "node binary, body binary")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """a, b: those of ``pairs`` (a, b) that are near copies.
+def verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
+    """root_a, root_b of those of ``pairs`` (a, b, root_a, root_b) that are near copies, once each.
 
-    Only texts of some pair go on to the join, as four bytes for each word.
+    ``words`` has the bodies of all texts that are candidates; those of these pairs go on to the join.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for own in zip(batch.column("body_a").to_pylist(), batch.column("body_b").to_pylist(), strict=True):
-                words = [np.frombuffer(x, "<u4").astype(np.uint64) for x in own]
-                keep.append(near(*(shingles(w, np.array([0, len(w)]))[0] for w in words)))
+                parts = [np.frombuffer(x, "<u4").astype(np.uint64) for x in own]
+                keep.append(near(*(shingles(w, np.array([0, len(w)]))[0] for w in parts)))
             kept = batch.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([kept.column("root_a"), kept.column("root_b")], ["root_a", "root_b"])
 
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = texts.join(ends, "node", "left_semi").select(F.col("lead").alias("of"))
-    own = bodies(docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("of")), "left_semi"))
-    own = written(own.join(ends, "node", "left_semi"), "bodies")
+    own = words.join(broadcast_if_small(ends), "node", "left_semi")
     both = pairs.join(own.select(F.col("node").alias("b"), F.col("body").alias("body_b")), "b")
     both = both.join(own.select(F.col("node").alias("a"), F.col("body").alias("body_a")), "a")
-    return both.select("a", "b", "body_a", "body_b").mapInArrow(rows, "a binary, b binary")
+    found = both.select("root_a", "root_b", "body_a", "body_b").mapInArrow(rows, "root_a binary, root_b binary")
+    return written(found.distinct(), "links")
+
+
+def _open_groups(classed: DataFrame) -> DataFrame:
+    """The rows of those groups that still have texts of different classes."""
+    several = classed.groupBy("sketch").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    return written(classed.join(several.select("sketch"), "sketch", "left_semi"), "open")
+
+
+def _star_pairs(left: DataFrame, turn: int) -> DataFrame:
+    """Each text of a group with a few texts of the group, drawn anew each turn, as far as they are of other classes."""
+    text = F.struct("node", "root")
+    drawn = [F.min_by(text, F.xxhash64("node", F.lit(turn), F.lit(k))) for k in range(STARS)]
+    stars = written(left.groupBy("sketch").agg(F.array(*drawn).alias("stars")), "stars")
+    met = left.join(stars, "sketch").select("node", "root", F.explode("stars").alias("star")).where("root <> star.root")
+    return _ordered(met, "node", "star.node", "root", "star.root")
+
+
+def _ordered(pairs: DataFrame, node_1: str, node_2: str, root_1: str, root_2: str) -> DataFrame:
+    first = F.col(node_1) < F.col(node_2)
+    ends = [("a", node_1, node_2), ("b", node_2, node_1), ("root_a", root_1, root_2), ("root_b", root_2, root_1)]
+    return pairs.select(*[F.when(first, F.col(x)).otherwise(F.col(y)).alias(name) for name, x, y in ends]).distinct()
+
+
+def _all_pairs(left: DataFrame) -> DataFrame:
+    """All pairs of texts of one group but of different classes whose lengths allow them to be near copies."""
+    # Lengths in steps of 1 / 0.8: near copies are in the same step or in neighbouring ones.
+    step = F.floor(F.log("kmers") / float(np.log(1 / SIMILARITY)) + 1e-9)
+    names = ("node", "kmers", "root")
+    one = left.select("sketch", F.explode(F.array(step, step + 1)).alias("step"), *[F.col(c).alias(c + "_1") for c in names])
+    two = left.select("sketch", step.alias("step"), *[F.col(c).alias(c + "_2") for c in names])
+    close = f"least(kmers_1, kmers_2) >= {SIMILARITY} * greatest(kmers_1, kmers_2) - 1e-9"
+    crossing = one.join(two, ["sketch", "step"]).where(f"root_1 <> root_2 AND {close}")
+    return _ordered(crossing, "node_1", "node_2", "root_1", "root_2")
+
+
+def _joined(classed: DataFrame, links: DataFrame) -> DataFrame:
+    """``classed`` with the classes that ``links`` connect made one."""
+    found = components(links.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+    found = written(found.select(F.col("node").alias("root"), F.col("root").alias("to")), "roots")
+    return written(classed.join(found, "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to"), "classed")
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
@@ -169,9 +210,11 @@ def near_classes(docs: DataFrame) -> DataFrame:
     connect. A null text is empty. A class without any doc_id has none as its id. Rows
     repeat as they are given; other columns are not read.
 
-    Within a sketch's group, every text first meets the first one only. The texts of a
-    group that are then still in different classes meet each other, if their lengths
-    allow a similarity of 0.8; no pair of candidates is left out.
+    The texts of one sketch form a group. To keep large groups of near copies from
+    meeting in all pairs, they first meet a few of their group, and turn by turn those
+    not yet in one class meet a few others. When few pairs are left, or a turn
+    finds no link, all pairs of a group that are still in different classes meet, so no
+    candidates that could join two classes are left out.
     """
     docs = id_and_text(docs).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     own = written(sketched(docs), "sketches")
@@ -180,32 +223,32 @@ def near_classes(docs: DataFrame) -> DataFrame:
     )
     texts = written(texts, "texts")
     places = texts.select("node", "kmers", F.explode("sketches").alias("sketch"))
-    groups = places.groupBy("sketch").agg(F.min("node").alias("star"), F.max("node").alias("last"))
-    groups = written(groups.where("star <> last").select("sketch", "star"), "groups")
-    members = written(places.join(groups, "sketch"), "members")
-    pairs = members.where("node <> star").select(F.col("node").alias("a"), F.col("star").alias("b")).distinct()
-    pairs = written(pairs, "pairs")
-    links = written(verified(pairs, docs, texts), "links")
-    roots = written(components(links), "roots")
-
-    classed = members.join(roots, "node", "left").select("sketch", "node", "kmers", F.coalesce("root", "node").alias("root"))
-    mixed_groups = classed.groupBy("sketch").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    left = written(classed.join(mixed_groups.select("sketch"), "sketch", "left_semi"), "left")
-    # Lengths in steps of 1 / 0.8: near copies are in the same step or in neighbouring ones.
-    step = F.floor(F.log("kmers") / float(np.log(1 / SIMILARITY)) + 1e-9)
-    one = left.select("sketch", F.explode(F.array(step, step + 1)).alias("step"), *[F.col(c).alias(c + "_1") for c in ("node", "kmers", "root")])
-    two = left.select("sketch", step.alias("step"), *[F.col(c).alias(c + "_2") for c in ("node", "kmers", "root")])
-    # A text meets those of its own step from one side only, and those of the step above.
-    crossing = one.join(two, ["sketch", "step"]).where(
-        "root_1 <> root_2 AND least(kmers_1, kmers_2) >= 0.8 * greatest(kmers_1, kmers_2) - 1e-9"
-    )
-    more = crossing.select(F.greatest("node_1", "node_2").alias("a"), F.least("node_1", "node_2").alias("b")).distinct()
-    more = written(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
-    if not more.isEmpty():
-        links = links.unionByName(verified(more, docs, texts))
-        roots = written(components(links), "roots")
-
-    joined = own.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
-    joined = written(joined, "classes")
-    ids = joined.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    return joined.join(written(ids, "ids"), "root").select("doc_id", "class_id")
+    shared = places.groupBy("sketch").agg(F.count("*").alias("members")).where("members > 1")
+    classed = written(places.join(written(shared, "shared"), "sketch").select("sketch", "node", "kmers", F.col("node").alias("root")), "classed")
+    wanted = texts.join(classed.select("node").distinct(), "node", "left_semi").select("node", F.col("lead").alias("of"))
+    wanted = written(wanted, "candidates")
+    found = bodies(docs.join(broadcast_if_small(wanted.select("of")), F.col("doc_id").eqNullSafe(F.col("of")), "left_semi"))
+    words = written(found.join(broadcast_if_small(wanted.select("node")), "node", "left_semi"), "bodies")
+
+    left, turn = classed, 0
+    while True:
+        links = verified(written(_star_pairs(left, turn), "pairs"), words)
+        if links.isEmpty():
+            break
+        classed, turn = _joined(classed, links), turn + 1
+        left = _open_groups(classed)
+        by_class = left.groupBy("sketch", "root").agg(F.count("*").alias("n")).groupBy("sketch")
+        pairs = by_class.agg((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("pairs"), F.sum("n").alias("rows"))
+        pairs, rows = pairs.agg(F.coalesce(F.sum("pairs") / 2, F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0))).first()
+        if pairs <= STARS * rows:
+            break
+    if not left.isEmpty():
+        links = verified(written(_all_pairs(left), "pairs"), words)
+        if not links.isEmpty():
+            classed = _joined(classed, links)
+
+    roots = classed.select("node", "root").distinct()
+    every = own.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
+    every = written(every, "classes")
+    ids = written(every.groupBy("root").agg(F.min("doc_id").alias("class_id")), "ids")
+    return every.join(ids, "root").select("doc_id", "class_id")
