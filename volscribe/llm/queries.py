@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from volscribe.llm import exact_dedup, fingerprint, language, mixing, order_minhash, packing, substring_dedup, url_filter
+from volscribe.llm import exact_dedup, fingerprint, language, mixing, order_minhash, packing, substring_dedup, suffix_dedup, url_filter
 from volscribe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,6 +67,14 @@ def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, folder, "documents"))
 
 
+@query("op3_suffix_dedup")
+def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    removed = suffix_dedup.remove_repeats(table(spark, folder, "documents"))
+    return removed.select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 @query("op4_near_dedup")
 def op4_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return order_minhash.near_classes(table(spark, folder, "documents"))

@@ -20,7 +20,7 @@ _powers = np.ones(1, np.uint64)
 _inverses = np.ones(1, np.uint64)
 
 
-def _raised(n: int) -> tuple[np.ndarray, np.ndarray]:
+def raised(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base modulo 2**64 and their inverses, kept for the next call."""
     global _powers, _inverses
     if n > len(_powers):
@@ -32,6 +32,11 @@ def _raised(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers, _inverses
 
 
+def random_bytes(data: np.ndarray) -> np.ndarray:
+    """A random 64-bit number for each byte."""
+    return _BYTE[data]
+
+
 def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Where each word starts and ends, and which word is the first of each text, with their number last.
 
@@ -50,7 +55,7 @@ def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A hash of the bytes of each span."""
-    powers, inverses = _raised(len(data) + 1)
+    powers, inverses = raised(len(data) + 1)
     with np.errstate(over="ignore"):
         total = np.r_[np.uint64(0), np.cumsum(_BYTE[data] * powers[: len(data)])]
         return mixed((total[end] - total[start]) * inverses[start])
