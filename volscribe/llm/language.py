@@ -12,13 +12,16 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from volscribe.llm.common import prepared, slices
+from volscribe.llm.common import SLICE_BYTES, prepared, slices
 
 DIMENSIONS = 1024
 UNKNOWN = "und"
+# About the cosine of two random vectors of so many dimensions.
+LEAST_SCORE = 0.03
 _CODE_BITS = 21
 
 
@@ -119,6 +122,40 @@ def fit_profiles(docs: DataFrame, dimensions: int = DIMENSIONS, seed: int = 7) -
     return {r["lang"]: np.array(r["profile"]) for r in rows}
 
 
+class Judge:
+    """Predicts the language of texts by the cosines of their sums with the profiles."""
+
+    def __init__(self, profiles: dict[str, np.ndarray], dimensions: int, seed: int):
+        self.names = sorted(profiles)
+        matrix = np.array([profiles[n] for n in self.names], np.float32).reshape(len(self.names), dimensions)
+        length = np.linalg.norm(matrix, axis=1, keepdims=True)
+        self.matrix = (matrix / np.where(length, length, 1)).T.copy()
+        self.dimensions, self.seed = dimensions, seed
+        self.vectors: LetterVectors | None = None
+
+    def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """The language and its cosine, from 0 to 1, of each text."""
+        if self.vectors is None:  # made on the executor
+            self.vectors = LetterVectors(self.dimensions, self.seed)
+        names = self.names
+        found = [_counted(k) if len(k := letter_triples(t or "")) else None for t in texts]
+        sums = np.zeros((len(found), self.dimensions), np.float32)
+        known = [f[0] for f in found if f is not None]
+        every = np.unique(np.concatenate(known)) if known and names else np.empty(0, np.int64)
+        for low in range(0, len(every), 8192):
+            block = every[low : low + 8192]
+            rows = self.vectors.triples(block).astype(np.float32)
+            for k, one in enumerate(found):
+                if one is not None:
+                    i, j = np.searchsorted(one[0], (block[0], block[-1] + 1))
+                    sums[k] += one[1][i:j].astype(np.float32) @ rows[np.searchsorted(block, one[0][i:j])]
+        cosines = (sums @ self.matrix) / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+        judged = [f is not None and bool(names) for f in found]
+        best = np.argmax(cosines, axis=1) if names else []
+        labels = [names[best[k]] if ok else UNKNOWN for k, ok in enumerate(judged)]
+        return labels, [min(1.0, max(0.0, float(cosines[k, best[k]]))) if ok else 0.0 for k, ok in enumerate(judged)]
+
+
 def predict(docs: DataFrame, profiles: dict[str, np.ndarray], dimensions: int = DIMENSIONS, seed: int = 7) -> DataFrame:
     """doc_id, lang_pred and score, the cosine from 0 to 1, of every document (doc_id, text).
 
@@ -126,30 +163,11 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], dimensions: int =
     equal cosines the first language in order wins. Whole texts are read; repeated rows
     are each predicted. Nothing is shuffled.
     """
-    names = sorted(profiles)
-    matrix = np.array([profiles[n] for n in names], np.float32).reshape(len(names), dimensions)
-    length = np.linalg.norm(matrix, axis=1, keepdims=True)
-    matrix = (matrix / np.where(length, length, 1)).T.copy()
+    judge = Judge(profiles, dimensions, seed)
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors = LetterVectors(dimensions, seed)
-        for part in slices(batches, 1 << 19):
-            found = [_counted(k) if len(k := letter_triples(t or "")) else None for t in part.column("text").to_pylist()]
-            sums = np.zeros((len(found), dimensions), np.float32)
-            known = [f[0] for f in found if f is not None]
-            every = np.unique(np.concatenate(known)) if known and names else np.empty(0, np.int64)
-            for low in range(0, len(every), 8192):
-                block = every[low : low + 8192]
-                rows = vectors.triples(block).astype(np.float32)
-                for k, one in enumerate(found):
-                    if one is not None:
-                        i, j = np.searchsorted(one[0], (block[0], block[-1] + 1))
-                        sums[k] += one[1][i:j].astype(np.float32) @ rows[np.searchsorted(block, one[0][i:j])]
-            cosines = (sums @ matrix) / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
-            judged = [f is not None and bool(names) for f in found]
-            best = np.argmax(cosines, axis=1) if names else []
-            labels = [names[best[k]] if ok else UNKNOWN for k, ok in enumerate(judged)]
-            scores = [min(1.0, max(0.0, float(cosines[k, best[k]]))) if ok else 0.0 for k, ok in enumerate(judged)]
+        for part in slices(batches, SLICE_BYTES // 2):
+            labels, scores = judge(part.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(labels, pa.string()), pa.array(scores, pa.float64())],
                 ["doc_id", "lang_pred", "score"],
@@ -159,6 +177,32 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], dimensions: int =
     return narrow.mapInArrow(predicted, "doc_id bigint, lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
+    """Those rows of ``docs`` (doc_id, text, lang, ...) whose text is in one of the languages, with all their columns.
+
+    Rejected are texts that are null or have no letter, and those whose best cosine is
+    below ``least``, which random letters reach by chance. Short texts have low scores
+    and stay. Without profiles there is nothing to judge by, and all with letters stay.
+    """
+    prepared(docs.sparkSession)
+    judge = Judge(fit_profiles(docs.where(~held_out())), DIMENSIONS, 7)
+
+    @F.pandas_udf("boolean")
+    def fits(texts: pd.Series) -> pd.Series:
+        out: list[bool] = []
+        sizes = texts.fillna("").str.len().cumsum() // (SLICE_BYTES // 2)
+        for _, part in texts.groupby(sizes.to_numpy(), sort=False):
+            own = [None if t is None else t for t in part]
+            if judge.names:
+                labels, scores = judge(own)
+                out += [n != UNKNOWN and s >= least for n, s in zip(labels, scores, strict=True)]
+            else:
+                out += [len(letter_triples(t or "")) > 0 for t in own]
+        return pd.Series(out, dtype=bool)
+
+    return docs.where(fits(F.col("text").cast("string")))
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred and score, learned from the documents whose checksum does not hold them out.
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from volscribe.llm.common import prepared, shuffle_parts
 from volscribe.session import written
@@ -26,11 +26,15 @@ TIER = 16
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
+def word_count() -> Column:
+    return F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("bigint")
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """source, doc_id, size, copy: a row for each row of ``docs``; ``copy`` numbers those that are the same."""
     words = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"),
-        F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("bigint").alias("size"),
+        word_count().alias("size"),
     )
     same = words.groupBy("source", "doc_id", "size").agg(F.count("*").alias("times"))
     return same.select("source", "doc_id", "size", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy"))
@@ -195,3 +199,27 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
     return every.join(goal.withColumnRenamed("source", "of"), same).select(
         "doc_id", "source", "copy", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
     )
+
+
+def mixed_rows(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST_COPIES) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, source, ...), each as often as the mix takes it, with all their columns.
+
+    Rows that are alike in doc_id, source and number of words have the copies of such
+    rows in ``mix``, in the order of their texts.
+    """
+    plan = mix(docs, weights, share, most)
+    key = F.to_json(F.struct("doc_id", "source", "size"), {"ignoreNullFields": "false"})
+    plan = plan.where("copies > 0").groupBy(key.alias("mix key")).agg(
+        F.map_from_entries(F.collect_list(F.struct(F.col("copy").cast("int"), F.col("copies").cast("int")))).alias("mix copies")
+    )
+    # Column names with a space, which no other column of the input should have.
+    own = F.to_json(
+        F.struct(
+            F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size")
+        ), {"ignoreNullFields": "false"},
+    )
+    joined = docs.withColumn("mix key", own).join(plan, "mix key")
+    number = F.row_number().over(W.partitionBy("mix key").orderBy("text"))
+    counted = joined.withColumn("mix number", number).withColumn("mix times", F.expr("try_element_at(`mix copies`, `mix number`)"))
+    repeated = counted.where("`mix times` > 0").withColumn("mix times", F.explode(F.sequence(F.lit(1), F.col("mix times"))))
+    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])

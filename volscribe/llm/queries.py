@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from volscribe.llm import exact_dedup, fingerprint, language, mixing, order_minhash, packing, substring_dedup, suffix_dedup, url_filter
+from volscribe.llm import exact_dedup, fingerprint, language, line_dedup, mixing, order_minhash, packing, substring_dedup, suffix_dedup, url_filter
 from volscribe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,6 +101,11 @@ def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op9_line_dedup")
+def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, folder, "documents"))
+
+
 @query("op10_language_id")
 def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(table(spark, folder, "documents"))
