@@ -41,8 +41,8 @@ _ACCENTED[[b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7)]] = True
 
 def without_marks(data: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
     """The spans of words with a full stop or comma at the end, after a letter, as spans of their own."""
-    size, last, before = end - start, data[end - 1], data[end - 2]
-    letter = _LETTER[before] | (_ACCENTED[before] & (data[end - 3] == 0xC3) & (size >= 3))
+    size, last, before, second = end - start, data[end - 1], data[np.maximum(end - 2, 0)], data[np.maximum(end - 3, 0)]
+    letter = _LETTER[before] | (_ACCENTED[before] & (second == 0xC3) & (size >= 3))
     cut = (size >= 2) & ((last == 46) | (last == 44)) & letter
     at = np.r_[0, np.cumsum(1 + cut)]
     starts, ends = np.repeat(start, 1 + cut), np.repeat(end, 1 + cut)
