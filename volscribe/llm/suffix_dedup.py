@@ -24,8 +24,9 @@ from volscribe.llm.words import raised, random_bytes
 from volscribe.session import written
 
 LENGTH, PART = 50, 20
-# Under an anchor with more different segments than these, strings are compared one by one, wherever they are.
-CROWD = 1000
+# More different segments than these under one anchor do not meet in one task; their
+# strings are dealt out one by one, which takes about ten times the work.
+CROWD = 20_000
 _SLICE = 4 << 20
 _LOWEST = -(2**63)
 
