@@ -98,7 +98,7 @@ def copies(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
         going = ranked.where((F.col("n") > 1) & (F.col("left") > length)).select(*[F.col(k).alias(f"of_{k}") for k in KEY]).distinct()
         same = F.col("doc_id").eqNullSafe(F.col("of_doc_id")) & (F.col("version") == F.col("of_version"))
         suffixes = ranked.join(going, same, "left_semi").select(*KEY, "place", "left", F.col("rank_now").alias("rank"))
-        if suffixes.isEmpty():
+        if length >= min_lines and suffixes.isEmpty():
             break
         step = length if length >= min_lines or 2 * length <= min_lines else min_lines - length
         # By place, not by row, since rows may repeat a document.
