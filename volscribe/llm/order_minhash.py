@@ -21,13 +21,14 @@ from volscribe.llm.components import components
 from volscribe.llm.words import shingles, word_hashes
 from volscribe.session import broadcast_if_small, written
 
-# Sketches of a text, and k-mers of a sketch. At a similarity of 0.8 two texts share a
-# given sketch in about half of all cases and none of them in one of 30 million.
-SKETCHES, KMERS = 24, 3
+# Sketches of a text, k-mers of a sketch, and sketches that candidates share at least. At
+# a similarity of 0.8 two texts have 13 in common on average, and fewer than two in three
+# cases of a million; at 0.25, where texts share a passage, two in less than one of a thousand.
+SKETCHES, KMERS, SHARED = 40, 5, 2
 SIMILARITY = 0.8
-# Texts of a group that its others meet in one turn.
-STARS = 2
-_ODD = np.random.default_rng(4).integers(0, 2**63, SKETCHES * 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+# Texts of a group that its others meet in one turn, and turns at most before all pairs do.
+STARS, TURNS = 3, 3
+_ODD = np.random.default_rng(4).integers(0, 2**31, SKETCHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def labelled(kmers: np.ndarray) -> np.ndarray:
@@ -44,24 +45,33 @@ def labelled(kmers: np.ndarray) -> np.ndarray:
     return out
 
 
-def order_sketches(kmers: np.ndarray, sketches: int = SKETCHES, size: int = KMERS) -> np.ndarray:
-    """``sketches`` hashes of the ``size`` smallest labelled k-mers in text order; of all, if there are fewer."""
-    labels, out = labelled(kmers), np.empty(sketches, np.uint64)
-    size, step = min(size, len(kmers)), max(1, (1 << 19) // max(1, len(kmers)))
+def chosen(kmers: np.ndarray) -> np.ndarray:
+    """For each sketch the KMERS smallest labelled k-mers in text order; with fewer, all and zeros."""
+    labels = (labelled(kmers) >> np.uint64(32)).astype(np.uint32)
+    out = np.zeros((SKETCHES, KMERS), np.uint64)
+    if len(kmers) <= KMERS:
+        out[:, : len(kmers)] = kmers
+        return out
+    step = max(1, (1 << 20) // len(kmers))
     with np.errstate(over="ignore"):
-        for low in range(0, sketches, step):
-            hashes = labels * _ODD[low : min(sketches, low + step), None]
-            if size < len(kmers):
-                chosen = np.sort(np.argpartition(hashes, size - 1, axis=1)[:, :size], axis=1)
-            else:
-                chosen = np.broadcast_to(np.arange(size), (len(hashes), size))
-            value = np.arange(low, low + len(hashes), dtype=np.uint64)
-            for k in range(size):
-                value = mixed(value * np.uint64(0xD6E8FEB86659FD93) + kmers[chosen[:, k]])
-            out[low : low + len(hashes)] = value
+        for low in range(0, SKETCHES, step):
+            hashes = labels * _ODD[low : low + step, None]
+            places = np.argpartition(hashes, KMERS - 1, axis=1)[:, :KMERS]
+            places.sort(axis=1)
+            out[low : low + step] = kmers[places]
     return out
 
 
+def order_sketches(found: list[np.ndarray]) -> np.ndarray:
+    """SKETCHES hashes of each text's chosen k-mers, one row for each text."""
+    every = np.array([chosen(k) for k in found], np.uint64).reshape(len(found), SKETCHES, KMERS)
+    value = np.broadcast_to(np.arange(SKETCHES, dtype=np.uint64), every.shape[:2])
+    with np.errstate(over="ignore"):
+        for k in range(KMERS):
+            value = mixed(value * np.uint64(0xD6E8FEB86659FD93) + every[:, :, k])
+    return value
+
+
 def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
     """Length of the longest common subsequence with partners at most ``band`` places apart.
 
@@ -110,15 +120,15 @@ def sketched(docs: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             kmers, first = shingles(*word_hashes(*text_buffer(part.column("text"))))
-            found = [
-                order_sketches(kmers[a:b]).astype(np.int64).tolist() if b > a else [] for a, b in zip(first, first[1:], strict=False)
-            ]
+            some = np.flatnonzero(np.diff(first))
+            rows = order_sketches([kmers[first[k] : first[k + 1]] for k in some]).view(np.int64)
+            at = np.r_[0, np.cumsum(np.where(np.diff(first) > 0, SKETCHES, 0))]
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"),
                     pa.array([_sequence(t) for t in part.column("text").cast(pa.binary()).to_pylist()], pa.binary()),
                     pa.array(np.diff(first), pa.int64()),
-                    pa.array(found, pa.list_(pa.int64())),
+                    pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(rows.ravel())),
                 ],
                 ["doc_id", "node", "kmers", "sketches"],
             )
@@ -174,25 +184,27 @@ def _star_pairs(left: DataFrame, turn: int) -> DataFrame:
     drawn = [F.min_by(text, F.xxhash64("node", F.lit(turn), F.lit(k))) for k in range(STARS)]
     stars = written(left.groupBy("sketch").agg(F.array(*drawn).alias("stars")), "stars")
     met = left.join(stars, "sketch").select("node", "root", F.explode("stars").alias("star")).where("root <> star.root")
-    return _ordered(met, "node", "star.node", "root", "star.root")
+    return _ordered(met, "node", "star.node", "root", "star.root").distinct()
 
 
 def _ordered(pairs: DataFrame, node_1: str, node_2: str, root_1: str, root_2: str) -> DataFrame:
     first = F.col(node_1) < F.col(node_2)
     ends = [("a", node_1, node_2), ("b", node_2, node_1), ("root_a", root_1, root_2), ("root_b", root_2, root_1)]
-    return pairs.select(*[F.when(first, F.col(x)).otherwise(F.col(y)).alias(name) for name, x, y in ends]).distinct()
+    return pairs.select(*[F.when(first, F.col(x)).otherwise(F.col(y)).alias(name) for name, x, y in ends])
 
 
 def _all_pairs(left: DataFrame) -> DataFrame:
-    """All pairs of texts of one group but of different classes whose lengths allow them to be near copies."""
+    """All pairs of texts of different classes that share SHARED groups and have lengths that near copies can have."""
     # Lengths in steps of 1 / 0.8: near copies are in the same step or in neighbouring ones.
     step = F.floor(F.log("kmers") / float(np.log(1 / SIMILARITY)) + 1e-9)
     names = ("node", "kmers", "root")
-    one = left.select("sketch", F.explode(F.array(step, step + 1)).alias("step"), *[F.col(c).alias(c + "_1") for c in names])
+    one = left.select("sketch", F.explode(F.array(step, step + 1)).alias("step"), step.alias("own"), *[F.col(c).alias(c + "_1") for c in names])
     two = left.select("sketch", step.alias("step"), *[F.col(c).alias(c + "_2") for c in names])
     close = f"least(kmers_1, kmers_2) >= {SIMILARITY} * greatest(kmers_1, kmers_2) - 1e-9"
-    crossing = one.join(two, ["sketch", "step"]).where(f"root_1 <> root_2 AND {close}")
-    return _ordered(crossing, "node_1", "node_2", "root_1", "root_2")
+    once = "(own < step OR node_1 < node_2)"
+    crossing = one.join(two, ["sketch", "step"]).where(f"root_1 <> root_2 AND {close} AND {once}")
+    pairs = _ordered(crossing, "node_1", "node_2", "root_1", "root_2").groupBy("a", "b", "root_a", "root_b")
+    return pairs.agg(F.count("*").alias("shared")).where(F.col("shared") >= SHARED).drop("shared")
 
 
 def _joined(classed: DataFrame, links: DataFrame) -> DataFrame:
@@ -212,9 +224,9 @@ def near_classes(docs: DataFrame) -> DataFrame:
 
     The texts of one sketch form a group. To keep large groups of near copies from
     meeting in all pairs, they first meet a few of their group, and turn by turn those
-    not yet in one class meet a few others. When few pairs are left, or a turn
-    finds no link, all pairs of a group that are still in different classes meet, so no
-    candidates that could join two classes are left out.
+    not yet in one class meet a few others. When few pairs are left, after TURNS turns or
+    one without links, all candidates that are still in different classes meet, so none
+    that could join two classes are left out.
     """
     docs = id_and_text(docs).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     own = written(sketched(docs), "sketches")
@@ -231,7 +243,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     words = written(found.join(broadcast_if_small(wanted.select("node")), "node", "left_semi"), "bodies")
 
     left, turn = classed, 0
-    while True:
+    while turn < TURNS:
         links = verified(written(_star_pairs(left, turn), "pairs"), words)
         if links.isEmpty():
             break
