@@ -88,7 +88,8 @@ def copies(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     suffix that shares its rank leave; nobody needs their ranks any more.
     """
     found = []
-    ranked = _ranked(line_rows(docs), ["line"]).drop("line")
+    # Both the count of each line and the join with it read this.
+    ranked = _ranked(written(line_rows(docs), "lines"), ["line"]).drop("line")
     length = 1
     while True:
         ranked = written(ranked, "suffixes")
@@ -104,7 +105,7 @@ def copies(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
         # By place, not by row, since rows may repeat a document.
         ahead = F.max("rank").over(W.partitionBy(*KEY).orderBy("place").rangeBetween(step, step))
         suffixes = suffixes.withColumn("next", F.coalesce(ahead, F.lit(0)))
-        ranked = _ranked(suffixes, ["rank", "next"]).drop("rank", "next")
+        ranked = _ranked(written(suffixes, "pairs"), ["rank", "next"]).drop("rank", "next")
         length += step
     out = found[0]
     for more in found[1:]:
