@@ -31,7 +31,7 @@ def test_security_depends_on_the_day(posts, ticker_map):
     assert rows_of(link.attach_security(posts, ticker_map), "id", "ticker", "PERMNO") == [("a", "X", 1), ("a", "Y", 3), ("b", "X", 2)]
     kept = link.attach_security(posts, ticker_map, keep_unmapped=True)
     assert ("c", "Z", None) in rows_of(kept, "id", "ticker", "PERMNO")
-    assert "map_date" not in kept.columns
+    assert kept.columns == [*posts.columns, "PERMNO"]
 
 
 def test_embeddings_by_mention_or_by_text(spark, posts):
@@ -50,6 +50,14 @@ def test_stored_copies_of_a_vector_count_once(spark, posts):
     assert link.attach_embeddings(many, copies).filter("embed[0] = 1.0").count() == 1000
 
 
+def test_the_same_one_of_several_vectors_on_any_layout(spark, posts):
+    several = spark.range(200).selectExpr("'a' AS id", "'X' AS ticker", "array(cast(id AS float)) AS embed")
+    chosen = {
+        link.attach_embeddings(posts, several.repartition(n, "embed")).filter("id = 'a' AND ticker = 'X'").first().embed[0] for n in (1, 7, 30)
+    }
+    assert len(chosen) == 1
+
+
 def test_prefix(spark):
     assert link.prefix_columns(spark.range(1).withColumn("b c", F.lit(1)), "r").columns == ["r_id", "r_b c"]
 
@@ -68,6 +76,13 @@ def test_inner_link(posts, ticker_map, days):
     assert {"r_created_date", "c_date", "r_PERMNO", "c_PERMNO"} <= set(out.columns)
 
 
+def test_left_link_keeps_all_texts(posts, ticker_map, days):
+    mapped = link.attach_security(posts, ticker_map, keep_unmapped=True)
+    out = link.link_panel(mapped, days, how="left")
+    assert out.count() == mapped.count()
+    assert rows_of(out.filter("c_vol_1 is not null"), "r_id", "PERMNO", "c_vol_1") == [("a", 1, 0.1), ("b", 2, 0.2)]
+
+
 def test_full_outer_equals_sparks_own(posts, ticker_map, days):
     mapped = link.attach_security(posts, ticker_map, keep_unmapped=True)
     got = link.link_panel(mapped, days, how="outer")
@@ -117,7 +132,8 @@ def test_ids_are_kept_by_join(posts, spark):
 
 
 def test_vectors_are_joined_last(inputs):
-    plan = pipelines.linked_with_vectors(inputs)._jdf.queryExecution().optimizedPlan().toString()
+    frames = (inputs.texts(), inputs.securities(), inputs.ticker_map(), inputs.panel("symbol"), inputs.embeddings())
+    plan = pipelines.linked_with_vectors(*frames)._jdf.queryExecution().optimizedPlan().toString()
     top = next(line for line in plan.splitlines() if "Join" in line)
     assert "r_id" in top and "LeftOuter" in top
 

@@ -144,7 +144,7 @@ def test_cross_products_do_not_depend_on_partitions(linked):
 
 def test_ridge_equals_spark_ml_cross_validation(linked):
     rows = ridge.design_rows(linked)
-    fits = ridge.ridge_walk_forward(rows, start_year=2000, end_year=2006, min_train_rows=100).collect()
+    fits = ridge.ridge_walk_forward(rows, start_year=2000, end_year=2006, min_train_rows=100).filter("usable").collect()
     assert sorted(f.train_start for f in fits) == [2000, 2001]
     fit = next(f for f in fits if f.train_start == 2001)
     train = ridge.ml_rows(between(rows, 2001, 2003))
@@ -166,10 +166,13 @@ def test_constant_features_get_no_weight(linked):
 
 def test_small_windows_are_skipped(linked):
     rows = ridge.design_rows(linked)
-    assert ridge.ridge_walk_forward(rows, min_train_rows=229).count() == 0
-    # No test year after 2006, and training years before 2000 are too few.
-    starts = {f.train_start for f in ridge.ridge_walk_forward(rows, min_train_rows=200).collect()}
-    assert starts == {2000, 2001, 2002}
+    few = ridge.ridge_walk_forward(rows, min_train_rows=229).collect()
+    assert few and not any(f.usable for f in few) and max(f.n_train for f in few) == 228
+    # No test year after 2006, and training years before 2000 are missing.
+    windows = {f.train_start: f for f in ridge.ridge_walk_forward(rows, min_train_rows=1).collect()}
+    assert {start for start, f in windows.items() if f.usable} == {2000, 2001, 2002}
+    assert windows[1999].n_train == 152 and windows[1999].mse is None and windows[1999].train_end == 2001
+    assert ridge.mean_metrics(ridge.ridge_walk_forward(rows)).first().windows == 3
 
 
 def test_security_day_grain(linked):
@@ -200,7 +203,7 @@ def test_model_is_saved_and_reloaded(linked, tmp_path):
     again = LinearRegressionModel.load(path)
     fits = ridge.ridge_walk_forward(ridge.design_rows(linked))
     best, test = ridge.last_window_model(ridge.design_rows(linked), fits)
-    last = fits.orderBy(F.desc("train_start")).first()
+    last = fits.filter("usable").orderBy(F.desc("train_start")).first()
     assert best.getRegParam() == last.best_lambda and test.count() == last.n_test
     assert np.allclose(evaluate(best, test, "label"), [last.mse, last.r2], rtol=1e-6)
     assert np.allclose(again.coefficients.toArray(), model.coefficients.toArray())

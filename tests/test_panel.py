@@ -58,7 +58,7 @@ def sample_series():
 
 def test_rolling_volatility_matches_a_plain_loop(spark):
     series = sample_series()
-    assert_matches(panel.volatility_panel(make(spark, series), unique_days=True), series)
+    assert_matches(panel.volatility_panel(make(spark, series)), series)
 
 
 def test_min_periods(spark):
@@ -70,7 +70,7 @@ def test_min_periods(spark):
 @given(st.lists(st.one_of(st.none(), st.floats(-0.5, 0.5)), min_size=1, max_size=90))
 def test_rolling_volatility_property(spark, rets):
     series = {9: rets}
-    assert_matches(panel.volatility_panel(make(spark, series), unique_days=True), series)
+    assert_matches(panel.volatility_panel(make(spark, series)), series)
 
 
 @pytest.mark.parametrize("chunk_rows", [63, 64, 100])
@@ -83,16 +83,6 @@ def test_chunked_plan_gives_the_same_panel(spark, chunk_rows):
     assert_matches(out, series)
 
 
-def test_long_series_choose_the_chunked_plan(spark, monkeypatch):
-    series = {1: [0.01 * (n % 7) for n in range(200)], 2: [0.1]}
-    monkeypatch.setattr(panel, "LONG_SERIES_ROWS", 150)
-    called = []
-    original = panel._chunked_panel
-    monkeypatch.setattr(panel, "_chunked_panel", lambda *a: called.append(1) or original(*a))
-    assert_matches(panel.volatility_panel(make(spark, series)), series)
-    assert called
-
-
 def test_chunk_must_exceed_the_longest_window(spark):
     with pytest.raises(ValueError):
         panel.volatility_panel(make(spark, {1: [0.1]}), split=True, chunk_rows=62)
@@ -100,7 +90,7 @@ def test_chunk_must_exceed_the_longest_window(spark):
 
 def test_one_exchange_and_one_sort(spark, tmp_path):
     make(spark, sample_series()).write.parquet(str(tmp_path / "r"))
-    plan = plan_of(panel.volatility_panel(spark.read.parquet(str(tmp_path / "r")), unique_days=True))
+    plan = plan_of(panel.volatility_panel(spark.read.parquet(str(tmp_path / "r"))))
     assert plan.count("Exchange") == 1
     assert plan.count("Sort ") == 1
 
@@ -118,7 +108,7 @@ def test_parse_returns_falls_back(spark):
 
 
 def test_daily_means(spark):
-    df = panel.volatility_panel(make(spark, {1: [0.1, 0.2], 2: [0.3, None]}), unique_days=True)
+    df = panel.volatility_panel(make(spark, {1: [0.1, 0.2], 2: [0.3, None]}))
     rows = panel.daily_mean_vol(df).orderBy("date").collect()
     assert [round(r.v1, 9) for r in rows] == [0.2, 0.2]
 
@@ -137,7 +127,7 @@ def numpy_beta(x, y, size=22):
 def test_beta_by_security_and_daily(spark):
     rng = random.Random(1)
     rets = [rng.uniform(-0.1, 0.1) for _ in range(60)]
-    df = panel.volatility_panel(make(spark, {1: rets}), unique_days=True)
+    df = panel.volatility_panel(make(spark, {1: rets}))
     source = df.orderBy("date").collect()
     want = numpy_beta([r.vol_1 for r in source], [r.y_1 for r in source])
     for out in (panel.rolling_beta_by_security(df), panel.rolling_beta_daily(df)):
@@ -147,12 +137,12 @@ def test_beta_by_security_and_daily(spark):
 
 
 def test_beta_of_constant_volatility_is_null(spark):
-    df = panel.volatility_panel(make(spark, {1: [0.1] * 30}), unique_days=True)
+    df = panel.volatility_panel(make(spark, {1: [0.1] * 30}))
     assert {r.beta for r in panel.rolling_beta_by_security(df).collect()} == {None}
 
 
 def test_daily_beta_averages_before_its_single_task_window(spark, tmp_path):
-    df = panel.volatility_panel(make(spark, {1: [0.1, 0.2], 2: [0.3, 0.1]}), unique_days=True)
+    df = panel.volatility_panel(make(spark, {1: [0.1, 0.2], 2: [0.3, 0.1]}))
     df.write.parquet(str(tmp_path / "p"))
     plan = plan_of(panel.rolling_beta_daily(spark.read.parquet(str(tmp_path / "p"))))
     assert plan.index("Exchange SinglePartition") < plan.index("HashAggregate")

@@ -4,19 +4,24 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.ml.evaluation import RegressionEvaluator
+from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from tests.conftest import SF
+from volscribe.functions.dates import year_range
+from volscribe.operators import ridge
+from volscribe.plans import pipelines
+from volscribe.plans.queries import ORACLES, QUERIES
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
-from volscribe.plans.queries import ORACLES, QUERIES  # noqa: E402
 
-# No SQL: cross-validated model fits.
+# No SQL: cross-validated model fits, which are compared with Spark ML below.
 WITHOUT_SQL = {
     "sink_model", "ridge_cv", "ridge_cv_spark_ml", "ridge_walk_forward", "ridge_walk_forward_security_day",
-    "best_lambda", "text_to_forecast",
+    "best_lambda", "text_to_forecast", "mean_window_metrics_ridge",
 }
 
 
@@ -60,6 +65,51 @@ def test_contract_has_all_queries():
     assert contract.oracle_sql().keys() <= contract.queries().keys()
 
 
+def evaluated(model, test):
+    metrics = RegressionEvaluator(labelCol="label", metricName="mse")
+    return metrics.evaluate(model.transform(test)), metrics.setMetricName("r2").evaluate(model.transform(test))
+
+
+@pytest.mark.parametrize("grain", ["post", "security_day"])
+def test_ridge_queries_equal_spark_ml(spark, inputs, grain):
+    """Each window of the registered queries, fitted and scored by the library's own cross-validation."""
+    frames = (inputs.texts(), inputs.securities(), inputs.ticker_map(), inputs.panel("symbol"), inputs.embeddings())
+    rows = ridge.design_rows(pipelines.linked_with_vectors(*frames), grain=grain).persist()
+    name = "ridge_walk_forward" if grain == "post" else "ridge_walk_forward_security_day"
+    got = {r.train_start: r for r in QUERIES[name](spark, SF).collect()}
+    years = {r.y: r.n for r in rows.groupBy(F.year("date").alias("y")).agg(F.count("*").alias("n")).collect()}
+    scores = []
+    for start, row in got.items():
+        train = {y: years[y] for y in range(start, start + 3) if y in years}
+        n_test = years.get(start + 4, 0)
+        assert (row.n_train, row.n_test) == (sum(train.values()), n_test)
+        assert row.usable == (len(train) == 3 and n_test > 0 and row.n_train >= 100)
+        if row.usable:
+            model = ridge.ridge_cv(ridge.ml_rows(rows.filter(year_range("date", start, start + 2))))
+            mse, r2 = evaluated(model.bestModel, ridge.ml_rows(rows.filter(year_range("date", start + 4, start + 4))))
+            assert row.best_lambda == model.bestModel.getRegParam() and row.mse == pytest.approx(mse, abs=2e-8)
+            scores.append((start, model, mse, r2))
+        else:
+            assert row.best_lambda is None and row.mse is None
+    if grain == "post":
+        best = {r.train_start: r.best_lambda for r in QUERIES["best_lambda"](spark, SF).collect()}
+        assert best == {start: model.bestModel.getRegParam() for start, model, _, _ in scores}
+        errors = {(r.train_start, r.penalty): r.cv_mse for r in QUERIES["ridge_cv"](spark, SF).collect()}
+        want = {(s, p): e for s, m, _, _ in scores for p, e in zip(ridge.PENALTIES, m.avgMetrics, strict=True)}
+        assert errors.keys() == want.keys() and all(errors[k] == pytest.approx(want[k], rel=1e-6) for k in want)
+        if scores:
+            mean = QUERIES["mean_window_metrics_ridge"](spark, SF).first()
+            assert mean.windows == len(scores) and mean.mse == pytest.approx(sum(s[2] for s in scores) / len(scores), abs=2e-8)
+            saved = QUERIES["sink_model"](spark, SF).first()
+            assert saved.mse == pytest.approx(max(scores, key=lambda s: s[0])[2], abs=2e-8)
+    rows.unpersist()
+
+
+def test_forecast_pipeline_has_every_window(spark):
+    got = {r.train_start: r for r in QUERIES["text_to_forecast"](spark, SF).collect()}
+    assert got and all((r.best_lambda is None) == (not r.usable) for r in got.values())
+
+
 def test_entry_gives_rows(spark):
     df = contract.entry(spark)
     assert df.count() > 0

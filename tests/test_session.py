@@ -47,9 +47,3 @@ def test_broadcast_only_when_small(spark):
     hinted = lambda frame: "ResolvedHint" in frame._jdf.queryExecution().analyzed().toString()
     assert hinted(session.broadcast_if_small(df))
     assert not hinted(session.broadcast_if_small(df, limit=100))
-
-
-def test_spread_leaves_split_inputs_alone(spark):
-    wide = spark.range(0, 1000, 1, 64)
-    assert session.spread(wide, "id") is wide
-    assert session.spread(spark.range(0, 1000, 1, 1), "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism

@@ -1,4 +1,3 @@
-import gzip
 import re
 import zlib
 
@@ -24,38 +23,23 @@ def archive(folder, name, data):
     return str(folder / name)
 
 
-@pytest.mark.parametrize("method", ["jvm", "python"])
-def test_archive_reads_the_same_both_ways(spark, tmp_path, method):
+def test_archive_is_read(spark, tmp_path):
     archive(tmp_path, "p.ndjson.zst", zstandard.compress(("\n".join(LINES) + "\n").encode()))
-    df = ndjson.read_archive(spark, str(tmp_path), "post", method=method)
+    df = ndjson.read_archive(spark, str(tmp_path), "post")
     assert df.count() == 4
     assert rows_of(ndjson.drop_malformed(df)) == WANT
     assert df.columns == ["id", "created_utc", "subreddit", "title", "selftext"]
 
 
-@pytest.mark.parametrize("method", ["jvm", "python"])
-def test_comments_and_spread(spark, tmp_path, method):
+def test_comments_and_spread(spark, tmp_path):
     lines = "".join('{"id":"%d","created_utc":"5","body":"b%d"}\n' % (n, n) for n in range(20_000))
     archive(tmp_path, "c.zst", zstandard.compress(lines.encode()))
-    df = ndjson.read_archive(spark, str(tmp_path), "COMMENT", method=method, spread=6)
+    df = ndjson.read_archive(spark, str(tmp_path), "COMMENT", spread=6)
     assert df.rdd.getNumPartitions() == 6
     assert df.select("id").distinct().count() == 20_000
     assert df.filter("title is null and selftext = concat('b', id)").count() == 20_000
 
 
-def test_python_reader_takes_concatenated_frames_and_gzip(spark, tmp_path):
-    frames = b"".join(zstandard.compress((line + "\n").encode()) for line in LINES)
-    archive(tmp_path, "p.zst", frames)
-    assert rows_of(ndjson.read_lines(spark, str(tmp_path / "p.zst"), "python")) == sorted((line,) for line in LINES)
-    archive(tmp_path, "p.gz", gzip.compress("\n".join(LINES).encode()))
-    assert ndjson.read_lines(spark, str(tmp_path / "p.gz"), "python").count() == 4
-
-
-def test_python_reader_never_reads_whole_files(spark, tmp_path):
-    archive(tmp_path, "p.zst", zstandard.compress(b"x\n"))
-    assert "content" not in plan_of(ndjson.read_lines(spark, str(tmp_path), "python"))
-
-
 def test_written_archive_has_one_file_per_task(inputs):
     path = write_archive(inputs.raw_comments().repartition(3), "three")
     files = inputs.spark.read.format("binaryFile").load(path).select("path")
@@ -63,11 +47,6 @@ def test_written_archive_has_one_file_per_task(inputs):
     assert ndjson.read_archive(inputs.spark, path, "comment").count() == inputs.comments().count()
 
 
-def test_read_method_is_checked(spark):
-    with pytest.raises(ValueError):
-        ndjson.read_lines(spark, "/tmp", "other")
-
-
 def test_union_tags_sources(inputs):
     counted = {r.is_comment: r.n for r in inputs.texts().groupBy("is_comment").agg(F.count("*").alias("n")).collect()}
     assert counted == {False: inputs.posts().count(), True: inputs.comments().count()}
@@ -132,12 +111,27 @@ def test_rerun_replaces_and_other_folders_stay(spark, tmp_path):
     df = panel(spark)
     sinks.write_sized(df, path, "PERMNO")
     sinks.write_sized(df, path, "PERMNO")
-    sinks.write_sized(df.filter("PERMNO = 0"), path, "PERMNO")
+    sinks.write_sized(df.filter("PERMNO = 0"), path, "PERMNO", dynamic=True)
     assert spark.read.parquet(path).count() == 2000
     sinks.write_sized(df, path, "PERMNO", append=True)
     assert spark.read.parquet(path).count() == 4000
 
 
+def test_overwrite_replaces_vanished_keys(spark, tmp_path):
+    path = str(tmp_path / "k")
+    three = spark.range(30).selectExpr("id", "id % 3 AS PERMNO")
+    sinks.write_by_key(three, path, "PERMNO")
+    sinks.write_by_key(three.filter("PERMNO < 2"), path, "PERMNO")
+    assert rows_of(spark.read.parquet(path).groupBy("PERMNO").count()) == [(0, 10), (1, 10)]
+
+
+def test_another_number_of_buckets_leaves_no_old_rows(spark, tmp_path):
+    path = str(tmp_path / "n")
+    for buckets in (40, 20):
+        sinks.write_bucketed(spark.range(1000).withColumnRenamed("id", "PERMNO"), path, "PERMNO", buckets)
+        assert spark.read.parquet(path).count() == 1000
+
+
 def test_files_stay_below_the_record_limit(spark, tmp_path):
     path = tmp_path / "p"
     sinks.write_layout(spark.range(1000).withColumn("k", F.lit(1)), str(path), key="k", max_records=300)

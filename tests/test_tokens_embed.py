@@ -9,22 +9,6 @@ from volscribe.operators import embed, tokens
 TEXTS = ["", "a", "buy gme now", "abc " * 50, "exactly four small words", None]
 
 
-def _spelling_tokenizer() -> str:
-    """A tokenizer that spells words: its vocabulary is letters and digits by rule."""
-    import string
-
-    from tokenizers import Tokenizer, models, normalizers, pre_tokenizers, processors
-
-    symbols = string.ascii_lowercase + string.digits + string.punctuation
-    entries = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", *symbols, *(f"##{s}" for s in symbols)]
-    vocabulary = {entry: number for number, entry in enumerate(entries)}
-    tokenizer = Tokenizer(models.WordPiece(vocabulary, unk_token="[UNK]"))
-    tokenizer.normalizer = normalizers.BertNormalizer(lowercase=True)
-    tokenizer.pre_tokenizer = pre_tokenizers.BertPreTokenizer()
-    tokenizer.post_processor = processors.BertProcessing(("[SEP]", vocabulary["[SEP]"]), ("[CLS]", vocabulary["[CLS]"]))
-    return tokenizer.to_str()
-
-
 @pytest.fixture(scope="module")
 def texts(spark):
     return spark.createDataFrame([(str(n), "T", t) for n, t in enumerate(TEXTS)], "id string, ticker string, clean_text string")
@@ -48,34 +32,6 @@ def test_hashed_tokens(texts, length):
     assert all(1 <= t <= tokens.HASH_VOCABULARY for t in rows[3].input_ids[: min(50, length)])
 
 
-@pytest.mark.parametrize("length", [8, 32])
-def test_tokenizer_file(texts, length):
-    from tokenizers import Tokenizer
-
-    text = _spelling_tokenizer()
-    rows = sorted(tokens.tokenize_fixed_length(texts, text, length).collect(), key=lambda r: int(r.id))
-    check_shape(rows, length)
-    plain = Tokenizer.from_str(text)
-    for row, t in zip(rows, TEXTS):
-        ids = plain.encode(t or "").ids
-        if len(ids) <= length:
-            assert row.input_ids[: len(ids)] == ids
-        else:
-            assert row.input_ids[:-1] == ids[: length - 1] and row.input_ids[-1] == plain.token_to_id("[SEP]")
-
-
-def test_end_token_pads_when_there_is_no_padding_token(texts):
-    rows = tokens.tokenize_fixed_length(texts, _spelling_tokenizer(), 16, pad_token="[NONE]").collect()
-    check_shape(rows, 16, pad=3)
-
-
-def test_schema_matches_across_tokenizers(texts):
-    hashed, encoded = tokens.tokenize_hashed(texts), tokens.tokenize_fixed_length(texts, _spelling_tokenizer())
-    assert hashed.dtypes == encoded.dtypes == [
-        ("id", "string"), ("ticker", "string"), ("input_ids", "array<int>"), ("attention_mask", "array<tinyint>")
-    ]
-
-
 def test_one_vector_per_row_on_any_layout(spark):
     many = spark.range(5000).select(
         F.col("id").cast("string").alias("id"), F.lit("T").alias("ticker"),
@@ -139,34 +95,3 @@ def test_security_day_mean(spark):
 def test_null_arrays_never_reach_the_vector_step(spark):
     df = spark.createDataFrame([(1, [1.0]), (2, None)], "k int, embed array<float>")
     assert embed.vector_from_array(df).count() == 1
-
-
-@pytest.mark.parametrize("inputs", [("input_ids", "attention_mask"), ("input_ids", "attention_mask", "token_type_ids")])
-def test_onnx_encoder_feeds_the_model_and_keeps_the_first_token(monkeypatch, inputs):
-    """No model file is at hand; a stand-in session records what it is given."""
-    import onnxruntime
-
-    seen = {}
-
-    class Input:
-        def __init__(self, name):
-            self.name = name
-
-    class Session:
-        def __init__(self, path, providers):
-            seen["path"] = path
-
-        def get_inputs(self):
-            return [Input(name) for name in inputs]
-
-        def run(self, outputs, feed):
-            seen["feed"] = feed
-            ids = feed["input_ids"].astype(np.float32)
-            return [np.stack([ids, ids * 2], axis=-1)]
-
-    monkeypatch.setattr(onnxruntime, "InferenceSession", Session)
-    encoder = embed.onnx_first_token("model.onnx")()
-    out = encoder(np.array([[5, 6, 0]], dtype=np.int32), np.array([[1, 1, 0]], dtype=np.int8))
-    assert out.tolist() == [[5.0, 10.0]]
-    assert seen["path"] == "model.onnx" and set(seen["feed"]) == set(inputs)
-    assert {v.dtype for v in seen["feed"].values()} == {np.dtype(np.int64)}

@@ -42,31 +42,10 @@ class HashedProjection:
         return np.where(present, total / (count * HASH_MODULUS) - 0.5, 0.0)
 
 
-class OnnxFirstToken:
-    """Encoder that runs an ONNX model and keeps the first token's vector."""
-
-    def __init__(self, path: str):
-        import onnxruntime
-
-        self.session = onnxruntime.InferenceSession(path, providers=onnxruntime.get_available_providers())
-        self.inputs = {i.name for i in self.session.get_inputs()}
-
-    def __call__(self, ids: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        feed = {"input_ids": ids.astype(np.int64), "attention_mask": mask.astype(np.int64)}
-        if "token_type_ids" in self.inputs:
-            feed["token_type_ids"] = np.zeros_like(feed["input_ids"])
-        return self.session.run(None, feed)[0][:, 0, :]
-
-
 def hashed_projection(dimensions: int = DIMENSIONS) -> Callable[[], Encoder]:
     return partial(HashedProjection, dimensions)
 
 
-def onnx_first_token(path: str) -> Callable[[], Encoder]:
-    """``path`` must be readable on every executor."""
-    return partial(OnnxFirstToken, path)
-
-
 def batch_embed(
     tokens: DataFrame,
     encoder_factory: Callable[[], Encoder] | None = None,

@@ -13,7 +13,6 @@ from volscribe.session import written
 # Window lengths in trading days.
 WINDOWS = (1, 5, 22, 63)
 
-LONG_SERIES_ROWS = 1_000_000
 CHUNK_ROWS = 100_000
 
 
@@ -52,8 +51,7 @@ def volatility_panel(
     windows: Sequence[int] = WINDOWS,
     min_periods: int | None = None,
     tie_break: Sequence[str] = (),
-    unique_days: bool = False,
-    split: bool | None = None,
+    split: bool = False,
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Rolling realised volatility per security and its value on the next row.
@@ -63,23 +61,16 @@ def volatility_panel(
     ``vol_w`` of the security's next row. Rows of one security and date need a
     ``tie_break`` to have an order.
 
-    One exchange and one sort by (PERMNO, date) serve all frames. A series is then
-    handled by one task, which is fine while there is at most one row per trading
-    day: state so with ``unique_days``. Otherwise the longest series is counted
-    and, past a million rows, series are cut into overlapping chunks
-    (``split=True`` forces that, ``split=False`` forbids it).
+    One exchange and one sort by (PERMNO, date) serve all frames, with one task for
+    a series. That fits series of a row for each trading day. With ``split=True``
+    series are cut into overlapping chunks instead, for inputs in which one security
+    has more rows than a task should hold; the result is the same.
     """
-    if split is None:
-        split = not unique_days and _longest_series(returns) > LONG_SERIES_ROWS
     if split:
         return _chunked_panel(returns, windows, min_periods, tie_break, chunk_rows)
     return _panel_columns(returns, ["PERMNO"], ["date", *tie_break], windows, min_periods)
 
 
-def _longest_series(returns: DataFrame) -> int:
-    return returns.groupBy("PERMNO").count().agg(F.max("count")).first()[0] or 0
-
-
 def _chunked_panel(
     returns: DataFrame, windows: Sequence[int], min_periods: int | None, tie_break: Sequence[str], chunk_rows: int
 ) -> DataFrame:
@@ -152,6 +143,10 @@ def rolling_beta_daily(panel: DataFrame) -> DataFrame:
 
 
 def rolling_beta_by_security(panel: DataFrame) -> DataFrame:
-    """The same beta within each security of a panel with one row per day."""
-    dated = panel.na.drop(subset=["date"])
-    return dated.select("PERMNO", "date", _beta(Window.partitionBy("PERMNO").orderBy("date")).alias("beta"))
+    """The same beta within each security; rows of a security and day are averaged first."""
+    daily = (
+        panel.na.drop(subset=["date"])
+        .groupBy("PERMNO", "date")
+        .agg(F.avg("vol_1").alias("vol_1"), F.avg("y_1").alias("y_1"))
+    )
+    return daily.select("PERMNO", "date", _beta(Window.partitionBy("PERMNO").orderBy("date")).alias("beta"))

@@ -28,9 +28,9 @@ PENALTIES = (1e-4, 1e-3, 1e-2, 1e-1, 1.0)
 FOLDS = 3
 PARALLELISM = 8
 
-# Tasks that add up cross products. Each sends a matrix per year and fold, about
-# 100 MB with 768 dimensions, so their number must not grow with the rows.
-CROSS_PRODUCT_TASKS = 2000
+# Parts that the rows of a year and fold are dealt into. A part adds up its rows and
+# sends one matrix, about 5 MB with 768 dimensions.
+SALTS = 64
 
 LAGS = ("c_vol_1", "c_vol_5", "c_vol_22", "c_vol_63")
 LABEL = "c_y_1"
@@ -72,11 +72,12 @@ def design_rows(
     )
 
 
-def cross_products(rows: DataFrame, tasks: int = CROSS_PRODUCT_TASKS) -> DataFrame:
+def cross_products(rows: DataFrame, salts: int = SALTS) -> DataFrame:
     """Upper triangle of Z'Z per (year, fold), with Z = (x, y, 1), one row per matrix row.
 
-    Rows stream through at most ``tasks`` tasks, without an exchange. Each adds up
-    its own matrices and sends those, however many rows it saw.
+    Rows are dealt out by year, fold and one of ``salts`` parts, so that a task holds
+    one or a few matrices and sends those, however many rows it saw. What is sent
+    grows with the number of years, folds and salts, not with the rows.
     """
 
     def partial_sums(batches: Iterator) -> Iterator:
@@ -89,11 +90,10 @@ def cross_products(rows: DataFrame, tasks: int = CROSS_PRODUCT_TASKS) -> DataFra
             years, folds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             x = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, -1)
             z = np.column_stack([x, batch.column(3).to_numpy(), np.ones(batch.num_rows)])
-            codes = years.astype(np.int64) * 1_000 + folds
-            for code in np.unique(codes):
-                part = z[codes == code]
-                at = (int(code // 1_000), int(code % 1_000))
-                sums[at] = sums.get(at, 0.0) + part.T @ part
+            pairs, codes = np.unique(np.column_stack([years, folds]), axis=0, return_inverse=True)
+            for code, pair in enumerate(pairs.tolist()):
+                part = z[codes.ravel() == code]
+                sums[tuple(pair)] = sums.get(tuple(pair), 0.0) + part.T @ part
         for (year, fold), total in sums.items():
             size = len(total)
             yield pa.RecordBatch.from_arrays(
@@ -106,9 +106,9 @@ def cross_products(rows: DataFrame, tasks: int = CROSS_PRODUCT_TASKS) -> DataFra
                 names=["year", "fold", "i", "values"],
             )
 
-    partial = rows.select(F.year("date").alias("year"), "fold", "x", "y").coalesce(tasks).mapInArrow(
-        partial_sums, "year int, fold int, i int, values array<double>"
-    )
+    salt = F.pmod(F.xxhash64("id"), F.lit(salts))
+    dealt = rows.select(F.year("date").alias("year"), "fold", "x", "y", salt.alias("salt")).repartition("year", "fold", "salt")
+    partial = dealt.drop("salt").mapInArrow(partial_sums, "year int, fold int, i int, values array<double>")
     return (
         partial.groupBy("year", "fold", "i")
         .agg(Summarizer.sum(array_to_vector("values")).alias("total"))
@@ -159,59 +159,70 @@ def ridge_walk_forward(
     """Per window: cross-validation error of every penalty, the best one, test error.
 
     Windows start at ``start_year`` and later, and those that would reach
-    ``end_year`` are left out. A window with fewer than ``min_train_rows`` or
-    without test rows is skipped. Each group holds the matrices of one window.
+    ``end_year`` are left out; without these bounds every window with rows is there.
+    A window is fitted if it has ``min_train_rows``, rows in each of its training
+    years, and test rows. Others have their counts and ``usable`` false, and null
+    otherwise. Each group holds the matrices of one window.
     """
     grid = [float(p) for p in penalties]
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
         train, test = part[part["role"] == "train"], part[part["role"] == "test"]
-        if train.empty or test.empty:
-            return pd.DataFrame()
         folds = {fold: _matrix(rows) for fold, rows in train.groupby("fold")}
+        tested = _matrix(test) if len(test) else None
+        counts = {
+            "train_start": int(part["train_start"].iloc[0]),
+            "n_train": int(round(sum(m[-1, -1] for m in folds.values()))),
+            "n_test": int(round(tested[-1, -1])) if len(test) else 0,
+        }
+        whole = train["year"].nunique() == scheme.train_years
+        if not whole or not len(test) or counts["n_train"] < min_train_rows:
+            return pd.DataFrame([{**dict.fromkeys(names), **counts, "usable": False}])
         total = sum(folds.values())
-        if total[-1, -1] < min_train_rows:
-            return pd.DataFrame()
         errors = [
             float(np.mean([_score(held, *_fit(total - held, p))[0] for held in folds.values()])) for p in grid
         ]
         best = int(np.argmin(errors))
         intercept, slopes = _fit(total, grid[best])
-        tested = _matrix(test)
         mse, r2 = _score(tested, intercept, slopes)
         return pd.DataFrame(
             [
                 {
-                    "train_start": int(part["train_start"].iloc[0]), "n_train": int(round(total[-1, -1])),
-                    "n_test": int(round(tested[-1, -1])), "penalties": grid, "cv_mse": errors,
-                    "best_lambda": grid[best], "intercept": intercept, "coefficients": slopes.tolist(),
+                    **counts, "usable": True, "penalties": grid, "cv_mse": errors, "best_lambda": grid[best], "intercept": intercept, "coefficients": slopes.tolist(),
                     "mse": mse, "r2": r2,
                 }
             ]
         )
 
+    schema = (
+        "train_start int, n_train long, n_test long, usable boolean, penalties array<double>, cv_mse array<double>, "
+        "best_lambda double, intercept double, coefficients array<double>, mse double, r2 double"
+    )
+    names = [c.split()[0] for c in schema.split(", ")]
     roles = with_roles(cross_products(rows), scheme)
     if start_year is not None:
         roles = roles.filter(F.col("train_start") >= start_year)
     if end_year is not None:
         last = end_year - scheme.test_offset - scheme.test_years
         roles = roles.filter(F.col("train_start") <= last)
-    fits = roles.groupBy("train_start").applyInPandas(
-        fit,
-        "train_start int, n_train long, n_test long, penalties array<double>, cv_mse array<double>, "
-        "best_lambda double, intercept double, coefficients array<double>, mse double, r2 double",
-    )
+    fits = roles.groupBy("train_start").applyInPandas(fit, schema)
     return fits.withColumns(window_bounds(scheme))
 
 
 def cv_scores(fits: DataFrame) -> DataFrame:
     """Cross-validation error per window and penalty."""
     zipped = F.arrays_zip("penalties", "cv_mse")
-    return fits.select("train_start", F.inline(zipped)).withColumnsRenamed({"penalties": "penalty"})
+    return fits.filter("usable").select("train_start", F.inline(zipped)).withColumnsRenamed({"penalties": "penalty"})
+
+
+def mean_metrics(fits: DataFrame) -> DataFrame:
+    """Number of fitted windows and the mean of their test errors."""
+    fitted = fits.filter("usable")
+    return fitted.agg(F.count("*").alias("windows"), F.avg("mse").alias("mse"), F.avg("r2").alias("r2"))
 
 
 def best_lambda(fits: DataFrame) -> DataFrame:
-    return fits.select("train_start", "train_end", "test_start", "test_end", "best_lambda")
+    return fits.filter("usable").select("train_start", "train_end", "test_start", "test_end", "best_lambda")
 
 
 def ml_rows(rows: DataFrame) -> DataFrame:
@@ -247,7 +258,7 @@ def ridge_cv(
 
 def last_window_model(rows: DataFrame, fits: DataFrame) -> tuple[LinearRegressionModel, DataFrame]:
     """Spark ML model of the latest window with its chosen penalty, and that window's test rows."""
-    last = fits.orderBy(F.desc("train_start")).select(
+    last = fits.filter("usable").orderBy(F.desc("train_start")).select(
         "train_start", "train_end", "test_start", "test_end", "best_lambda"
     ).first()
     if last is None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from volscribe.functions.numeric import MD5_HEAD_RANGE, md5_head
 
@@ -14,35 +14,25 @@ FIGURE_SEED = "42"
 SCATTER_ROWS = 5_000
 BERNOULLI_SEED = "2025"
 
-RANK_CELLS = 65_536
-
 
 def sample_topn_random(df: DataFrame, keys: Sequence[str], n: int = FIGURE_ROWS, seed: str = FIGURE_SEED) -> DataFrame:
     """The ``n`` rows that come first in the order of md5(keys, seed); 0 means all.
 
-    A plain sort-and-limit has every task hand ``n`` rows to one. So rows are
-    first counted per cell of the hash range, and only cells up to the one that
-    holds the n-th row take part in the sort.
+    A plain sort-and-limit has every task hand ``n`` rows to one. So the keys alone
+    are counted first, which gives the share of the hash range that holds ``n`` rows
+    and a little more; only those rows take part in the sort. Should they be too
+    few after all, the share is doubled.
     """
     if n == 0:
         return df
-    cell = F.floor(md5_head(*keys, salt=seed) / F.lit(MD5_HEAD_RANGE // RANK_CELLS))
-    filled = df.groupBy(cell.alias("_cell")).agg(F.count("*").alias("_n"))
-    # At most 65,536 rows reach this ordered window.
-    before = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    needed = (
-        filled.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .filter(F.col("_before") < n)
-        .agg(F.max("_cell"))
-    )
+    place = md5_head(*keys, salt=seed)
+    hashes = df.select(place.alias("_place"))
+    rows = hashes.count()
+    limit = MD5_HEAD_RANGE if rows <= n else int(MD5_HEAD_RANGE * min(1.0, (n + 6 * n**0.5 + 50) / rows))
+    while limit < MD5_HEAD_RANGE and hashes.filter(F.col("_place") < limit).count() < n:
+        limit = min(MD5_HEAD_RANGE, 2 * limit)
     text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(seed))
-    return (
-        df.filter(cell <= needed.scalar())
-        .withColumn("_order", F.md5(text))
-        .orderBy("_order", *keys)
-        .limit(n)
-        .drop("_order")
-    )
+    return df.filter(place < F.lit(limit)).withColumn("_order", F.md5(text)).orderBy("_order", *keys).limit(n).drop("_order")
 
 
 def sample_bernoulli(df: DataFrame, keys: Sequence[str], fraction: float, seed: str = BERNOULLI_SEED) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from volscribe.operators.panel import parse_returns, volatility_panel
-from volscribe.session import configure, spread, work_folder
+from volscribe.session import configure, work_folder
 from volscribe.sources.ndjson import open_filesystem, standardize, union_posts_comments
 from volscribe.sources.tables import prepare_securities
 
@@ -52,7 +52,7 @@ class Inputs:
 
     def raw_posts(self) -> DataFrame:
         documents = self.table("documents").select("doc_id", "text", "source")
-        return spread(documents, "doc_id").selectExpr(
+        return documents.selectExpr(
             "concat('p', doc_id) AS id",
             f"cast({FIRST_SECOND} + ((doc_id * 37) % 2400) * 86400 + (doc_id % 24) * 3600 AS string) AS created_utc",
             "source AS subreddit",
@@ -109,8 +109,7 @@ class Inputs:
         lines = self.table("lineitem").selectExpr(
             f"{key} AS PERMNO", "cast(l_shipdate AS date) AS date", "l_extendedprice / l_quantity AS unit"
         )
-        # On few splits, one exchange by security serves this and the windows after it.
-        return spread(lines, "PERMNO").groupBy("PERMNO", "date").agg(F.avg("unit").alias("p"))
+        return lines.groupBy("PERMNO", "date").agg(F.avg("unit").alias("p"))
 
     def raw_returns(self, grain: str = "wide") -> DataFrame:
         digits = "cast(cast(round(r, 6) AS decimal(12, 6)) AS string)"
@@ -130,7 +129,7 @@ class Inputs:
 
     def panel(self, grain: str = "wide") -> DataFrame:
         # Prices are averaged per security and day, so days are unique.
-        return volatility_panel(self.returns(grain), unique_days=True)
+        return volatility_panel(self.returns(grain))
 
     # -- vectors and the ticker map ----------------------------------------------
 

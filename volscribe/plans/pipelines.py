@@ -7,11 +7,11 @@ from pyspark.sql import DataFrame, functions as F
 from volscribe.functions.text import clean
 from volscribe.operators.cleaning import filter_placeholder_text
 from volscribe.operators.embed import batch_embed
-from volscribe.operators.link import attach_security, link_panel, with_created_date
+from volscribe.operators.link import attach_security, keep_ids, link_panel, with_created_date
 from volscribe.operators.mentions import mine_mentions
 from volscribe.operators.ridge import LABEL, LAGS, design_rows, ridge_walk_forward
+from volscribe.operators.sampling import sample_bernoulli
 from volscribe.operators.tokens import tokenize_hashed
-from volscribe.plans.datasets import Inputs
 from volscribe.session import written
 
 
@@ -32,24 +32,38 @@ def mentions_on_panel(texts: DataFrame, securities: DataFrame, ticker_map: DataF
     return link_panel(attach_security(with_created_date(narrow), ticker_map), panel)
 
 
-def linked_with_vectors(inputs: Inputs) -> DataFrame:
-    """The full linked panel: mentions, panel rows and, joined last, the given vectors."""
-    linked = mentions_on_panel(inputs.texts(), inputs.securities(), inputs.ticker_map(), inputs.panel("symbol"))
-    vectors = inputs.embeddings().select(F.col("id").alias("r_id"), F.col("embed").alias("r_embed"))
+def linked_with_vectors(
+    texts: DataFrame, securities: DataFrame, ticker_map: DataFrame, panel: DataFrame, embeddings: DataFrame
+) -> DataFrame:
+    """The full linked panel: mentions, panel rows and, joined last, the given vectors.
+
+    Only vectors of texts that reach the panel go into the join.
+    """
+    linked = written(mentions_on_panel(texts, securities, ticker_map, panel), "linked")
+    vectors = keep_ids(embeddings, linked.select(F.col("r_id").alias("id")).distinct())
+    vectors = vectors.select(F.col("id").alias("r_id"), F.col("embed").alias("r_embed"))
     return linked.join(vectors, "r_id", "left")
 
 
-def text_to_forecast(inputs: Inputs, dimensions: int = 32) -> DataFrame:
+def text_to_forecast(
+    texts: DataFrame,
+    securities: DataFrame,
+    ticker_map: DataFrame,
+    panel: DataFrame,
+    dimensions: int = 32,
+    fraction: float = 1.0,
+) -> DataFrame:
     """Raw texts and returns to ridge forecasts, vectors made by the hashed encoder.
 
     Texts are read once. Short token arrays, not texts or vectors, go through the
     joins, and only mentions that reach the panel are embedded. The vectors are
     stored before fitting: they are the costly part to lose with an executor.
+    ``fraction`` is the share of linked rows to fit and test on.
     """
-    mentions = clean_mentions(inputs.texts(), inputs.securities())
+    mentions = clean_mentions(texts, securities)
     tokens = tokenize_hashed(mentions, keep=("id", "ticker", "created_utc"))
-    mapped = attach_security(with_created_date(tokens), inputs.ticker_map())
-    linked = link_panel(mapped, inputs.panel("symbol")).withColumnsRenamed(
+    linked = link_panel(attach_security(with_created_date(tokens), ticker_map), panel)
+    linked = sample_bernoulli(linked, ("r_id", "r_ticker"), fraction).withColumnsRenamed(
         {"r_input_ids": "input_ids", "r_attention_mask": "attention_mask"}
     )
     keep = ("r_id", "r_ticker", "PERMNO", "c_date", *LAGS, LABEL)

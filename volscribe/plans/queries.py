@@ -21,6 +21,8 @@ from volscribe.plans.datasets import Inputs, write_archive
 from volscribe.session import work_folder, written
 from volscribe.sources import ndjson, sinks, tables
 
+WIDEST = 1e10
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -40,9 +42,9 @@ def query(name: str, oracle: str | None = None):
 def rounded(c: Column | str, digits: int = 6) -> Column:
     """The counterpart of ``oracle.rounded``, the same arithmetic on doubles."""
     scale = float(10**digits)
-    if isinstance(c, str):
-        return F.expr(f"floor({c} * {scale}D + {sql.EDGE}D) / {scale}D")
-    return F.floor(c * F.lit(scale) + F.lit(sql.EDGE)) / F.lit(scale)
+    value = F.expr(c) if isinstance(c, str) else c
+    # What is no number, infinite or too large to round stays as it is.
+    return F.when(F.abs(value) < WIDEST, F.floor(value * F.lit(scale) + F.lit(sql.EDGE)) / F.lit(scale)).otherwise(value)
 
 
 def day(c: Column | str) -> Column:
@@ -59,13 +61,8 @@ POST_COLUMNS = "id, created_utc, subreddit, title, selftext"
 @query("scan_ndjson_compressed", f"SELECT {POST_COLUMNS} FROM posts")
 def scan_ndjson_compressed(i: Inputs) -> DataFrame:
     path = write_archive(i.raw_posts(), "posts")
-    return ndjson.drop_malformed(ndjson.read_archive(i.spark, path, "post"))
-
-
-@query("decode_ndjson_binary", f"SELECT {POST_COLUMNS} FROM comments")
-def decode_ndjson_binary(i: Inputs) -> DataFrame:
-    path = write_archive(i.raw_comments(), "comments")
-    return ndjson.drop_malformed(ndjson.read_archive(i.spark, path, "comment", method="python"))
+    tasks = int(i.spark.conf.get("spark.sql.shuffle.partitions"))
+    return ndjson.drop_malformed(ndjson.read_archive(i.spark, path, "post", spread=tasks))
 
 
 @query("json_schema_for_kind", "SELECT id, created_utc, subreddit, body FROM raw_comments")
@@ -105,9 +102,9 @@ PANEL_OUT = f"PERMNO, {DAY('date')} AS date, " + ", ".join(
 
 def panel_out(df: DataFrame) -> DataFrame:
     values = [c for c in df.columns if c not in ("PERMNO", "date")]
-    return df.selectExpr(
-        "cast(PERMNO AS bigint) AS PERMNO", "cast(date AS string) AS date",
-        *[f"floor({c} * 1e6D + {sql.EDGE}D) / 1e6D AS {c}" for c in values],
+    return df.select(
+        F.col("PERMNO").cast("bigint").alias("PERMNO"), F.col("date").cast("string").alias("date"),
+        *[rounded(c).alias(c) for c in values],
     )
 
 
@@ -146,9 +143,10 @@ def sink_partitioned_by_key(i: Inputs) -> DataFrame:
 def sink_append_sized(i: Inputs) -> DataFrame:
     path = work_folder(i.spark, "sized")
     found = mentions.mine_mentions(i.texts(), i.securities())
+    found = written(found, "mentions")
     # Written twice: the second run replaces the folders of the first.
-    sinks.write_sized(found, path, "ticker")
-    sinks.write_sized(found, path, "ticker")
+    sinks.write_sized(found, path, "ticker", dynamic=True)
+    sinks.write_sized(found, path, "ticker", dynamic=True)
     return i.spark.read.parquet(path)
 
 
@@ -173,7 +171,7 @@ def sink_parquet_zstd(i: Inputs) -> DataFrame:
 def sink_model(i: Inputs) -> DataFrame:
     """The last window's model, saved, read back and scored on that window's test year."""
     rows = written(_design(i), "design")
-    fits = ridge.ridge_walk_forward(rows, min_train_rows=1)
+    fits = ridge.ridge_walk_forward(rows)
     model, test = ridge.last_window_model(rows, fits)
     path = work_folder(i.spark, "model")
     sinks.save_model(model, path)
@@ -353,8 +351,11 @@ def semi_join_ids(i: Inputs) -> DataFrame:
     "SELECT 'clean', count(*) FROM clean_mentions UNION ALL SELECT 'linked', count(*) FROM linked",
 )
 def count_rows(i: Inputs) -> DataFrame:
-    found = mentions.mine_mentions(i.texts(), i.securities())
-    return aggregates.stage_counts({"texts": i.texts(), "mentions": found, "clean": _clean_mentions(i), "linked": _linked(i)})
+    # The stored narrow mentions also serve the last stage.
+    found = written(mentions.mine_mentions(i.texts(), i.securities()), "mentions")
+    mapped = link.attach_security(link.with_created_date(found.select("id", "created_utc", "subreddit", "ticker").distinct()), i.ticker_map())
+    linked = link.link_panel(mapped, i.panel("symbol"))
+    return aggregates.stage_counts({"texts": i.texts(), "mentions": found, "clean": _clean_mentions(i), "linked": linked})
 
 
 @query("distinct_keys_sorted", "SELECT DISTINCT PERMNO FROM ret_wide ORDER BY PERMNO")
@@ -442,7 +443,7 @@ def window_row_guards_ridge(i: Inputs) -> DataFrame:
     "WHERE r_embed IS NOT NULL) GROUP BY PERMNO, c_date, dim",
 )
 def security_day_mean_embedding(i: Inputs) -> DataFrame:
-    mean = embed.security_day_mean(pipelines.linked_with_vectors(i), ("PERMNO", "c_date"), "r_embed")
+    mean = embed.security_day_mean(_linked_with_vectors(i), ("PERMNO", "c_date"), "r_embed")
     return mean.select("PERMNO", day("c_date").alias("date"), F.posexplode("r_embed").alias("dim", "v")).select(
         "PERMNO", "date", "dim", rounded("v", 5).alias("mean_value")
     )
@@ -537,7 +538,7 @@ def _sample_sql(n: int, seed: str, columns: str, source: str) -> str:
 
 @query("sample_topn_random", _sample_sql(20_000, "42", f"{R('ret')} AS ret", "ret_wide"))
 def sample_topn_random(i: Inputs) -> DataFrame:
-    return panel_out(sampling.sample_topn_random(written(i.returns(), "returns"), ("PERMNO", "date"), 20_000))
+    return panel_out(sampling.sample_topn_random(i.returns(), ("PERMNO", "date"), 20_000))
 
 
 @query(
@@ -545,7 +546,7 @@ def sample_topn_random(i: Inputs) -> DataFrame:
     _sample_sql(5_000, "scatter", ", ".join(f"{R(c)} AS {c}" for c in diagnostics.SCATTER_COLUMNS), "panel_wide"),
 )
 def scatter_sample(i: Inputs) -> DataFrame:
-    return panel_out(diagnostics.scatter_sample(written(i.panel(), "panel"), ("PERMNO", "date")))
+    return panel_out(diagnostics.scatter_sample(i.panel(), ("PERMNO", "date")))
 
 
 @query(
@@ -701,26 +702,6 @@ HASHED_IDS = (
 DIMENSIONS = 16
 
 
-SHORT_WORD_IDS = (
-    "list_concat([2], list_transform(list_filter(string_split(clean_text, ' '), lambda w: w <> '')[1:30], lambda w: "
-    "CASE WHEN regexp_full_match(w, '[a-z]') THEN 4 + ascii(w) - 97 "
-    "WHEN regexp_full_match(w, '[a-z][a-z]') THEN 30 + (ascii(w) - 97) * 26 + ascii(w[2]) - 97 ELSE 1 END), [3])"
-)
-
-
-@query(
-    "tokenize_fixed_length",
-    f"SELECT id, ticker, array_to_string(list_resize({SHORT_WORD_IDS}, 32, 0), ' ') AS input_ids, "
-    f"CAST(len({SHORT_WORD_IDS}) AS INTEGER) AS tokens FROM clean_mentions",
-)
-def tokenize_fixed_length(i: Inputs) -> DataFrame:
-    out = tokens.tokenize_fixed_length(_clean_mentions(i), _short_word_tokenizer())
-    return out.select(
-        "id", "ticker", F.array_join("input_ids", " ").alias("input_ids"),
-        F.aggregate("attention_mask", F.lit(0), lambda a, b: a + b).alias("tokens"),
-    )
-
-
 @query(
     "tokenize_hashed",
     f"SELECT id, ticker, array_to_string(list_resize({HASHED_IDS}, 32, 0), ' ') AS input_ids, "
@@ -823,14 +804,20 @@ def ridge_cv_spark_ml(i: Inputs) -> DataFrame:
 @query("ridge_walk_forward")
 def ridge_walk_forward(i: Inputs) -> DataFrame:
     return _ridge(i).select(
-        "train_start", "train_end", "test_start", "test_end", "n_train", "n_test", "best_lambda", rounded("mse", 8).alias("mse"), rounded("r2").alias("r2")
+        "train_start", "train_end", "test_start", "test_end", "n_train", "n_test", "usable", "best_lambda", rounded("mse", 8).alias("mse"), rounded("r2").alias("r2")
     )
 
 
+@query("mean_window_metrics_ridge")
+def mean_window_metrics_ridge(i: Inputs) -> DataFrame:
+    out = ridge.mean_metrics(_ridge(i))
+    return out.select("windows", rounded("mse", 8).alias("mse"), rounded("r2").alias("r2"))
+
+
 @query("ridge_walk_forward_security_day")
 def ridge_walk_forward_security_day(i: Inputs) -> DataFrame:
-    rows = ridge.design_rows(pipelines.linked_with_vectors(i), grain="security_day")
-    return ridge.ridge_walk_forward(rows).select("train_start", "n_train", "n_test", "best_lambda", rounded("mse", 8).alias("mse"))
+    rows = ridge.design_rows(_linked_with_vectors(i), grain="security_day")
+    return ridge.ridge_walk_forward(rows).select("train_start", "n_train", "n_test", "usable", "best_lambda", rounded("mse", 8).alias("mse"))
 
 
 @query("best_lambda")
@@ -840,8 +827,8 @@ def best_lambda(i: Inputs) -> DataFrame:
 
 @query("text_to_forecast")
 def text_to_forecast(i: Inputs) -> DataFrame:
-    out = pipelines.text_to_forecast(i)
-    return out.select("train_start", "train_end", "test_start", "test_end", "n_train", "n_test", "best_lambda", rounded("mse", 8).alias("mse"), rounded("r2").alias("r2"))
+    out = pipelines.text_to_forecast(i.texts(), i.securities(), i.ticker_map(), i.panel("symbol"))
+    return out.select("train_start", "train_end", "test_start", "test_end", "n_train", "n_test", "usable", "best_lambda", rounded("mse", 8).alias("mse"), rounded("r2").alias("r2"))
 
 
 # -------------------------------------------------------------------- diagnostics
@@ -920,12 +907,16 @@ def _linked_out(df: DataFrame) -> DataFrame:
     return df.select("r_id", "r_ticker", "PERMNO", day("c_date").alias("c_date"), rounded("c_vol_22").alias("c_vol_22"), rounded("c_y_1").alias("c_y_1"))
 
 
+def _linked_with_vectors(i: Inputs) -> DataFrame:
+    return pipelines.linked_with_vectors(i.texts(), i.securities(), i.ticker_map(), i.panel("symbol"), i.embeddings())
+
+
 def _design(i: Inputs) -> DataFrame:
-    return ridge.design_rows(pipelines.linked_with_vectors(i))
+    return ridge.design_rows(_linked_with_vectors(i))
 
 
 def _ridge(i: Inputs) -> DataFrame:
-    return ridge.ridge_walk_forward(_design(i), start_year=1995, end_year=2002)
+    return ridge.ridge_walk_forward(_design(i))
 
 
 def _har_rows(i: Inputs) -> DataFrame:
@@ -938,18 +929,3 @@ def _daily_out(df: DataFrame) -> DataFrame:
 
 def _total(values: Column, digits: int) -> Column:
     return rounded(F.aggregate(values, F.lit(0.0), lambda a, b: a + b), digits)
-
-
-def _short_word_tokenizer() -> str:
-    """A tokenizer that knows every word of one or two letters, numbered by rule."""
-    import string
-
-    from tokenizers import Tokenizer, models, pre_tokenizers, processors
-
-    letters = string.ascii_lowercase
-    entries = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", *letters, *(a + b for a in letters for b in letters)]
-    vocabulary = {entry: number for number, entry in enumerate(entries)}
-    tokenizer = Tokenizer(models.WordLevel(vocabulary, unk_token="[UNK]"))
-    tokenizer.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
-    tokenizer.post_processor = processors.BertProcessing(("[SEP]", vocabulary["[SEP]"]), ("[CLS]", vocabulary["[CLS]"]))
-    return tokenizer.to_str()

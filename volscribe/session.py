@@ -16,7 +16,6 @@ RUNTIME_SETTINGS = {
     # A hot join key is split even when that costs one more exchange downstream.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
@@ -83,16 +82,6 @@ def written(df: DataFrame, label: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Deal rows out by ``key`` when the input has fewer splits than there are cores.
-
-    For costly row-wise work on a few unsplittable files. An input with enough
-    splits, as any large one, is left as it is and not shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def measured_bytes(df: DataFrame) -> int:
     """In-memory size of ``df``, from one aggregate over its columns."""
     parts = [str(ROW_OVERHEAD_BYTES)]

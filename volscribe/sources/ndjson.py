@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import io
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # The fields kept of each record, all read as text.
@@ -12,8 +9,6 @@ COMMON_FIELDS = ("id", "created_utc", "subreddit")
 POST_FIELDS = ("title", "selftext")
 COMMENT_FIELDS = ("body",)
 
-CHUNK_LINES = 8192
-
 
 def json_schema(kind: str) -> str:
     """DDL schema of one record; any kind but 'post' is a comment."""
@@ -21,23 +16,6 @@ def json_schema(kind: str) -> str:
     return ", ".join(f"{name} string" for name in COMMON_FIELDS + extra)
 
 
-def read_lines(spark: SparkSession, path: str, method: str = "jvm") -> DataFrame:
-    """One row per line of the files at ``path``, in a column ``value``.
-
-    ``jvm`` lets Spark's text reader decompress. ``python`` is for clusters whose
-    readers lack the codec: each task opens one file and decompresses it as a
-    stream, so no archive is ever held whole.
-    """
-    if method == "jvm":
-        return spark.read.text(path)
-    if method == "python":
-        # Only path and length are selected, so file contents stay unread here. The
-        # scan packs files by length, so a large archive gets a task of its own.
-        files = spark.read.format("binaryFile").load(path).select("path", "length")
-        return files.mapInPandas(_stream_lines, "value string")
-    raise ValueError(f"unknown read method {method!r}")
-
-
 def open_filesystem(path: str):
     """Arrow file system and inner path for a path as Spark spells it."""
     from pyarrow import fs
@@ -49,31 +27,6 @@ def open_filesystem(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-def _stream_lines(batches: Iterator) -> Iterator:
-    import pandas as pd
-    import zstandard
-
-    for batch in batches:
-        for path in batch["path"]:
-            filesystem, inner = open_filesystem(path)
-            with filesystem.open_input_stream(inner, compression=None) as raw:
-                stream = raw
-                if path.endswith((".zst", ".zstd")):
-                    stream = zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True)
-                elif path.endswith(".gz"):
-                    import gzip
-
-                    stream = gzip.GzipFile(fileobj=raw)
-                lines: list[str] = []
-                for line in io.TextIOWrapper(stream, encoding="utf-8", errors="replace", newline="\n"):
-                    lines.append(line.rstrip("\r\n"))
-                    if len(lines) == CHUNK_LINES:
-                        yield pd.DataFrame({"value": lines})
-                        lines = []
-                if lines:
-                    yield pd.DataFrame({"value": lines})
-
-
 def parse_records(lines: DataFrame, kind: str) -> DataFrame:
     """Lines to record columns; a malformed line becomes a row of nulls."""
     return lines.select(F.from_json("value", json_schema(kind)).alias("record")).select("record.*")
@@ -91,16 +44,14 @@ def standardize(records: DataFrame, kind: str) -> DataFrame:
     )
 
 
-def read_archive(
-    spark: SparkSession, path: str, kind: str, method: str = "jvm", spread: int | None = None
-) -> DataFrame:
+def read_archive(spark: SparkSession, path: str, kind: str, spread: int | None = None) -> DataFrame:
     """Read an archive into the common column set.
 
-    An archive cannot be split while it is decompressed, so one task reads one
-    file. ``spread`` deals the raw lines out to that many tasks *before* the
-    JSON is parsed, which is the costly part.
+    Spark's text reader decompresses it. An archive cannot be split while that
+    happens, so one task reads one file. ``spread`` deals the raw lines out to that
+    many tasks *before* the JSON is parsed, which is the costly part.
     """
-    lines = read_lines(spark, path, method)
+    lines = spark.read.text(path)
     if spread:
         lines = lines.repartition(spread)
     return standardize(parse_records(lines, kind), kind)

@@ -27,11 +27,12 @@ def write_layout(
     compression: str = "snappy",
     max_records: int | None = None,
     mode: str = "overwrite",
+    dynamic: bool = False,
 ) -> None:
     """Write Parquet, in one folder per value of ``key`` when it is given.
 
-    With a key, only the folders this frame has rows for are replaced, so a rerun
-    leaves the same rows and other folders stay as they are.
+    An overwrite replaces all that was there. With ``dynamic`` and a key, only the
+    folders this frame has rows for are replaced, and others stay as they are.
     """
     if key:
         df = df.hint("rebalance", F.col(key)).sortWithinPartitions(key, *sort)
@@ -41,7 +42,7 @@ def write_layout(
     if max_records:
         writer = writer.option("maxRecordsPerFile", max_records)
     if key:
-        writer = writer.partitionBy(key).option("partitionOverwriteMode", "dynamic")
+        writer = writer.partitionBy(key).option("partitionOverwriteMode", "dynamic" if dynamic else "static")
     writer.parquet(path)
 
 
@@ -53,15 +54,15 @@ def write_by_key(df: DataFrame, path: str, key: str, sort: Sequence[str] = ()) -
     write_layout(df, path, key=key, sort=sort)
 
 
-def write_sized(df: DataFrame, path: str, key: str, append: bool = False) -> None:
+def write_sized(df: DataFrame, path: str, key: str, append: bool = False, dynamic: bool = False) -> None:
     """Partitioned files of at most 300,000 records.
 
-    Replaces the folders it writes to; ``append=True`` adds files instead, which
+    Replaces the table; ``dynamic=True`` only the folders it writes to, so a rerun
+    over some keys leaves the others. ``append=True`` adds files instead, which
     doubles the rows when a job is run twice.
     """
-    write_layout(
-        df, path, key=key, max_records=MAX_RECORDS_PER_FILE, mode="append" if append else "overwrite"
-    )
+    mode = "append" if append else "overwrite"
+    write_layout(df, path, key=key, max_records=MAX_RECORDS_PER_FILE, mode=mode, dynamic=dynamic)
 
 
 def write_bucketed(df: DataFrame, path: str, key: str, buckets: int = BUCKETS, method: str = "crc32") -> None:
