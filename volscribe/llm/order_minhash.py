@@ -21,13 +21,14 @@ from volscribe.llm.components import components
 from volscribe.llm.words import shingles, word_hashes
 from volscribe.session import broadcast_if_small, written
 
-# Sketches of a text, k-mers of a sketch, and sketches that candidates share at least. At
-# a similarity of 0.8 two texts have 13 in common on average, and fewer than two in three
-# cases of a million; at 0.25, where texts share a passage, two in less than one of a thousand.
-SKETCHES, KMERS, SHARED = 40, 5, 2
+# Sketches of a text, and k-mers of a sketch. At a similarity of 0.8 two texts have 13 of
+# the sketches in common on average, and none in one of ten million cases.
+SKETCHES, KMERS = 40, 5
 SIMILARITY = 0.8
 # Texts of a group that its others meet in one turn, and turns at most before all pairs do.
-STARS, TURNS = 3, 3
+STARS, TURNS = 3, 2
+# Cells that count how common k-mers are; this only orders them.
+CELLS = 1 << 20
 _ODD = np.random.default_rng(4).integers(0, 2**31, SKETCHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
@@ -193,18 +194,77 @@ def _ordered(pairs: DataFrame, node_1: str, node_2: str, root_1: str, root_2: st
     return pairs.select(*[F.when(first, F.col(x)).otherwise(F.col(y)).alias(name) for name, x, y in ends])
 
 
-def _all_pairs(left: DataFrame) -> DataFrame:
-    """All pairs of texts of different classes that share SHARED groups and have lengths that near copies can have."""
+def _commonness(words: DataFrame) -> np.ndarray:
+    """How many k-mers of ``words`` hash to each of CELLS cells.
+
+    Tasks add up their own and send what they have in pieces, which are added up by
+    piece. Its size is fixed, whatever the number of texts, so every task may have it.
+    """
+    piece = CELLS // 64
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for body in batch.column("body").to_pylist():
+                np.add.at(cells, (_labels(body) % np.uint64(CELLS)).astype(np.int64), 1)
+        parts = [(k, cells[k * piece : (k + 1) * piece].tobytes()) for k in range(64)]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts]), pa.array([c for _, c in parts], pa.binary())], ["piece", "cells"])
+
+    def added(group: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(c, np.int64) for c in group.column("cells").to_pylist())
+        return pa.table([group.column("piece").slice(0, 1), pa.array([total.tobytes()], pa.binary())], names=["piece", "cells"])
+
+    schema = "piece bigint, cells binary"
+    rows = words.select("body").mapInArrow(counted, schema).groupBy("piece").applyInArrow(added, schema).toLocalIterator()
+    parts = {r["piece"]: np.frombuffer(bytes(r["cells"]), np.int64) for r in rows}
+    return np.concatenate([parts[k] for k in range(64)]) if parts else np.zeros(CELLS, np.int64)
+
+
+def _labels(body: bytes) -> np.ndarray:
+    words = np.frombuffer(body, "<u4").astype(np.uint64)
+    return labelled(shingles(words, np.array([0, len(words)]))[0])
+
+
+def rarest(labels: np.ndarray, commonness: np.ndarray) -> np.ndarray:
+    """The least common of a text's labelled k-mers, so many that any near copy has one of its own among them.
+
+    Near copies have 0.8 of the longer one's k-mers in common, so not all of them are
+    outside the first fifth and one more, in one order of all k-mers.
+    """
+    number = len(labels) - int(np.ceil(SIMILARITY * len(labels) - 1e-9)) + 1
+    order = np.lexsort((labels, commonness[(labels % np.uint64(len(commonness))).astype(np.int64)]))
+    return labels[order[:number]]
+
+
+def _all_pairs(left: DataFrame, words: DataFrame) -> DataFrame:
+    """All pairs of texts of different classes that can be near copies.
+
+    Two such texts share one of the rarest k-mers of each. This leaves out no near
+    copies, but most pairs that only share a passage.
+    """
+    nodes = written(left.select("node", "kmers", "root").distinct(), "nodes")
+    own = written(words.join(broadcast_if_small(nodes.select("node")), "node", "left_semi"), "bodies")
+    commonness = words.sparkSession.sparkContext.broadcast(_commonness(own))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [rarest(_labels(body), commonness.value).astype(np.int64) for body in batch.column("body").to_pylist()]
+            which = np.repeat(np.arange(batch.num_rows), [len(f) for f in found])
+            if len(which):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), batch.column("node").take(pa.array(which))], ["kmer", "node"])
+
+    rare = written(own.mapInArrow(rows, "kmer bigint, node binary"), "rare")
+    several = rare.groupBy("kmer").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
+    rare = written(rare.join(written(several.select("kmer"), "several"), "kmer").join(nodes, "node"), "rare")
     # Lengths in steps of 1 / 0.8: near copies are in the same step or in neighbouring ones.
     step = F.floor(F.log("kmers") / float(np.log(1 / SIMILARITY)) + 1e-9)
     names = ("node", "kmers", "root")
-    one = left.select("sketch", F.explode(F.array(step, step + 1)).alias("step"), step.alias("own"), *[F.col(c).alias(c + "_1") for c in names])
-    two = left.select("sketch", step.alias("step"), *[F.col(c).alias(c + "_2") for c in names])
+    one = rare.select("kmer", F.explode(F.array(step, step + 1)).alias("step"), step.alias("own"), *[F.col(c).alias(c + "_1") for c in names])
+    two = rare.select("kmer", step.alias("step"), *[F.col(c).alias(c + "_2") for c in names])
     close = f"least(kmers_1, kmers_2) >= {SIMILARITY} * greatest(kmers_1, kmers_2) - 1e-9"
     once = "(own < step OR node_1 < node_2)"
-    crossing = one.join(two, ["sketch", "step"]).where(f"root_1 <> root_2 AND {close} AND {once}")
-    pairs = _ordered(crossing, "node_1", "node_2", "root_1", "root_2").groupBy("a", "b", "root_a", "root_b")
-    return pairs.agg(F.count("*").alias("shared")).where(F.col("shared") >= SHARED).drop("shared")
+    crossing = one.join(two, ["kmer", "step"]).where(f"root_1 <> root_2 AND {close} AND {once}")
+    return _ordered(crossing, "node_1", "node_2", "root_1", "root_2").distinct()
 
 
 def _joined(classed: DataFrame, links: DataFrame) -> DataFrame:
@@ -224,9 +284,9 @@ def near_classes(docs: DataFrame) -> DataFrame:
 
     The texts of one sketch form a group. To keep large groups of near copies from
     meeting in all pairs, they first meet a few of their group, and turn by turn those
-    not yet in one class meet a few others. When few pairs are left, after TURNS turns or
-    one without links, all candidates that are still in different classes meet, so none
-    that could join two classes are left out.
+    not yet in one class meet a few others. After TURNS turns, or one without links, all
+    texts of open groups that are still in different classes and share a rare k-mer meet,
+    so none that could join two classes are left out.
     """
     docs = id_and_text(docs).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     own = written(sketched(docs), "sketches")
@@ -249,13 +309,8 @@ def near_classes(docs: DataFrame) -> DataFrame:
             break
         classed, turn = _joined(classed, links), turn + 1
         left = _open_groups(classed)
-        by_class = left.groupBy("sketch", "root").agg(F.count("*").alias("n")).groupBy("sketch")
-        pairs = by_class.agg((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("pairs"), F.sum("n").alias("rows"))
-        pairs, rows = pairs.agg(F.coalesce(F.sum("pairs") / 2, F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0))).first()
-        if pairs <= STARS * rows:
-            break
     if not left.isEmpty():
-        links = verified(written(_all_pairs(left), "pairs"), words)
+        links = verified(written(_all_pairs(left, words), "pairs"), words)
         if not links.isEmpty():
             classed = _joined(classed, links)
 
