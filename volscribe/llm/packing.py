@@ -27,7 +27,7 @@ from volscribe.session import written
 CAPACITY = 4096
 END_ID = 1
 # Distinct words that a worker remembers the ids of.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 400_000
 # A control character that is a token of its own.
 _BETWEEN = "\x01"
 
