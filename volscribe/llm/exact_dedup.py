@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from volscribe.llm.common import SLICE_BYTES, id_and_text, mixed, slices
-from volscribe.session import written
+from volscribe.session import broadcast_if_small, written
 
 # Chunk lengths in bytes: least, most, and the mean distance of the places where a text may be cut.
 LEAST, MOST, MEAN = 256, 4096, 1024
@@ -96,11 +96,12 @@ def recipes(docs: DataFrame, digest_bytes: int) -> DataFrame:
 
 
 def exact_groups(docs: DataFrame, digest_bytes: int = 16) -> DataFrame:
-    """doc_id, keep_id, group_size, kept and text_sha256 of every document (doc_id, text).
+    """doc_id, keep_id, group_size, kept, text_sha256 and times of every document (doc_id, text).
 
     Null texts are empty, and all empty texts are equal. Of equal texts the smallest
     doc_id stays; a null doc_id stays only when the whole group has none. Rows that
-    repeat both doc_id and text come out as one row, but ``group_size`` counts each.
+    repeat both doc_id and text come out as one row with their number in ``times``, and
+    ``group_size`` counts each.
     An empty table gives no rows; other columns are not read.
 
     Should two different chunks share a digest, all digests are made twice as long
@@ -124,4 +125,25 @@ def exact_groups(docs: DataFrame, digest_bytes: int = 16) -> DataFrame:
         F.coalesce("group_size", "times").alias("group_size"),
         F.col("doc_id").eqNullSafe(F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id"))).alias("kept"),
         "text_sha256",
+        "times",
     )
+
+
+def first_copies(docs: DataFrame) -> DataFrame:
+    """Those rows of ``docs`` (doc_id, text, ...) that stay, with all their columns; of repeated rows, one.
+
+    What stays is named by doc_id, and by text as well only where rows share a doc_id.
+    The ids are broadcast if they measure small; else Spark shuffles and splits.
+    """
+    groups = written(exact_groups(docs), "groups")
+    ids = groups.groupBy("doc_id").agg(F.sum("times").alias("id rows"), F.bool_or("kept").alias("any kept"))
+    ids = written(ids.select(F.col("doc_id").alias("named id"), "id rows", "any kept"), "ids")
+    same = F.col("doc_id").eqNullSafe(F.col("named id"))
+    once = ids.where("`id rows` = 1 AND `any kept`").select("named id")
+    plain = docs.join(broadcast_if_small(once), same, "left_semi")
+    shared = docs.join(broadcast_if_small(ids.where("`id rows` > 1 AND `any kept`").select("named id")), same, "left_semi")
+    text = F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " ")
+    shared = shared.withColumn("text hash", F.sha2(text, 256))
+    kept = groups.where("kept").select(F.col("doc_id").alias("named id"), F.col("text_sha256").alias("named hash"))
+    shared = shared.join(kept, same & (F.col("text hash") == F.col("named hash")), "left_semi").dropDuplicates(["doc_id", "text hash"])
+    return plain.unionByName(shared.drop("text hash"))

@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from volscribe.llm.common import prepared, shuffle_parts
-from volscribe.session import written
+from volscribe.session import broadcast_if_small, written
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST_COPIES = 1.5, 2
@@ -23,6 +23,7 @@ SHARE, MOST_COPIES = 1.5, 2
 BLOCK = 32
 # Documents of a tier have lengths from one power of this to the next.
 TIER = 16
+_NULLS = {"ignoreNullFields": "false"}
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -207,19 +208,21 @@ def mixed_rows(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int
     Rows that are alike in doc_id, source and number of words have the copies of such
     rows in ``mix``, in the order of their texts.
     """
-    plan = mix(docs, weights, share, most)
-    key = F.to_json(F.struct("doc_id", "source", "size"), {"ignoreNullFields": "false"})
-    plan = plan.where("copies > 0").groupBy(key.alias("mix key")).agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col("copy").cast("int"), F.col("copies").cast("int")))).alias("mix copies")
-    )
+    plan = written(mix(docs, weights, share, most), "plan")
     # Column names with a space, which no other column of the input should have.
-    own = F.to_json(
-        F.struct(
-            F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size")
-        ), {"ignoreNullFields": "false"},
-    )
-    joined = docs.withColumn("mix key", own).join(plan, "mix key")
-    number = F.row_number().over(W.partitionBy("mix key").orderBy("text"))
-    counted = joined.withColumn("mix number", number).withColumn("mix times", F.expr("try_element_at(`mix copies`, `mix number`)"))
-    repeated = counted.where("`mix times` > 0").withColumn("mix times", F.explode(F.sequence(F.lit(1), F.col("mix times"))))
-    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
+    name = F.to_json(F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source")), _NULLS)
+    plan = plan.select(name.alias("mix key"), "size", "copy", "copies")
+    keys = written(plan.groupBy("mix key").agg(F.count("*").alias("rows"), F.sum("copies").alias("mix times")), "keys")
+    named = docs.withColumn("mix key", name)
+    once = keys.where("rows = 1 AND `mix times` > 0").select("mix key", "mix times")
+    single = named.join(broadcast_if_small(once), "mix key")
+    several = keys.where("rows > 1").select("mix key")
+    number = F.row_number().over(W.partitionBy("mix key", "mix size").orderBy("text"))
+    alike = named.join(broadcast_if_small(several), "mix key", "left_semi").withColumn("mix size", word_count())
+    alike = alike.withColumn("mix copy", number)
+    takes = plan.where("copies > 0").join(several, "mix key", "left_semi").select(
+        "mix key", F.col("size").alias("mix size"), F.col("copy").alias("mix copy"), F.col("copies").alias("mix times")
+    )
+    alike = alike.join(takes, ["mix key", "mix size", "mix copy"]).drop("mix size", "mix copy")
+    times = F.explode(F.sequence(F.lit(1), F.col("mix times").cast("int")))
+    return single.unionByName(alike).withColumn("mix times", times).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -64,7 +64,7 @@ FROM texts WINDOW same AS (PARTITION BY plain)
 
 @query("op2_exact_dedup", OP2_SQL)
 def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return exact_dedup.exact_groups(table(spark, folder, "documents"))
+    return exact_dedup.exact_groups(table(spark, folder, "documents")).drop("times")
 
 
 @query("op3_suffix_dedup")
