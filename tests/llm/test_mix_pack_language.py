@@ -148,6 +148,16 @@ def test_op8_odd(odd, nothing):
     assert rows.count() == sum(r.copies for r in got)
 
 
+def test_mixed_rows_of_ids_that_several_rows_share(spark):
+    rows = [(1, "one two", "s", k) for k in range(3)] + [(1, "three", "s", 9), (None, "four five", None, 0), (2, "six", "t", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size int")
+    planned = Counter()
+    for r in mixing.mix(docs).collect():
+        planned[r.doc_id, r.source, r["size"]] += r.copies
+    found = Counter((r.doc_id, r.source, len(r.text.split())) for r in mixing.mixed_rows(docs).collect())
+    assert found == +planned
+
+
 def test_op10_accuracy_and_rules(spark):
     docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = {r.doc_id: r for r in queries.QUERIES["op10_language_id"](spark, SF).collect()}

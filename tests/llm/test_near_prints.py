@@ -41,6 +41,17 @@ def test_occurrences_are_labelled_in_order(values):
     assert len(set(labels.tolist())) == len(values)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 30), min_size=1, max_size=30), st.lists(st.integers(0, 30), max_size=6), st.integers(0, 5), st.integers(1, 8))
+def test_near_copies_share_a_rarest_kmer(base, added, dropped, cells):
+    commonness = np.random.default_rng(cells).integers(0, 5, cells)
+    a = np.array(base, np.uint64)
+    b = np.array(base[dropped:] + added, np.uint64)
+    if len(b) and order_minhash.near(a, b):
+        rare = [order_minhash.rarest(order_minhash.labelled(x), commonness) for x in (a, b)]
+        assert np.intersect1d(*rare).size
+
+
 def shingled(text):
     words = text.split()
     return [tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))] if words else []

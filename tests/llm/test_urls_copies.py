@@ -82,3 +82,11 @@ def test_copies_odd(odd, nothing):
     assert by_id[None].keep_id == 4 and not by_id[None].kept
     assert by_id[9].keep_id == 8 and by_id[3].kept and by_id[-5].kept
     assert exact_dedup.exact_groups(nothing).count() == 0
+
+
+def test_first_copies_of_ids_that_several_rows_share(spark):
+    rows = [(1, "a", "x"), (1, "a", "x"), (1, "b  c", "y"), (2, "a", "z"), (3, "b c", "z"), (4, "d", None), (None, "e", None), (None, "a", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept string")
+    got = exact_dedup.first_copies(docs)
+    assert got.columns == docs.columns
+    assert rows_of(got) == sorted([(1, "a", "x"), (1, "b  c", "y"), (4, "d", None), (None, "e", None)], key=repr)
