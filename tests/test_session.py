@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,3 +49,12 @@ def test_broadcast_only_when_small(spark):
     hinted = lambda frame: "ResolvedHint" in frame._jdf.queryExecution().analyzed().toString()
     assert hinted(session.broadcast_if_small(df))
     assert not hinted(session.broadcast_if_small(df, limit=100))
+
+
+def test_work_folders_are_removed_on_request(spark, monkeypatch):
+    monkeypatch.setattr(session, "_made", [])
+    stored = session.written(spark.range(5), "gone")
+    assert stored.count() == 5 and len(session._made) == 1
+    path = session._made[0].removeprefix("file://")
+    assert Path(path).is_dir() and session.remove_work(spark) == 1
+    assert not Path(path).exists() and session.remove_work(spark) == 0

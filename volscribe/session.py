@@ -25,6 +25,7 @@ ROW_OVERHEAD_BYTES = 48
 
 _local_root: str | None = None
 _shipped: set[str] = set()
+_made: list[str] = []
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -72,7 +73,18 @@ def work_folder(spark: SparkSession, label: str = "stage") -> str:
         if _local_root is None:
             _local_root = tempfile.mkdtemp(prefix="run-")
         root = "file://" + _local_root
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+    _made.append(path)
+    return path
+
+
+def remove_work(spark: SparkSession) -> int:
+    """Delete the folders made since the last call, once no result reads them any more; their number."""
+    configuration, removed = spark.sparkContext._jsc.hadoopConfiguration(), 0
+    while _made:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        removed += folder.getFileSystem(configuration).delete(folder, True)
+    return removed
 
 
 def written(df: DataFrame, label: str = "stage") -> DataFrame:
