@@ -142,8 +142,8 @@ class Judge:
         sums = np.zeros((len(found), self.dimensions), np.float32)
         known = [f[0] for f in found if f is not None]
         every = np.unique(np.concatenate(known)) if known and names else np.empty(0, np.int64)
-        for low in range(0, len(every), 8192):
-            block = every[low : low + 8192]
+        for low in range(0, len(every), 4096):
+            block = every[low : low + 4096]
             rows = self.vectors.triples(block).astype(np.float32)
             for k, one in enumerate(found):
                 if one is not None:
