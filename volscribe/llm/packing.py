@@ -27,7 +27,7 @@ from volscribe.session import written
 CAPACITY = 4096
 END_ID = 1
 # Distinct words that a worker remembers the ids of.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_500_000
 # A control character that is a token of its own.
 _BETWEEN = "\x01"
 
@@ -68,7 +68,8 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.row: dict[int, int] = {}
+        # Sorted hashes, and the row of each in the arrays below.
+        self.hashes, self.row = np.empty(0, np.uint64), np.empty(0, np.int64)
         self.ids, self.start, self.count = np.empty(1 << 20, "<u4"), np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int64)
         self.used = 0
 
@@ -89,7 +90,8 @@ class Encoder:
                 out += self._ids(some)
         return out
 
-    def _learn(self, hashes: list[int], words: list[bytes]) -> None:
+    def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        """Remember words, given in the order of their hashes."""
         found = self.fresh(words)
         counts = np.array([len(x) for x in found], np.int64)
         rows, high = len(self.row), self.used + int(counts.sum())
@@ -101,11 +103,13 @@ class Encoder:
         self.start[rows : rows + len(words)] = self.used + np.cumsum(counts) - counts
         self.count[rows : rows + len(words)] = counts
         self.used = high
-        self.row.update(zip(hashes, range(rows, rows + len(words)), strict=True))
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes = np.insert(self.hashes, at, hashes)
+        self.row = np.insert(self.row, at, np.arange(rows, rows + len(words)))
 
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and where each text's start, with the end last."""
-        if len(self.row) > CACHED_WORDS:
+        if len(self.hashes) > CACHED_WORDS:
             self._forget()
         start, end, first = word_spans(data, at)
         if not len(start):
@@ -114,12 +118,16 @@ class Encoder:
         codes, distinct = pd.factorize(span_hashes(data, start, end))
         example = np.empty(len(distinct), np.int64)
         example[codes[::-1]] = np.arange(len(codes))[::-1]
-        hashes, stored = distinct.tolist(), data.tobytes()
-        new = [k for k, h in enumerate(hashes) if h not in self.row]
-        if new:
-            spans = zip(start[example[new]].tolist(), end[example[new]].tolist(), strict=True)
-            self._learn([hashes[k] for k in new], [stored[i:j] for i, j in spans])
-        rows = np.fromiter(map(self.row.__getitem__, hashes), np.int64, len(hashes))[codes]
+        at_hash = np.searchsorted(self.hashes, distinct)
+        known = np.zeros(len(distinct), bool)
+        inside = at_hash < len(self.hashes)
+        known[inside] = self.hashes[at_hash[inside]] == distinct[inside]
+        if not known.all():
+            new = np.flatnonzero(~known)
+            new = new[np.argsort(distinct[new])]
+            stored, spans = data.tobytes(), zip(start[example[new]].tolist(), end[example[new]].tolist(), strict=True)
+            self._learn(distinct[new], [stored[i:j] for i, j in spans])
+        rows = self.row[np.searchsorted(self.hashes, distinct)][codes]
         counts = self.count[rows]
         before = np.r_[0, np.cumsum(counts)]
         return self.ids[np.repeat(self.start[rows] - before[:-1], counts) + np.arange(before[-1])], before[first]
