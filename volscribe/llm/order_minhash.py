@@ -239,8 +239,9 @@ def rarest(labels: np.ndarray, commonness: np.ndarray) -> np.ndarray:
 def _all_pairs(left: DataFrame, words: DataFrame) -> DataFrame:
     """All pairs of texts of different classes that can be near copies.
 
-    Two such texts share one of the rarest k-mers of each. This leaves out no near
-    copies, but most pairs that only share a passage.
+    Two such texts share one of the rarest k-mers of each, and from the first one they
+    share on, in the order of all k-mers, each has as many left as near copies have in
+    common. This leaves out no near copies, but most pairs that only share a passage.
     """
     nodes = written(left.select("node", "kmers", "root").distinct(), "nodes")
     own = written(words.join(broadcast_if_small(nodes.select("node")), "node", "left_semi"), "bodies")
@@ -251,17 +252,20 @@ def _all_pairs(left: DataFrame, words: DataFrame) -> DataFrame:
             found = [rarest(_labels(body), commonness.value).astype(np.int64) for body in batch.column("body").to_pylist()]
             which = np.repeat(np.arange(batch.num_rows), [len(f) for f in found])
             if len(which):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), batch.column("node").take(pa.array(which))], ["kmer", "node"])
+                places = pa.array(np.concatenate([np.arange(len(f)) for f in found]))
+                columns = [pa.array(np.concatenate(found)), places, batch.column("node").take(pa.array(which))]
+                yield pa.RecordBatch.from_arrays(columns, ["kmer", "place", "node"])
 
-    rare = written(own.mapInArrow(rows, "kmer bigint, node binary"), "rare")
+    rare = written(own.mapInArrow(rows, "kmer bigint, place bigint, node binary"), "rare")
     several = rare.groupBy("kmer").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
     rare = written(rare.join(written(several.select("kmer"), "several"), "kmer").join(nodes, "node"), "rare")
     # Lengths in steps of 1 / 0.8: near copies are in the same step or in neighbouring ones.
     step = F.floor(F.log("kmers") / float(np.log(1 / SIMILARITY)) + 1e-9)
-    names = ("node", "kmers", "root")
+    names = ("node", "kmers", "root", "place")
     one = rare.select("kmer", F.explode(F.array(step, step + 1)).alias("step"), step.alias("own"), *[F.col(c).alias(c + "_1") for c in names])
     two = rare.select("kmer", step.alias("step"), *[F.col(c).alias(c + "_2") for c in names])
-    close = f"least(kmers_1, kmers_2) >= {SIMILARITY} * greatest(kmers_1, kmers_2) - 1e-9"
+    common = SIMILARITY / (1 + SIMILARITY)
+    close = f"least(kmers_1 - place_1, kmers_2 - place_2) >= {common} * (kmers_1 + kmers_2) - 1e-9"
     once = "(own < step OR node_1 < node_2)"
     crossing = one.join(two, ["kmer", "step"]).where(f"root_1 <> root_2 AND {close} AND {once}")
     return _ordered(crossing, "node_1", "node_2", "root_1", "root_2").distinct()
