@@ -139,6 +139,15 @@ def test_op9_equals_brute_force(spark, texts):
     assert lines_found(queries.QUERIES["op9_line_dedup"](spark, SF)) == brute_lines(texts)
 
 
+def test_op9_single_lines_between_others(spark, texts, tmp_path):
+    """The registered query removes later copies of runs of one line too."""
+    assert lines_found(queries.QUERIES["op9_line_dedup"](spark, SF)) == brute_lines(texts, 1)
+    rows = [(1, "first\nshared line\nsecond"), (2, "third\nshared  line\nfourth\nthird"), (3, "shared line")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_removed, r.kept_text) for r in queries.QUERIES["op9_line_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {1: (0, rows[0][1]), 2: (2, "third\nfourth\n"), 3: (1, "")}
+
+
 def test_op9_runs_of_any_length(spark):
     rng = np.random.default_rng(1)
     rows = [(k, "\n".join(rng.choice(list("abcd"), int(rng.integers(0, 25))))) for k in range(40)]

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from volscribe.llm.common import id_and_text, shuffle_parts, slices
 from volscribe.session import written
 
-# A single line may repeat by chance or by custom; runs of these many lines do not.
+# For callers who want single lines left alone, as these may repeat by chance or by custom. The registered query takes 1.
 MIN_LINES = 2
 KEY = ("doc_id", "version")
 
