@@ -101,6 +101,18 @@ def test_large_group_of_near_copies_of_near_copies(spark):
     assert all(got[k] == 0 for k in range(60)) and got[105] == 105
 
 
+def test_short_near_copies_are_never_lost(spark):
+    """8 words against the same with one more at either end (4 and 5 k-mers), and so on."""
+    rows, base = [], 0
+    for kmers in (4, 5, 6, 8, 12, 20):
+        for _ in range(30):
+            words = [f"w{base}x{k}" for k in range(kmers + 4)]
+            rows += [(3 * base, " ".join(words)), (3 * base + 1, " ".join([*words, "after"])), (3 * base + 2, " ".join(["before", *words]))]
+            base += 1
+    got = {r.doc_id: r.class_id for r in order_minhash.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_classes(rows) == {d: d - d % 3 for d, _ in rows}
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 180)] + [(7, 7), (300, 299)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}

@@ -2,7 +2,8 @@
 
 A text's k-mers are its runs of five words, labelled with their occurrence. A sketch
 takes the few labelled k-mers with the smallest hashes and keeps them in text order, so
-equal sketches speak for a small edit distance. Texts that share a sketch are candidates.
+equal sketches speak for a small edit distance. Texts that share a sketch are candidates,
+and so are short ones that share one of a few single k-mers, without chance.
 Two texts are near copies if their longest common subsequence of k-mers is 0.8 or more of
 all k-mers of the two, those common counted once.
 """
@@ -21,14 +22,18 @@ from volscribe.llm.components import components
 from volscribe.llm.words import shingles, word_hashes
 from volscribe.session import broadcast_if_small, written
 
-# Sketches of a text, and k-mers of a sketch. At a similarity of 0.8 two texts have 13 of
-# the sketches in common on average, and none in one of ten million cases.
+# Sketches of a text, and k-mers of a sketch. At a similarity of 0.8 two long texts have 13
+# of the sketches in common on average, and none in one of ten million cases.
 SKETCHES, KMERS = 40, 5
 SIMILARITY = 0.8
+# Among few k-mers shared sketches are rarer, and below KMERS they need equal texts. Texts of
+# up to these many also meet by single k-mers, which leaves out none of their near copies.
+EXACT_KMERS = 25
 # Texts of a group that its others meet in one turn, and turns at most before all pairs do.
 STARS, TURNS = 3, 2
 # Cells that count how common k-mers are; this only orders them.
 CELLS = 1 << 20
+_SINGLE = np.uint64(0xA0761D6478BD642F)
 _ODD = np.random.default_rng(4).integers(0, 2**31, SKETCHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
@@ -73,6 +78,19 @@ def order_sketches(found: list[np.ndarray]) -> np.ndarray:
     return value
 
 
+def meeting_places(found: list[np.ndarray]) -> list[np.ndarray]:
+    """Each text's sketches and, with up to EXACT_KMERS k-mers, the first of these in one order of all k-mers.
+
+    Of the latter there are so many that any two near copies share one, see ``rarest``.
+    """
+    out = []
+    for kmers, own in zip(found, order_sketches(found), strict=True):
+        if len(kmers) <= EXACT_KMERS:
+            own = np.r_[own, mixed(rarest(labelled(kmers), np.zeros(1, np.int64)) ^ _SINGLE)]
+        out.append(own)
+    return out
+
+
 def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
     """Length of the longest common subsequence with partners at most ``band`` places apart.
 
@@ -122,14 +140,17 @@ def sketched(docs: DataFrame) -> DataFrame:
         for part in slices(batches):
             kmers, first = shingles(*word_hashes(*text_buffer(part.column("text"))))
             some = np.flatnonzero(np.diff(first))
-            rows = order_sketches([kmers[first[k] : first[k + 1]] for k in some]).view(np.int64)
-            at = np.r_[0, np.cumsum(np.where(np.diff(first) > 0, SKETCHES, 0))]
+            rows = meeting_places([kmers[first[k] : first[k + 1]] for k in some])
+            number = np.zeros(part.num_rows, np.int64)
+            number[some] = [len(r) for r in rows]
+            at = np.r_[0, np.cumsum(number)]
+            rows = np.concatenate([np.empty(0, np.uint64), *rows]).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"),
                     pa.array([_sequence(t) for t in part.column("text").cast(pa.binary()).to_pylist()], pa.binary()),
                     pa.array(np.diff(first), pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(rows.ravel())),
+                    pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(rows)),
                 ],
                 ["doc_id", "node", "kmers", "sketches"],
             )
