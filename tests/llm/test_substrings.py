@@ -78,6 +78,24 @@ def test_op3_odd(odd, nothing):
     assert suffix_dedup.remove_repeats(nothing).count() == 0
 
 
+def test_op3_texts_that_share_a_doc_id(spark, monkeypatch):
+    """Rows without a doc_id, or with the same one, have their own spans; none of them loses another's."""
+    rng = np.random.default_rng(6)
+    noise = lambda n: "".join(rng.choice(list("abcdefgh éß"), n))
+    passage = noise(150)
+    rows = [(None, noise(3000) + passage + noise(100)), (None, noise(200)), (None, noise(30) + passage)]
+    rows += [(7, noise(500) + passage + noise(60)), (7, noise(90)), (7, passage[:90] + noise(700)), (8, passage + noise(9)), (8, passage + noise(9))]
+    want = {}
+    for doc_id, text in rows:
+        removed = brute_removed([(k, t.encode()) for k, t in enumerate(u for d, u in rows if (d or 0) < (doc_id or 0))] + [(10**6, text.encode())])
+        want[text] = (doc_id, *removed[10**6]) if doc_id else (None, *brute_removed([(0, text.encode())])[0])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for crowd in (1000, 1):
+        monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+        got = [(r.doc_id, r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in suffix_dedup.remove_repeats(docs).collect()]
+        assert sorted(got, key=repr) == sorted(want.values(), key=repr)
+
+
 def brute_units(texts):
     """Characters that line and sentence hashing removes, unit by unit in the order of the documents."""
     seen, out = set(), {}

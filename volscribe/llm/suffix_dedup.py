@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from volscribe.llm.common import id_and_text, mixed, shuffle_parts, slices, text_buffer
 from volscribe.llm.suffix_array import Segments, common_prefixes, suffix_array
 from volscribe.llm.words import raised, random_bytes
-from volscribe.session import written
+from volscribe.session import broadcast_if_small, written
 
 LENGTH, PART = 50, 20
 # More different segments than these under one anchor do not meet in one task; their
@@ -60,23 +60,24 @@ def segments(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     return text, first - at[text], last - first, least[first], content
 
 
-def _packed(doc: np.ndarray, start: np.ndarray, strings: np.ndarray, *hashes: np.ndarray) -> bytes:
-    """Columns one after the other; documents and starts as differences, which compress well.
+def _packed(doc: np.ndarray, version: np.ndarray, start: np.ndarray, strings: np.ndarray, *hashes: np.ndarray) -> bytes:
+    """Columns one after the other; documents, versions and starts as differences, which compress well.
 
     Of the hashes, if any, the anchor keeps 4 bytes beside its bucket, and the content 6.
     """
-    columns = [np.diff(doc, prepend=0).astype("<i8"), np.diff(start, prepend=0).astype("<i4"), strings.astype("<u2")]
+    columns = [np.diff(c, prepend=0).astype("<i8") for c in (doc, version)]
+    columns += [np.diff(start, prepend=0).astype("<i4"), strings.astype("<u2")]
     columns += [h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size] for h, size in zip(hashes, (4, 6), strict=False)]
     return b"".join(np.ascontiguousarray(c).tobytes() for c in columns)
 
 
 def _unpacked(stored: bytes, n: int, hashes: bool) -> list[np.ndarray]:
     out, low = [], 0
-    for kind in ("<i8", "<i4", "<u2"):
+    for kind in ("<i8", "<i8", "<i4", "<u2"):
         size = np.dtype(kind).itemsize * n
         out.append(np.frombuffer(stored[low : low + size], kind).astype(np.int64))
         low += size
-    out[:2] = [np.cumsum(c) for c in out[:2]]
+    out[:3] = [np.cumsum(c) for c in out[:3]]
     for size in (4, 6) if hashes else ():
         wide = np.zeros((n, 8), np.uint8)
         wide[:, :size] = np.frombuffer(stored[low : low + size * n], np.uint8).reshape(n, size)
@@ -100,9 +101,9 @@ def _leaders(order: np.ndarray, doc: np.ndarray, *keys: np.ndarray) -> np.ndarra
     return doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
 
 
-MARKS = "doc_id bigint, start bigint, strings bigint, anchor bigint, crowd boolean"
+MARKS = "doc_id bigint, version bigint, start bigint, strings bigint, anchor bigint, crowd boolean"
 # anchor is null for what is settled: strings to remove. Else the segment is to be compared.
-_MARK_TYPES = {"doc_id": pa.int64(), "start": pa.int64(), "strings": pa.int64(), "anchor": pa.int64(), "crowd": pa.bool_()}
+_MARK_TYPES = dict.fromkeys(("doc_id", "version", "start", "strings", "anchor"), pa.int64()) | {"crowd": pa.bool_()}
 _LONGEST = 2**16 - 1
 
 
@@ -112,12 +113,12 @@ def _dealt(buckets: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
         for part in slices(batches, _SLICE):
-            ids = part.column("doc_id").to_numpy()
+            ids, versions = (part.column(c).to_numpy() for c in ("doc_id", "version"))
             text, start, strings, anchor, content = segments(*text_buffer(part.column("text")))
             # Runs of one repeated part can be longer than the packed form can say.
             if len(strings) and strings.max() > _LONGEST:
                 text, start, strings, anchor, content = _cut(text, start, strings, anchor, content)
-            doc = ids[text]
+            doc, version = ids[text], versions[text]
             order = np.lexsort((doc, content, anchor))
             settled = np.zeros(len(doc), bool)
             settled[order] = doc[order] > _leaders(order, doc, anchor, content)
@@ -129,7 +130,8 @@ def _dealt(buckets: int):
                 own = by_bucket[edges[k] : edges[k + 1]]
                 if len(own):
                     o, d = np.sort(own[~settled[own]]), np.sort(own[settled[own]])
-                    opened, done = _packed(doc[o], start[o], strings[o], anchor[o], content[o]), _packed(doc[d], start[d], strings[d])
+                    opened = _packed(doc[o], version[o], start[o], strings[o], anchor[o], content[o])
+                    done = _packed(doc[d], version[d], start[d], strings[d])
                     out.append((k, len(o), len(d), press.compress(opened + done)))
             if out:
                 columns = zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)
@@ -154,16 +156,16 @@ def _settle(group: pa.Table) -> pa.Table:
     open_ones, done = [], []
     for n, m, stored in zip(*(group.column(c).to_pylist() for c in ("open", "settled", "stored")), strict=True):
         stored = unpress.decompress(stored)
-        size = 24 * n
+        size = 32 * n
         open_ones.append(_unpacked(stored[:size], n, hashes=True))
         done.append(_unpacked(stored[size:], m, hashes=False))
-    doc, start, strings, anchor, content = (np.concatenate(c) for c in zip(*open_ones, strict=True))
+    doc, version, start, strings, anchor, content = (np.concatenate(c) for c in zip(*open_ones, strict=True))
     done = [np.concatenate(c) for c in zip(*done, strict=True)]
     ordered = np.sort(anchor)
     shared = np.isin(anchor, np.unique(ordered[1:][ordered[1:] == ordered[:-1]]))
-    doc, start, strings, anchor, content = (c[shared] for c in (doc, start, strings, anchor, content))
+    doc, version, start, strings, anchor, content = (c[shared] for c in (doc, version, start, strings, anchor, content))
     order = np.lexsort((doc, content, anchor))
-    doc, start, strings, anchor, content = (c[order] for c in (doc, start, strings, anchor, content))
+    doc, version, start, strings, anchor, content = (c[order] for c in (doc, version, start, strings, anchor, content))
     rows = np.arange(len(doc))
     copies = doc > _leaders(rows, doc, anchor, content)
     # Contents and documents under each anchor.
@@ -176,8 +178,8 @@ def _settle(group: pa.Table) -> pa.Table:
     bucket = group.column("bucket")[0].as_py()
     parts = [
         [*done, None, None],
-        [doc[copies], start[copies], strings[copies], None, None],
-        [doc[compare], start[compare], strings[compare], (np.int64(bucket) << 32) + anchor[compare].astype(np.int64), (contents > CROWD)[group_of][compare]],
+        [doc[copies], version[copies], start[copies], strings[copies], None, None],
+        [doc[compare], version[compare], start[compare], strings[compare], (np.int64(bucket) << 32) + anchor[compare].astype(np.int64), (contents > CROWD)[group_of][compare]],
     ]
     columns = []
     for k, kind in enumerate(_MARK_TYPES.values()):
@@ -186,50 +188,52 @@ def _settle(group: pa.Table) -> pa.Table:
 
 
 def _with_texts(docs: DataFrame, by_doc: DataFrame, how: str) -> DataFrame:
-    """``docs``, whose texts move compressed, with the rows of ``by_doc`` (of, ...) for their doc_id."""
+    """``docs``, whose texts move compressed, with the rows of ``by_doc`` (of, of_version, ...) for their doc_id and version."""
 
     def pressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
         for part in slices(batches, _SLICE):
             packed = [press.compress(t) for t in part.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(packed, pa.binary())], ["doc_id", "packed"])
+            columns = [part.column("doc_id"), part.column("version"), pa.array(packed, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "version", "packed"])
 
-    packed = docs.mapInArrow(pressed, "doc_id bigint, packed binary")
-    return packed.join(by_doc, F.col("doc_id") == F.col("of"), how).drop("of")
+    packed = docs.mapInArrow(pressed, "doc_id bigint, version bigint, packed binary")
+    same = (F.col("doc_id") == F.col("of")) & (F.col("version") == F.col("of_version"))
+    return packed.join(by_doc, same, how).drop("of", "of_version")
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the segments to compare; in a crowd, each string by itself.
 
     Of a crowd's equal strings within a batch only the smallest document's go on. The
-    others are settled; they pass as segments without bytes.
+    others are ``settled``; they pass as segments without bytes.
     """
     unpress = zstandard.ZstdDecompressor()
     for batch in batches:
         out, crowd = [], []
-        for doc_id, packed, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "packed", "wanted")), strict=True):
+        for doc_id, version, packed, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "version", "packed", "wanted")), strict=True):
             text = unpress.decompress(packed)
             for one in wanted:
                 low, n = one["start"], one["strings"]
                 if one["crowd"]:
-                    crowd += [(text[k : k + LENGTH], doc_id, k) for k in range(low, low + n)]
+                    crowd += [(text[k : k + LENGTH], doc_id, version, k) for k in range(low, low + n)]
                 else:
-                    out.append((one["anchor"], doc_id, low, text[low : low + n + LENGTH - 1]))
+                    out.append((one["anchor"], doc_id, version, low, False, text[low : low + n + LENGTH - 1]))
         least: dict[bytes, int] = {}
-        for string, doc_id, _ in crowd:
+        for string, doc_id, _, _ in crowd:
             least[string] = min(doc_id, least.get(string, doc_id))
-        for string, doc_id, k in crowd:
+        for string, doc_id, version, k in crowd:
             if doc_id > least[string]:
-                out.append((doc_id + k, doc_id, k, b""))
+                out.append((doc_id + k, doc_id, version, k, True, b""))
             else:
-                out.append((int.from_bytes(hashlib.blake2b(string, digest_size=7).digest()), doc_id, k, string))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                out.append((int.from_bytes(hashlib.blake2b(string, digest_size=7).digest()), doc_id, version, k, False, string))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
         columns = zip(zip(*out, strict=True), kinds, strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in columns], ["anchor", "doc_id", "start", "segment"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in columns], ["anchor", "doc_id", "version", "start", "settled", "segment"])
 
 
-def repeated_strings(found: list[bytes], doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """doc, start and number of the strings in a row that also start in a segment of a smaller document."""
+def repeated_strings(found: list[bytes], doc: np.ndarray, version: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, ...]:
+    """doc, version, start and number of the strings in a row that also start in a segment of a smaller document."""
     distinct = {s: k for k, s in enumerate(dict.fromkeys(found))}
     which = np.array([distinct[s] for s in found], np.int64)
     least = np.full(len(distinct), 2**63 - 1)
@@ -244,22 +248,23 @@ def repeated_strings(found: list[bytes], doc: np.ndarray, start: np.ndarray) ->
     # The smallest document for the string at each place of the distinct segments.
     at_place = np.full(len(text.symbols), 2**63 - 1)
     at_place[order] = smallest[group]
-    out: list[tuple[int, int, int]] = []
-    for k, d, s in zip(which.tolist(), doc.tolist(), start.tolist(), strict=True):
+    out: list[tuple[int, int, int, int]] = []
+    for k, d, v, s in zip(which.tolist(), doc.tolist(), version.tolist(), start.tolist(), strict=True):
         low = text.first[k]
         strings = text.left[low] - LENGTH + 1
         later = np.flatnonzero(np.diff(np.r_[False, at_place[low : low + strings] < d, False]))
-        out += [(d, s + i, j - i) for i, j in zip(later[::2].tolist(), later[1::2].tolist(), strict=True)]
-    return tuple(np.array(c, np.int64) for c in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 3
+        out += [(d, v, s + i, j - i) for i, j in zip(later[::2].tolist(), later[1::2].tolist(), strict=True)]
+    return tuple(np.array(c, np.int64) for c in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 4
 
 
 def _compare(group: pa.Table) -> pa.Table:
-    found, doc, start = group.column("segment").to_pylist(), group.column("doc_id").to_numpy(), group.column("start").to_numpy()
-    compared = np.array([bool(s) for s in found])
-    columns = repeated_strings([s for s in found if s], doc[compared], start[compared])
-    settled = (doc[~compared], start[~compared], np.ones(int((~compared).sum()), np.int64))
-    both = [np.concatenate(c) for c in zip(columns, settled, strict=True)]
-    return pa.table([pa.array(c, pa.int64()) for c in both], names=["doc_id", "start", "strings"])
+    found = group.column("segment").to_pylist()
+    keys = [group.column(c).to_numpy() for c in ("doc_id", "version", "start")]
+    done = group.column("settled").to_numpy()
+    compared = repeated_strings([s for s, d in zip(found, done.tolist(), strict=True) if not d], *(c[~done] for c in keys))
+    settled = (*(c[done] for c in keys), np.ones(int(done.sum()), np.int64))
+    both = [np.concatenate(c) for c in zip(compared, settled, strict=True)]
+    return pa.table([pa.array(c, pa.int64()) for c in both], names=["doc_id", "version", "start", "strings"])
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,24 +286,36 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in columns], names=list(kinds))
 
 
+def _versioned(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``version``, a hash of the text where rows share a doc_id, and 0 elsewhere, which packs to nothing."""
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("doc_id").alias("shared id"))
+    ids = written(ids, "shared_ids")
+    if ids.isEmpty():
+        return docs.withColumn("version", F.lit(0).cast("bigint"))
+    both = docs.join(broadcast_if_small(ids), F.col("doc_id") == F.col("shared id"), "left")
+    return both.select("doc_id", "text", F.when(F.col("shared id").isNull(), F.lit(0)).otherwise(F.xxhash64("text")).alias("version"))
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (start, end) and kept bytes of every row of ``docs`` (doc_id, text).
 
     A null text is empty; texts under LENGTH bytes lose nothing. A null doc_id counts as
-    smaller than all others. Rows that repeat a doc_id must repeat its text; none of
-    them removes anything from another. Strings never reach across documents, and are
+    smaller than all others. Rows that share a doc_id, null or not, may have different
+    texts; none of them removes anything from another, and each is cut by its own text's
+    marks. Strings never reach across documents, and are
     judged on the input. Other columns are not read.
     """
     buckets = shuffle_parts(docs)
     docs = id_and_text(docs).withColumn("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LOWEST)))
+    docs = _versioned(docs)
     dealt = docs.mapInArrow(_dealt(buckets), "bucket bigint, open bigint, settled bigint, stored binary")
     marks = written(dealt.groupBy("bucket").applyInArrow(_settle, MARKS), "marks")
-    wanted = marks.where("anchor is not null").groupBy(F.col("doc_id").alias("of"))
+    wanted = marks.where("anchor is not null").groupBy(F.col("doc_id").alias("of"), F.col("version").alias("of_version"))
     wanted = wanted.agg(F.collect_list(F.struct("start", "strings", "anchor", "crowd")).alias("wanted"))
-    cut = _with_texts(docs, wanted, "inner").mapInArrow(_cut_out, "anchor bigint, doc_id bigint, start bigint, segment binary")
+    cut = _with_texts(docs, wanted, "inner").mapInArrow(_cut_out, "anchor bigint, doc_id bigint, version bigint, start bigint, settled boolean, segment binary")
     by_anchor = cut.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(4 * buckets)).alias("deal"))
-    compared = by_anchor.applyInArrow(_compare, "doc_id bigint, start bigint, strings bigint")
-    settled = marks.where("anchor is null").select("doc_id", "start", "strings").unionByName(compared)
-    by_doc = settled.groupBy(F.col("doc_id").alias("of")).agg(F.collect_set(F.struct("start", "strings")).alias("marks"))
+    compared = by_anchor.applyInArrow(_compare, "doc_id bigint, version bigint, start bigint, strings bigint")
+    settled = marks.where("anchor is null").select("doc_id", "version", "start", "strings").unionByName(compared)
+    by_doc = settled.groupBy(F.col("doc_id").alias("of"), F.col("version").alias("of_version")).agg(F.collect_set(F.struct("start", "strings")).alias("marks"))
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, spans array<array<bigint>>, kept binary"
     return _with_texts(docs, by_doc, "left").mapInArrow(_removed, schema)
