@@ -228,3 +228,25 @@ def test_pipeline_odd(spark, odd, nothing, tokenizer):
     assert not {1, 2, 3, 5, 7, 9, None} & {d for d, _ in texts}
     checked_packing(corpus_pipeline.packed_sequences(spark, at, SF).collect(), texts, tokenizer)
     assert corpus_pipeline.packed_sequences(spark, empty, SF).count() == 0
+
+
+def test_pipeline_keeps_documents_without_an_id(spark, tokenizer):
+    """They go as copies or near copies of others only; ids that different texts share name each by its text."""
+    words = lambda n, m: " ".join(f"the house{n}x{k}" for k in range(m))
+    long = words(1, 60)
+    rows = [
+        (1, long), (None, long), (None, long + " ending"), (None, words(2, 50)), (None, words(2, 50)), (None, words(3, 40)),
+        (None, words(3, 40) + " more"), (None, words(4, 30)), (7, words(5, 30)), (7, long + " other"), (7, words(6, 30)), (None, "1234"),
+    ]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    at = docs
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        at = stage(spark, at, SF).persist()
+        assert at.columns == docs.columns
+    got = Counter((r.doc_id, r.text.removesuffix(" more")) for r in at.collect())
+    assert got == Counter({(1, long): 1, (7, words(5, 30)): 1, (7, words(6, 30)): 1, **{(None, words(k, n)): 1 for k, n in ((2, 50), (3, 40), (4, 30))}})
+    mixed = corpus_pipeline.mixed_sources(spark, at, SF).persist()
+    times = Counter((r.doc_id, r.text) for r in mixed.collect())
+    assert {k for k in times} <= {(r.doc_id, r.text) for r in at.collect()} and any(d is None for d, _ in times)
+    packed = Counter((r.doc_id, r.length) for r in corpus_pipeline.packed_sequences(spark, mixed, SF).collect())
+    assert packed == Counter((d, len(tokenizer.encode(t, add_special_tokens=False).ids) + 1) for (d, t), n in times.items() for _ in range(n))

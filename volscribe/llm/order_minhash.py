@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from volscribe.llm.common import id_and_text, mixed, slices, text_buffer
 from volscribe.llm.components import components
@@ -299,20 +299,8 @@ def _joined(classed: DataFrame, links: DataFrame) -> DataFrame:
     return written(classed.join(found, "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to"), "classed")
 
 
-def near_classes(docs: DataFrame) -> DataFrame:
-    """doc_id and class_id, the smallest doc_id of its class, of every row of ``docs`` (doc_id, text).
-
-    Texts with the same words in the same order are in one class, whatever stands
-    between the words; so are all texts without words. Classes are what verified links
-    connect. A null text is empty. A class without any doc_id has none as its id. Rows
-    repeat as they are given; other columns are not read.
-
-    The texts of one sketch form a group. To keep large groups of near copies from
-    meeting in all pairs, they first meet a few of their group, and turn by turn those
-    not yet in one class meet a few others. After TURNS turns, or one without links, all
-    texts of open groups that are still in different classes and share a rare k-mer meet,
-    so none that could join two classes are left out.
-    """
+def _classes(docs: DataFrame) -> DataFrame:
+    """doc_id, node and root, which names the class, of every row of ``docs``, as ``near_classes`` describes it."""
     docs = id_and_text(docs).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     own = written(sketched(docs), "sketches")
     texts = own.groupBy("node").agg(
@@ -340,7 +328,62 @@ def near_classes(docs: DataFrame) -> DataFrame:
             classed = _joined(classed, links)
 
     roots = classed.select("node", "root").distinct()
-    every = own.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
-    every = written(every, "classes")
+    every = own.select("doc_id", "node").join(roots, "node", "left")
+    return written(every.select("doc_id", "node", F.coalesce("root", "node").alias("root")), "classes")
+
+
+def near_classes(docs: DataFrame) -> DataFrame:
+    """doc_id and class_id, the smallest doc_id of its class, of every row of ``docs`` (doc_id, text).
+
+    Texts with the same words in the same order are in one class, whatever stands
+    between the words; so are all texts without words. Classes are what verified links
+    connect. A null text is empty. A class without any doc_id has none as its id. Rows
+    repeat as they are given; other columns are not read.
+
+    The texts of one sketch form a group. To keep large groups of near copies from
+    meeting in all pairs, they first meet a few of their group, and turn by turn those
+    not yet in one class meet a few others. After TURNS turns, or one without links, all
+    texts of open groups that are still in different classes and share a rare k-mer meet,
+    so none that could join two classes are left out.
+    """
+    every = _classes(docs)
     ids = written(every.groupBy("root").agg(F.min("doc_id").alias("class_id")), "ids")
     return every.join(ids, "root").select("doc_id", "class_id")
+
+
+def _with_nodes(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``text node``, the digest of the text's words in order."""
+    columns = docs.columns
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("node text").cast(pa.binary()).to_pylist()
+            nodes = pa.array([_sequence(t) for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), nodes], [*columns, "text node"])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("text node", T.BinaryType())])
+    return docs.withColumn("node text", F.coalesce(F.col("text").cast("string"), F.lit(""))).mapInArrow(rows, schema)
+
+
+def first_of_classes(docs: DataFrame) -> DataFrame:
+    """Of each class the row of ``docs`` (doc_id, text, ...) with the smallest doc_id, with all its columns.
+
+    One without a doc_id stays only where its whole class has none; among those, and among
+    texts that share a doc_id, the order is that of a hash. What stays is named by doc_id, and by its
+    words as well only where rows share a doc_id or have none.
+    """
+    every = _classes(docs)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")
+    kept = every.groupBy("root").agg(F.min(place).alias("first")).select("first.doc_id", "first.node")
+    kept = written(kept, "kept")
+    shared = written(every.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"), "shared_ids")
+    id_of = F.col("doc_id").alias("kept id")
+    same = F.col("doc_id").eqNullSafe(F.col("kept id"))
+    alone = kept.join(shared.select(id_of), same, "left_anti")
+    plain = docs.join(broadcast_if_small(alone.select(id_of)), same, "left_semi")
+    if shared.isEmpty():
+        return plain
+    several = docs.join(broadcast_if_small(shared.select(id_of)), same, "left_semi")
+    named = kept.select(id_of, F.col("node").alias("kept node"))
+    several = _with_nodes(several).join(named, same & (F.col("text node") == F.col("kept node")), "left_semi")
+    return plain.unionByName(several.dropDuplicates(["doc_id", "text node"]).drop("text node"))
