@@ -126,6 +126,16 @@ def test_op6_finds_a_passage_inside_other_lines(spark):
     assert "SECOND" not in got[2].kept_text and "Other words come before." in got[2].kept_text
 
 
+def test_op6_short_units_and_scripts_without_spaces(spark):
+    """Lines and sentences of a word or two lose their later copies, and so do those of any length without spaces."""
+    chinese, japanese = "这是一个没有空格的很长的句子用来测试重复内容的删除", "これは空白のない文です。次の文もここにあります。"
+    rows = [(1, "Of.\nFirst text. Yes indeed. End"), (2, "And ornd.\nOf.\nSecond text. Yes indeed. Stop"), (3, "And ornd."), (4, chinese + "\nx"), (5, "y\n" + chinese)]
+    rows += [(6, japanese), (7, "別の文。" + japanese)]
+    got = {r.doc_id: r.kept_text for r in substring_dedup.dedup_units(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {1: rows[0][1], 2: "And ornd.\n\nSecond text.  Stop", 3: "", 4: rows[3][1], 5: "y\n", 6: japanese, 7: "別の文。"}
+    assert got == want
+
+
 def test_op6_odd(odd, nothing):
     got = substring_dedup.dedup_units(odd).collect()
     assert len(got) == 15

@@ -18,9 +18,10 @@ from pyspark.sql import DataFrame, functions as F
 from volscribe.llm.common import id_and_text, slices
 from volscribe.session import written
 
-# Fewer words than these repeat by chance.
-LINE_WORDS, SENTENCE_WORDS = 3, 8
-_SENTENCE = re.compile(r"\S.*?(?:[.!?]+(?=\s)|$)", re.DOTALL)
+# Every line and sentence counts. Text without spaces is one word, whatever its length.
+LINE_WORDS, SENTENCE_WORDS = 1, 1
+# The marks of scripts without spaces end a sentence by themselves.
+_SENTENCE = re.compile(r"\S.*?(?:[.!?]+(?=\s)|[。！？｡]+|$)", re.DOTALL)
 
 
 def units(text: str, line_words: int = LINE_WORDS, sentence_words: int = SENTENCE_WORDS) -> Iterator[tuple[bytes, int, int]]:
@@ -31,13 +32,12 @@ def units(text: str, line_words: int = LINE_WORDS, sentence_words: int = SENTENC
         words = line.lower().split()
         if len(words) >= line_words:
             yield _digest(words), start, end
-        if len(words) > sentence_words:
-            found = list(_SENTENCE.finditer(line))
-            if len(found) > 1:
-                for one in found:
-                    own = one.group().lower().split()
-                    if len(own) >= sentence_words:
-                        yield _digest(own), start + one.start(), start + one.end()
+        found = list(_SENTENCE.finditer(line))
+        if len(found) > 1:
+            for one in found:
+                own = one.group().lower().split()
+                if len(own) >= sentence_words:
+                    yield _digest(own), start + one.start(), start + one.end()
         start = end + 1
 
 
