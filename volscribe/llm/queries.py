@@ -7,7 +7,19 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from volscribe.llm import exact_dedup, fingerprint, language, line_dedup, mixing, order_minhash, packing, substring_dedup, suffix_dedup, url_filter
+from volscribe.llm import (
+    decontaminate,
+    exact_dedup,
+    fingerprint,
+    language,
+    line_dedup,
+    mixing,
+    order_minhash,
+    packing,
+    substring_dedup,
+    suffix_dedup,
+    url_filter,
+)
 from volscribe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +122,38 @@ def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_language_id")
 def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(table(spark, folder, "documents"))
+
+
+# Every document word at the end of an occurrence of a window, of each length that windows have, then the words it covers.
+OP13_SQL = r"""
+WITH doc AS (
+  SELECT doc_id, row_number() OVER () AS r,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+item AS (
+  SELECT item_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM benchmark),
+item_at AS (
+  SELECT item_id, words, least(len(words), 10) AS n, unnest(range(1, greatest(len(words) - 10, 0) + 2)) AS k FROM item WHERE len(words) > 0),
+win AS (SELECT DISTINCT item_id, n, array_to_string(words[k : k + n - 1], ' ') AS win FROM item_at),
+doc_at AS (
+  SELECT r, words, n, unnest(range(1, len(words) - n + 2)) AS k FROM doc, (SELECT DISTINCT n FROM win) WHERE len(words) >= n),
+occurrence AS (
+  SELECT r, k, n, item_id FROM (SELECT r, k, n, array_to_string(words[k : k + n - 1], ' ') AS win FROM doc_at) JOIN win USING (n, win)),
+hit AS (SELECT r, count(DISTINCT w) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS w FROM occurrence) GROUP BY r),
+named AS (
+  SELECT r, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids
+  FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS i FROM occurrence WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
+"""
+
+
+@query("op13_decontaminate", OP13_SQL)
+def op13_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.find_contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    hit = found.select("doc_id", "n_words", decontaminate.hit_words().alias("n_hit"), "items")
+    ids = F.sha2(F.array_join(F.array_sort("items"), ","), 256)
+    return hit.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), ids.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
