@@ -16,6 +16,7 @@ from volscribe.llm import (
     mixing,
     order_minhash,
     packing,
+    ranked_search,
     substring_dedup,
     suffix_dedup,
     url_filter,
@@ -124,6 +125,36 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(table(spark, folder, "documents"))
 
 
+OP11_SQL = r"""
+WITH doc AS (
+  SELECT doc_id, row_number() OVER () AS r,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+item AS (
+  SELECT item_id, row_number() OVER () AS q,
+         unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+total AS (SELECT CAST(count(*) FILTER (len(terms) > 0) AS BIGINT) AS docs, CAST(sum(len(terms)) AS BIGINT) AS all_terms FROM doc),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM doc) WHERE term IN (SELECT term FROM item) GROUP BY r, term),
+weight AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM tf, total GROUP BY term),
+impact AS (
+  SELECT r, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * len(terms) * docs) // all_terms))) AS part
+  FROM tf JOIN weight USING (term) JOIN doc USING (r), total),
+score AS (SELECT q, any_value(item_id) AS item_id, r, CAST(sum(part) AS BIGINT) AS score FROM item JOIN impact USING (term) GROUP BY q, r),
+ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank, doc_id, score
+  FROM score JOIN doc USING (r) WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+
+@query("op11_ranked_search", OP11_SQL)
+def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 # Every document word at the end of an occurrence of a window, of each length that windows have, then the words it covers.
 OP13_SQL = r"""
 WITH doc AS (
