@@ -16,6 +16,7 @@ from volscribe.llm import (
     mixing,
     order_minhash,
     packing,
+    prefix_trie,
     ranked_search,
     substring_dedup,
     suffix_dedup,
@@ -155,6 +156,51 @@ def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
     return ranked_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+# The table has the remainders of single bytes, as CRC-32 with the reversed polynomial 0xEDB88320 defines them.
+OP12_SQL = r"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest, turn
+  FROM conversations WHERE conv_id IS NOT NULL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS i FROM turns),
+convs AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS source,
+         xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda b: CAST(ascii(b) AS BIGINT))),
+           lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns), crc),
+parts AS (
+  SELECT convs.conv_id, 0 AS part, i, digest, text FROM convs JOIN placed ON placed.conv_id = source AND i <= h
+  UNION ALL
+  SELECT convs.conv_id, 1 AS part, i, digest, text FROM convs JOIN placed USING (conv_id) WHERE i > h),
+rebuilt AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, i) AS d, digest, strlen(text) AS bytes FROM parts),
+path AS (
+  SELECT conv_id, d, sha256(string_agg(digest, '') OVER (PARTITION BY conv_id ORDER BY d)) AS node, bytes FROM rebuilt
+  UNION ALL SELECT conv_id, 0, '', 0 FROM convs),
+nodes AS (SELECT d, node, min(conv_id) AS own, count(*) AS n, any_value(bytes) AS bytes FROM path GROUP BY d, node),
+parents AS (
+  SELECT nodes.d, nodes.node, up.node AS up, parent.own AS parent_own
+  FROM nodes JOIN path up ON up.conv_id = nodes.own AND up.d = nodes.d - 1 JOIN nodes parent ON parent.node = up.node AND parent.d = up.d),
+children AS (SELECT up AS node, count(*) AS n_children FROM parents GROUP BY up),
+below AS (
+  SELECT path.node, path.d, sum((x.n - 1) * x.bytes) AS saved, count(*) FILTER (children.node IS NULL) AS n_leaves
+  FROM nodes x JOIN path ON path.conv_id = x.own AND path.d <= x.d LEFT JOIN children ON children.node = x.node GROUP BY path.node, path.d),
+ends AS (
+  SELECT node, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids
+  FROM path JOIN (SELECT conv_id, max(d) AS d FROM path GROUP BY conv_id) USING (conv_id, d) GROUP BY node)
+SELECT own AS conv_id, CAST(nodes.d AS BIGINT) AS depth, parent_own AS parent_conv_id, n AS n_convs, coalesce(n_children, 0) AS n_children,
+       n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM nodes JOIN below USING (d, node) LEFT JOIN parents USING (d, node) LEFT JOIN children USING (node) LEFT JOIN ends USING (node)
+"""
+
+
+@query("op12_prefix_trie", OP12_SQL)
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.prefix_nodes(table(spark, folder, "conversations"))
+
+
 # Every document word at the end of an occurrence of a window, of each length that windows have, then the words it covers.
 OP13_SQL = r"""
 WITH doc AS (
