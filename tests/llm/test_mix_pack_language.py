@@ -1,5 +1,6 @@
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -192,6 +193,44 @@ def test_op10_odd(odd, nothing):
     assert {r.lang_pred for r in language.identify(bare).collect()} == {"und"}
 
 
+def brute_sum(text, dimensions=language.DIMENSIONS, seed=7):
+    """The sum over a text's letter triples, counted in a dictionary, of the product of their rotated vectors."""
+    words = "".join(c if c.isalpha() else "\0" for c in text.lower())
+    joined = "\0" + "\0".join(w for w in words.split("\0") if w) + "\0"
+    triples = Counter(joined[k : k + 3] for k in range(len(joined) - 2)) if joined.strip("\0") else Counter()
+    vectors = {c: np.random.default_rng([seed, ord(c)]).integers(0, 2, dimensions, dtype=np.int8).astype(int) * 2 - 1 for c in set("".join(triples))}
+    return sum((n * np.roll(vectors[t[0]], 2) * np.roll(vectors[t[1]], 1) * vectors[t[2]] for t, n in triples.items()), np.zeros(dimensions))
+
+
+def test_op10_equals_brute_force(spark):
+    docs = [d for d in spark.read.parquet(f"{SF}/documents.parquet").collect() if len(d.text or "") < 3000]
+    frame = spark.createDataFrame([(d.doc_id, d.text, d.lang) for d in docs], "doc_id long, text string, lang string")
+    sums = {d.doc_id: brute_sum(d.text or "") for d in docs}
+    profiles = {}
+    for d in docs:
+        if d.lang is not None and zlib.crc32(str(d.doc_id).encode()) % 3 != 1:
+            profiles[d.lang] = profiles.get(d.lang, 0) + sums[d.doc_id]
+    for r in language.identify(frame).collect():
+        own = sums[r.doc_id]
+        cosine = {n: own @ p / max(np.linalg.norm(own) * np.linalg.norm(p), 1e-9) for n, p in profiles.items()}
+        want = max(sorted(cosine), key=cosine.__getitem__) if own.any() else "und"
+        assert r.lang_pred == want and abs(r.score - max(0, max(cosine.values()) if own.any() else 0)) < 1e-4
+
+
+def test_the_language_stage_rejects_what_is_in_no_language(spark):
+    """Random letters and languages that no document is labelled with go; labelled documents stay."""
+    docs = spark.read.parquet(f"{Path(SF).parent}/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rng = np.random.default_rng(1)
+    noise = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz     "), n))
+    italian = "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura che la diritta via era smarrita. " * 20
+    polish = "Litwo, ojczyzno moja, ty jesteś jak zdrowie; ile cię trzeba cenić, ten tylko się dowie, kto cię stracił. " * 20
+    foreign = [noise(2000) for _ in range(10)] + [noise(20_000) for _ in range(10)] + [italian, polish]
+    added = spark.createDataFrame([(-1 - k, t, None) for k, t in enumerate(foreign)], docs.schema)
+    kept = {r.doc_id for r in language.accepted(docs.unionByName(added)).select("doc_id").collect()}
+    labelled = {r.doc_id for r in docs.where("lang IS NOT NULL AND length(text) > 0").collect()}
+    assert not [d for d in kept if d < 0] and len(labelled & kept) >= 0.99 * len(labelled)
+
+
 def brute_pipeline(docs):
     """doc_ids after language ID, exact and near dedup, one stage after the other."""
     texts = [(d.doc_id, d.text) for d in docs if any(c.isalpha() for c in d.text or "")]

@@ -163,10 +163,6 @@ def lines_found(df):
     return {r.doc_id: (r.n_lines, r.n_removed, [" ".join(x.split()) for x in r.kept_text.split("\n") if x.split()]) for r in df.collect()}
 
 
-def test_op9_equals_brute_force(spark, texts):
-    assert lines_found(queries.QUERIES["op9_line_dedup"](spark, SF)) == brute_lines(texts)
-
-
 def test_op9_single_lines_between_others(spark, texts, tmp_path):
     """The registered query removes later copies of runs of one line too."""
     assert lines_found(queries.QUERIES["op9_line_dedup"](spark, SF)) == brute_lines(texts, 1)

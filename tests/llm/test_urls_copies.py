@@ -90,3 +90,13 @@ def test_first_copies_of_ids_that_several_rows_share(spark):
     got = exact_dedup.first_copies(docs)
     assert got.columns == docs.columns
     assert rows_of(got) == sorted([(1, "a", "x"), (1, "b  c", "y"), (4, "d", None), (None, "e", None)], key=repr)
+
+
+def test_op2_returns_each_repeated_row(spark, tmp_path):
+    rows = [(1, "a  b"), (1, "a  b"), (2, "a b"), (2, None), (3, ""), (3, ""), (4, "c")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    df = queries.QUERIES["op2_exact_dedup"](spark, str(tmp_path))
+    want = duck.execute(f"SELECT {', '.join(df.columns)} FROM ({queries.ORACLES['op2_exact_dedup']})").fetchall()
+    assert len(want) == 7 and sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in df.collect())

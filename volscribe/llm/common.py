@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -17,9 +18,9 @@ BATCH_BYTES = 16 << 20
 SLICE_BYTES = 1 << 20
 
 
-def prepared(spark: SparkSession) -> SparkSession:
+def prepared(spark: SparkSession, batch_bytes: int = BATCH_BYTES) -> SparkSession:
     configure(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(batch_bytes))
     return spark
 
 
@@ -47,6 +48,16 @@ def slices(batches: Iterable[pa.RecordBatch], limit: int = SLICE_BYTES) -> Itera
         cuts = [0, *(np.flatnonzero(np.diff(block)) + 1), batch.num_rows]
         for low, high in zip(cuts, cuts[1:], strict=False):
             yield batch.slice(low, high - low)
+    give_back()
+
+
+def give_back() -> None:
+    """Return the memory of a task's arrays to the system; workers live on and the next task may need less."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library
+        pass
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

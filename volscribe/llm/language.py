@@ -22,6 +22,11 @@ DIMENSIONS = 1024
 UNKNOWN = "und"
 # About the cosine of two random vectors of so many dimensions.
 LEAST_SCORE = 0.03
+# Labelled documents, at most about, that the least score of a length is learned from; the
+# share of them that lies below, and what part of that score is asked for.
+FIT_ROWS, FIT_SHARE, FIT_PART = 20_000, 0.005, 0.5
+# Fewer documents of a length say nothing about it.
+FIT_LEAST = 50
 _CODE_BITS = 21
 
 
@@ -135,6 +140,10 @@ class Judge:
 
     def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """The language and its cosine, from 0 to 1, of each text."""
+        return self.sized(texts)[:2]
+
+    def sized(self, texts: list[str | None]) -> tuple[list[str], list[float], list[int]]:
+        """The language, its cosine and the number of letter triples of each text."""
         if self.vectors is None:  # made on the executor
             self.vectors = LetterVectors(self.dimensions, self.seed)
         names = self.names
@@ -153,7 +162,8 @@ class Judge:
         judged = [f is not None and bool(names) for f in found]
         best = np.argmax(cosines, axis=1) if names else []
         labels = [names[best[k]] if ok else UNKNOWN for k, ok in enumerate(judged)]
-        return labels, [min(1.0, max(0.0, float(cosines[k, best[k]]))) if ok else 0.0 for k, ok in enumerate(judged)]
+        scores = [min(1.0, max(0.0, float(cosines[k, best[k]]))) if ok else 0.0 for k, ok in enumerate(judged)]
+        return labels, scores, [0 if f is None else int(f[1].sum()) for f in found]
 
 
 def predict(docs: DataFrame, profiles: dict[str, np.ndarray], dimensions: int = DIMENSIONS, seed: int = 7) -> DataFrame:
@@ -177,15 +187,49 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], dimensions: int =
     return narrow.mapInArrow(predicted, "doc_id bigint, lang_pred string, score double")
 
 
-def accepted(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
+def size_class(triples: int) -> int:
+    """Texts with up to twice as many triples are in the same class."""
+    return max(triples, 1).bit_length()
+
+
+def fit_least(docs: DataFrame, judge: Judge) -> dict[int, float]:
+    """The least score that a text of each size class must have to be in a known language.
+
+    Scores rise with the number of triples, towards 1 for thousands of them; what is in
+    no known language stays near 0.1 however long it is. So each class asks for a part
+    of what all but a few of its labelled documents reach. About FIT_ROWS of ``docs``
+    (text), drawn by a hash of the text, are judged; classes with few of them ask for
+    what the next smaller one does, the smallest for LEAST_SCORE.
+    """
+    number = docs.count()
+    drawn = docs.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < 1_000_000 * FIT_ROWS // max(number, 1))
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, SLICE_BYTES // 2):
+            _, scores, sizes = judge.sized(part.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([size_class(n) for n in sizes], pa.int32()), pa.array(scores, pa.float64())], ["size", "score"])
+
+    found = drawn.select("text").mapInArrow(scored, "size int, score double").where("score > 0").groupBy("size")
+    rows = found.agg(F.count("*").alias("n"), F.percentile("score", F.lit(FIT_SHARE)).alias("low")).where(F.col("n") >= FIT_LEAST)
+    # One row for each power of two.
+    known, least, asked = {r["size"]: max(LEAST_SCORE, FIT_PART * r.low) for r in rows.collect()}, {}, LEAST_SCORE
+    for size in range(64):
+        least[size] = asked = known.get(size, asked)
+    return least
+
+
+def accepted(docs: DataFrame) -> DataFrame:
     """Those rows of ``docs`` (doc_id, text, lang, ...) whose text is in one of the languages, with all their columns.
 
     Rejected are texts that are null or have no letter, and those whose best cosine is
-    below ``least``, which random letters reach by chance. Short texts have low scores
-    and stay. Without profiles there is nothing to judge by, and all with letters stay.
+    below what ``fit_least`` learned for their number of letter triples: random letters,
+    and languages that no document is labelled with. Very short texts can hardly be
+    told, and stay. Equal texts are judged alike. Without profiles there is nothing to
+    judge by, and all with letters stay; an empty table stays empty.
     """
-    prepared(docs.sparkSession)
-    judge = Judge(fit_profiles(docs.where(~held_out())), DIMENSIONS, 7)
+    known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", F.col("text").cast("string").alias("text"))
+    judge = Judge(fit_profiles(known), DIMENSIONS, 7)
+    least = fit_least(known, judge) if judge.names else {}
 
     @F.pandas_udf("boolean")
     def fits(texts: pd.Series) -> pd.Series:
@@ -194,8 +238,8 @@ def accepted(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
         for _, part in texts.groupby(sizes.to_numpy(), sort=False):
             own = [None if t is None else t for t in part]
             if judge.names:
-                labels, scores = judge(own)
-                out += [n != UNKNOWN and s >= least for n, s in zip(labels, scores, strict=True)]
+                asked = zip(*judge.sized(own), strict=True)
+                out += [n != UNKNOWN and s >= least[size_class(size)] for n, s, size in asked]
             else:
                 out += [len(letter_triples(t or "")) > 0 for t in own]
         return pd.Series(out, dtype=bool)

@@ -16,7 +16,6 @@ from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
@@ -26,8 +25,8 @@ from volscribe.session import written
 
 CAPACITY = 4096
 END_ID = 1
-# Distinct words that a worker remembers the ids of.
-CACHED_WORDS = 1_500_000
+# Distinct words that a task remembers the ids of: some 30 MB.
+CACHED_WORDS = 150_000
 # A control character that is a token of its own.
 _BETWEEN = "\x01"
 
@@ -65,9 +64,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(tokenizer)
         (self.between,) = self.tokenizer.encode(_BETWEEN, add_special_tokens=False).ids
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         # Sorted hashes, and the row of each in the arrays below.
         self.hashes, self.row = np.empty(0, np.uint64), np.empty(0, np.int64)
         self.ids, self.start, self.count = np.empty(1 << 20, "<u4"), np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int64)
@@ -110,21 +109,18 @@ class Encoder:
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and where each text's start, with the end last."""
         if len(self.hashes) > CACHED_WORDS:
-            self._forget()
+            self.forget()
         start, end, first = word_spans(data, at)
         if not len(start):
             return np.empty(0, "<u4"), np.zeros(len(at), np.int64)
         start, end, first = without_marks(data, start, end, first)
-        codes, distinct = pd.factorize(span_hashes(data, start, end))
-        example = np.empty(len(distinct), np.int64)
-        example[codes[::-1]] = np.arange(len(codes))[::-1]
+        distinct, example, codes = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
         at_hash = np.searchsorted(self.hashes, distinct)
         known = np.zeros(len(distinct), bool)
         inside = at_hash < len(self.hashes)
         known[inside] = self.hashes[at_hash[inside]] == distinct[inside]
         if not known.all():
             new = np.flatnonzero(~known)
-            new = new[np.argsort(distinct[new])]
             stored, spans = data.tobytes(), zip(start[example[new]].tolist(), end[example[new]].tolist(), strict=True)
             self._learn(distinct[new], [stored[i:j] for i, j in spans])
         rows = self.row[np.searchsorted(self.hashes, distinct)][codes]
@@ -135,7 +131,7 @@ class Encoder:
 
 @lru_cache(maxsize=1)
 def _encoder(tokenizer: str) -> Encoder:
-    """The encoder of this worker process, which keeps the words it knows from task to task."""
+    """The encoder of this worker process; what it remembers of words goes with the task."""
     return Encoder(tokenizer)
 
 
@@ -162,6 +158,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, kind) for c, kind in columns], ["doc_id", "piece", "start", "length", "ids_crc32"]
             )
+        encoder.forget()
 
     docs = id_and_text(docs).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     return docs.mapInArrow(cut, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
@@ -236,7 +233,7 @@ def ranked(cut: DataFrame, salts: int) -> DataFrame:
     Pieces of one length, which may be a third of all, are numbered in ``salts`` groups,
     which then start where the groups before end.
     """
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
+    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
     earlier = W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
     starts = salted.groupBy("length", "salt").agg(F.count("*").alias("own"))
     starts = starts.select("length", "salt", F.coalesce(F.sum("own").over(earlier), F.lit(0)).alias("earlier"))

@@ -78,7 +78,9 @@ FROM texts WINDOW same AS (PARTITION BY plain)
 
 @query("op2_exact_dedup", OP2_SQL)
 def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return exact_dedup.exact_groups(table(spark, folder, "documents")).drop("times")
+    # Rows that repeat a document are one group's member each.
+    groups = exact_dedup.exact_groups(table(spark, folder, "documents"))
+    return groups.withColumn("times", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).drop("times")
 
 
 @query("op3_suffix_dedup")
