@@ -158,6 +158,45 @@ def test_ridge_equals_spark_ml_cross_validation(linked):
     assert (fit.n_train, fit.n_test, fit.train_end, fit.test_start) == (228, 76, 2003, 2005)
 
 
+@pytest.mark.parametrize("alpha", [0.3, 1.0])
+def test_elastic_net_equals_spark_ml_in_every_window(linked, alpha):
+    rows = ridge.design_rows(linked)
+    fits = ridge.ridge_walk_forward(rows, alpha=alpha).filter("usable").collect()
+    assert sorted(f.train_start for f in fits) == [2000, 2001, 2002]
+    for fit in fits:
+        train = ridge.ml_rows(between(rows, fit.train_start, fit.train_end)).cache()
+        errors = []
+        for penalty in ridge.PENALTIES:
+            model = ridge.linear_regression(penalty, alpha).setTol(1e-13).setMaxIter(2000)
+            errors.append(np.mean([evaluate(model.fit(train.filter(F.col("fold") != k)), train.filter(F.col("fold") == k), "label")[0] for k in range(ridge.FOLDS)]))
+        assert np.allclose(fit.cv_mse, errors, rtol=1e-6)
+        assert fit.best_lambda == ridge.PENALTIES[int(np.argmin(errors))]
+        best = ridge.linear_regression(fit.best_lambda, alpha).setTol(1e-13).setMaxIter(2000).fit(train)
+        assert np.allclose(fit.coefficients, best.coefficients.toArray(), atol=1e-6) and abs(fit.intercept - best.intercept) < 1e-6
+        tested = ridge.ml_rows(between(rows, fit.test_start, fit.test_end))
+        assert np.allclose([fit.mse, fit.r2], evaluate(best, tested, "label"), rtol=1e-6)
+        train.unpersist()
+
+
+def test_elastic_net_without_absolute_part_is_ridge(linked):
+    rows = ridge.design_rows(linked)
+    plain, tiny = (sorted(ridge.ridge_walk_forward(rows, alpha=a).filter("usable").collect()) for a in (0.0, 1e-9))
+    for one, other in zip(plain, tiny, strict=True):
+        assert one.best_lambda == other.best_lambda and np.allclose(one.coefficients, other.coefficients, atol=1e-7)
+        assert np.allclose(one.cv_mse, other.cv_mse, rtol=1e-6)
+
+
+def test_coordinate_descent_meets_the_optimality_conditions():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 30)) @ rng.normal(size=(30, 30))
+    x = (x - x.mean(0)) / x.std(0)
+    a, t, l1, l2 = x.T @ x / 60, x.T @ rng.normal(size=60) / 60, 0.05, 0.02
+    slopes = ridge._descended(a, t, l1, l2, np.zeros(30))
+    gradient = t - a @ slopes - l2 * slopes
+    used = slopes != 0
+    assert 0 < used.sum() < 30 and np.allclose(gradient[used], l1 * np.sign(slopes[used]), atol=1e-8) and (np.abs(gradient[~used]) <= l1 + 1e-8).all()
+
+
 def test_constant_features_get_no_weight(linked):
     flat = linked.withColumn("c_vol_63", F.lit(0.1))
     fit = ridge.ridge_walk_forward(ridge.design_rows(flat), start_year=2000, end_year=2005).first()

@@ -21,7 +21,7 @@ TABLES = (
 # No SQL: cross-validated model fits, which are compared with Spark ML below.
 WITHOUT_SQL = {
     "sink_model", "ridge_cv", "ridge_cv_spark_ml", "ridge_walk_forward", "ridge_walk_forward_security_day",
-    "best_lambda", "text_to_forecast", "mean_window_metrics_ridge",
+    "best_lambda", "text_to_forecast", "mean_window_metrics_ridge", "elastic_net_walk_forward",
 }
 
 

@@ -1,4 +1,4 @@
-"""Cross-validated ridge on lagged volatility plus text vectors, walked forward.
+"""Cross-validated ridge and elastic net on lagged volatility plus text vectors, walked forward.
 
 The rows are read once to add up cross products per (year, fold). Those matrices
 have a fixed size, whatever the number of rows, and are enough to fit any window,
@@ -32,6 +32,9 @@ PARALLELISM = 8
 # sends one matrix, about 5 MB with 768 dimensions.
 SALTS = 64
 
+# Coordinate descent ends when no slope of a standardized feature moves by more, or after so many cycles.
+SETTLED, MAX_CYCLES = 1e-11, 10_000
+
 LAGS = ("c_vol_1", "c_vol_5", "c_vol_22", "c_vol_63")
 LABEL = "c_y_1"
 EMBED = "r_embed"
@@ -125,19 +128,69 @@ def _matrix(part: pd.DataFrame) -> np.ndarray:
     return total + np.triu(total, 1).T
 
 
-def _fit(total: np.ndarray, penalty: float) -> tuple[float, np.ndarray]:
-    """Ridge intercept and slopes from Z'Z, penalty on standardized features."""
+def _standardized(total: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Means, covariances and deviations of (x, y) from Z'Z."""
     mean = total[-1, :-1] / total[-1, -1]
     cov = total[:-1, :-1] / total[-1, -1] - np.outer(mean, mean)
-    std = np.sqrt(np.maximum(np.diag(cov), 0.0))
+    return mean, cov, np.sqrt(np.maximum(np.diag(cov), 0.0))
+
+
+def _soft(value: float, by: float) -> float:
+    return value - by if value > by else value + by if value < -by else 0.0
+
+
+def _descended(scaled: np.ndarray, target: np.ndarray, l1: float, l2: float, start: np.ndarray) -> np.ndarray:
+    """The slopes that minimise b'Ab/2 - t'b + l1 |b| + l2 b'b/2, by cyclic coordinate descent from ``start``.
+
+    Slopes that are not zero are cycled through until they settle; then all others are
+    looked at, and those whose gradient exceeds ``l1`` join in.
+    """
+    slopes = start.copy()
+    # What is left of the target, kept up to date.
+    left = target - scaled @ slopes
+    active = np.flatnonzero(slopes)
+    while True:
+        for _ in range(MAX_CYCLES):
+            moved = 0.0
+            for j in active.tolist():
+                old = slopes[j]
+                new = _soft(left[j] + scaled[j, j] * old, l1) / (scaled[j, j] + l2)
+                if new != old:
+                    left -= scaled[j] * (new - old)
+                    slopes[j] = new
+                    moved = max(moved, abs(new - old))
+            if moved < SETTLED:
+                break
+        free = (slopes == 0) & (np.abs(left) > l1 * (1 + 1e-10) + SETTLED)
+        if not free.any() or np.isin(np.flatnonzero(free), active).all():
+            return slopes
+        active = np.union1d(np.flatnonzero(slopes), np.flatnonzero(free))
+
+
+def _path(total: np.ndarray, penalties: Sequence[float], alpha: float) -> list[tuple[float, np.ndarray]]:
+    """Intercept and slopes from Z'Z for each penalty on standardized features, in their order.
+
+    ``alpha`` is the share of the penalty that is on absolute values. With 0 each penalty
+    is a linear system; otherwise fits go from the largest penalty to the smallest, each
+    from where the last one ended.
+    """
+    mean, cov, std = _standardized(total)
     used = std[:-1] > 1e-12
-    slopes = np.zeros(len(std) - 1)
-    if std[-1] > 0 and used.any():
-        scaled = cov[:-1, :-1][np.ix_(used, used)] / np.outer(std[:-1][used], std[:-1][used])
-        scaled[np.diag_indices_from(scaled)] += penalty / std[-1]
-        target = cov[:-1, -1][used] / (std[:-1][used] * std[-1])
-        slopes[used] = np.linalg.solve(scaled, target) * std[-1] / std[:-1][used]
-    return float(mean[-1] - slopes @ mean[:-1]), slopes
+    fits, slopes = {}, np.zeros(int(used.sum()))
+    for k in sorted(range(len(penalties)), key=lambda k: -penalties[k]):
+        out = np.zeros(len(std) - 1)
+        if std[-1] > 0 and used.any():
+            scaled = cov[:-1, :-1][np.ix_(used, used)] / np.outer(std[:-1][used], std[:-1][used])
+            target = cov[:-1, -1][used] / (std[:-1][used] * std[-1])
+            size = penalties[k] / std[-1]
+            if alpha:
+                slopes = _descended(scaled, target, alpha * size, (1 - alpha) * size, slopes)
+            else:
+                scaled[np.diag_indices_from(scaled)] += size
+                slopes = np.linalg.solve(scaled, target)
+            out[used] = slopes * std[-1] / std[:-1][used]
+        fits[k] = float(mean[-1] - out @ mean[:-1]), out
+    return [fits[k] for k in range(len(penalties))]
 
 
 def _score(total: np.ndarray, intercept: float, slopes: np.ndarray) -> tuple[float, float]:
@@ -155,9 +208,12 @@ def ridge_walk_forward(
     end_year: int | None = None,
     penalties: Sequence[float] = PENALTIES,
     min_train_rows: int = MIN_TRAIN_ROWS,
+    alpha: float = 0.0,
 ) -> DataFrame:
     """Per window: cross-validation error of every penalty, the best one, test error.
 
+    ``alpha`` mixes the penalty: 0 is ridge, 1 the lasso, and in between elastic net.
+
     Windows start at ``start_year`` and later, and those that would reach
     ``end_year`` are left out; without these bounds every window with rows is there.
     A window is fitted if it has ``min_train_rows``, rows in each of its training
@@ -179,11 +235,12 @@ def ridge_walk_forward(
         if not whole or not len(test) or counts["n_train"] < min_train_rows:
             return pd.DataFrame([{**dict.fromkeys(names), **counts, "usable": False}])
         total = sum(folds.values())
-        errors = [
-            float(np.mean([_score(held, *_fit(total - held, p))[0] for held in folds.values()])) for p in grid
-        ]
+        held_out = [[_score(held, *fit)[0] for fit in _path(total - held, grid, alpha)] for held in folds.values()]
+        errors = np.mean(held_out, axis=0).tolist()
         best = int(np.argmin(errors))
-        intercept, slopes = _fit(total, grid[best])
+        # Down to the chosen penalty, as the folds went.
+        way = [p for p in grid if p >= grid[best]] if alpha else [grid[best]]
+        intercept, slopes = _path(total, way, alpha)[way.index(grid[best])]
         mse, r2 = _score(tested, intercept, slopes)
         return pd.DataFrame(
             [

@@ -217,4 +217,5 @@ def with_tables(body: str) -> str:
             todo.append(TABLES[name])
     # Shared tables are computed once instead of once per reference.
     parts = [f"{name} AS MATERIALIZED ({sql})" for name, sql in TABLES.items() if name in needed]
+    # A body may go on with tables of its own, after a comma.
     return (f"WITH {', '.join(parts)} " if parts else "") + body

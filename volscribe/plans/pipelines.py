@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from volscribe.functions.text import clean
+from volscribe.functions.text import clean, has_real_text
+from volscribe.operators.accounting import Accounts
 from volscribe.operators.cleaning import filter_placeholder_text
 from volscribe.operators.embed import batch_embed
 from volscribe.operators.link import attach_security, keep_ids, link_panel, with_created_date
@@ -45,6 +46,37 @@ def linked_with_vectors(
     return linked.join(vectors, "r_id", "left")
 
 
+def accounted_design(
+    texts: DataFrame, securities: DataFrame, ticker_map: DataFrame, panel: DataFrame, embeddings: DataFrame, accounts: Accounts
+) -> DataFrame:
+    """``linked_with_vectors`` down to complete rows, with the rows every stage loses on the way in ``accounts``.
+
+    Counted are lines that were no records, mentions without a security on their day,
+    those without a panel row, and linked rows without a vector or with a null target or
+    lag. Each stage is counted by the pass that writes it.
+    """
+    texts = accounts.observed(texts, "texts", {"malformed": F.col("id").isNull()})
+    found = written(mine_mentions(texts, securities, distinct=True), "mentions")
+    mapped = attach_security(with_created_date(found), ticker_map, keep_unmapped=True)
+    mapped = accounts.stored(mapped, "mentions", {"unmapped_security": F.col("PERMNO").isNull()})
+    linked = accounts.stored(link_panel(mapped, panel, "left"), "linked", {"no_panel_row": F.col("c_date").isNull()})
+    vectors = keep_ids(embeddings, linked.select(F.col("r_id").alias("id")).distinct())
+    vectors = vectors.select(F.col("id").alias("r_id"), F.col("embed").alias("r_embed"))
+    incomplete = F.col(LABEL).isNull()
+    for lag in LAGS:
+        incomplete = incomplete | F.col(lag).isNull()
+    return accounts.stored(linked.join(vectors, "r_id", "left"), "design", {"null_vector": F.col("r_embed").isNull(), "incomplete": incomplete})
+
+
+def counted_stages(texts: DataFrame, securities: DataFrame, ticker_map: DataFrame, panel: DataFrame, accounts: Accounts) -> None:
+    """Count texts, mentions, mention keys (those of placeholder texts apart) and linked rows, each once."""
+    keep = ("id", "created_utc", "subreddit", "is_comment", "real")
+    marked = accounts.observed(texts.withColumn("real", F.coalesce(has_real_text("selftext"), F.lit(False))), "texts")
+    found = accounts.stored(mine_mentions(marked, securities, keep), "mentions")
+    keys = accounts.stored(found.distinct(), "keys", {"placeholder": ~F.col("real")}, drop=False)
+    accounts.run(link_panel(attach_security(with_created_date(keys), ticker_map), panel), "linked")
+
+
 def text_to_forecast(
     texts: DataFrame,
     securities: DataFrame,

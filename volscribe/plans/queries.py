@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from volscribe.functions import dates as dt, numeric as nm, text as tx
 from volscribe.operators import (
-    aggregates, cleaning, diagnostics, embed, link, mentions, ols, panel, ridge, sampling, tokens, windows,
+    accounting, aggregates, cleaning, diagnostics, embed, link, mentions, ols, panel, ridge, sampling, tokens, windows,
 )
 from volscribe.plans import oracle as sql, pipelines
 from volscribe.plans.datasets import Inputs, write_archive
@@ -351,11 +351,44 @@ def semi_join_ids(i: Inputs) -> DataFrame:
     "SELECT 'clean', count(*) FROM clean_mentions UNION ALL SELECT 'linked', count(*) FROM linked",
 )
 def count_rows(i: Inputs) -> DataFrame:
-    # The stored narrow mentions also serve the last stage.
-    found = written(mentions.mine_mentions(i.texts(), i.securities()), "mentions")
-    mapped = link.attach_security(link.with_created_date(found.select("id", "created_utc", "subreddit", "ticker").distinct()), i.ticker_map())
-    linked = link.link_panel(mapped, i.panel("symbol"))
-    return aggregates.stage_counts({"texts": i.texts(), "mentions": found, "clean": _clean_mentions(i), "linked": linked})
+    accounts = accounting.Accounts(i.spark)
+    pipelines.counted_stages(i.texts(), i.securities(), i.ticker_map(), i.panel("symbol"), accounts)
+    counts = accounts.counts()
+    keys, placeholder = counts["keys"]
+    rows = [(name, counts[name][0]) for name in ("texts", "mentions", "linked")] + [("clean", keys - placeholder["placeholder"])]
+    return i.spark.createDataFrame(rows, "stage string, row_count bigint")
+
+
+# Every fiftieth post is a line that is no record.
+BAD_POST = "(id LIKE 'p%' AND TRY_CAST(substr(id, 2) AS BIGINT) % 50 = 7)"
+
+
+@query(
+    "row_accounts",
+    f"""
+    , kept_keys AS (SELECT * FROM mention_keys WHERE NOT {BAD_POST}),
+    kept_mapped AS (SELECT k.*, t.PERMNO FROM kept_keys k LEFT JOIN ticker_map t ON t.DATE = {sql.day_of('k.created_utc')} AND t.TICKER = k.ticker),
+    kept_linked AS (
+      SELECT m.id, p.date, p.y_1, p.vol_1, p.vol_5, p.vol_22, p.vol_63, e.embed
+      FROM kept_mapped m LEFT JOIN panel_symbol p ON p.PERMNO = m.PERMNO AND p.date = {sql.day_of('m.created_utc')}
+      LEFT JOIN emb e ON e.id = m.id WHERE m.PERMNO IS NOT NULL)
+    SELECT 'texts' AS stage, 'malformed' AS reason, count(*) AS rows, count(*) FILTER ({BAD_POST}) AS dropped FROM texts UNION ALL
+    SELECT 'mentions', 'unmapped_security', count(*), count(*) FILTER (PERMNO IS NULL) FROM kept_mapped UNION ALL
+    SELECT 'linked', 'no_panel_row', count(*), count(*) FILTER (date IS NULL) FROM kept_linked UNION ALL
+    SELECT 'design', 'null_vector', count(*), count(*) FILTER (embed IS NULL) FROM kept_linked WHERE date IS NOT NULL UNION ALL
+    SELECT 'design', 'incomplete', count(*),
+           count(*) FILTER (embed IS NOT NULL AND (y_1 IS NULL OR vol_1 IS NULL OR vol_5 IS NULL OR vol_22 IS NULL OR vol_63 IS NULL))
+    FROM kept_linked WHERE date IS NOT NULL""",
+)
+def row_accounts(i: Inputs) -> DataFrame:
+    raw = i.raw_posts()
+    broken = F.expr("TRY_CAST(substr(id, 2) AS BIGINT) % 50 = 7")
+    lines = raw.select(F.when(broken, F.concat(F.lit("no record: {"), "id")).otherwise(F.to_json(F.struct(*raw.columns))).alias("value"))
+    posts = ndjson.standardize(ndjson.parse_records(lines, "post"), "post")
+    accounts = accounting.Accounts(i.spark)
+    texts = ndjson.union_posts_comments(posts, i.comments())
+    pipelines.accounted_design(texts, i.securities(), i.ticker_map(), i.panel("symbol"), i.embeddings(), accounts)
+    return accounts.frame()
 
 
 @query("distinct_keys_sorted", "SELECT DISTINCT PERMNO FROM ret_wide ORDER BY PERMNO")
@@ -820,6 +853,17 @@ def ridge_walk_forward_security_day(i: Inputs) -> DataFrame:
     return ridge.ridge_walk_forward(rows).select("train_start", "n_train", "n_test", "usable", "best_lambda", rounded("mse", 8).alias("mse"))
 
 
+@query("elastic_net_walk_forward")
+def elastic_net_walk_forward(i: Inputs) -> DataFrame:
+    """Half of the penalty on absolute values; how many slopes stay is part of the result."""
+    fits = ridge.ridge_walk_forward(_design(i), alpha=0.5)
+    kept = F.size(F.filter("coefficients", lambda c: c != 0))
+    return fits.select(
+        "train_start", "train_end", "test_start", "test_end", "n_train", "n_test", "usable", "best_lambda",
+        F.when(F.col("usable"), kept).alias("n_kept"), rounded("mse", 8).alias("mse"), rounded("r2").alias("r2"),
+    )
+
+
 @query("best_lambda")
 def best_lambda(i: Inputs) -> DataFrame:
     return ridge.best_lambda(_ridge(i))
@@ -854,6 +898,32 @@ def fig_scatter_density(i: Inputs) -> DataFrame:
     return diagnostics.density(written(i.panel().select(*diagnostics.SCATTER_COLUMNS), "panel")).select("metric", "bin", "row_count", rounded("bin_start").alias("bin_start"))
 
 
+def _kernel_sql(columns, points: int, cells: int, reach: int) -> str:
+    spans = " UNION ALL ".join(
+        f"SELECT '{c}' AS metric, count({c}) AS n, min({c}) AS lo, max({c}) AS hi, stddev_samp({c}) / pow(count({c}), 0.2) AS width FROM panel_wide" for c in columns
+    )
+    values = " UNION ALL ".join(f"SELECT '{c}' AS metric, {c} AS value FROM panel_wide WHERE {c} IS NOT NULL" for c in columns)
+    return f"""
+    , spans AS (SELECT * FROM ({spans}) WHERE width > 0),
+    placed AS (SELECT metric, (value - lo) / (width / {cells}) AS place FROM ({values}) JOIN spans USING (metric)),
+    grid AS (
+      SELECT metric, cell, sum(weight) AS weight FROM (
+        SELECT metric, floor(place) AS cell, 1 - (place - floor(place)) AS weight FROM placed UNION ALL
+        SELECT metric, floor(place) + 1, place - floor(place) FROM placed) GROUP BY metric, cell),
+    points AS (SELECT *, lo + point * ((hi - lo) / {points - 1}) AS x FROM spans, (SELECT unnest(range({points})) AS point))
+    SELECT metric, CAST(point AS INTEGER) AS point, {R('min(x)')} AS x,
+           {R(f"coalesce(sum(CASE WHEN cell BETWEEN floor((x - lo) / (width / {cells})) - {reach * cells} AND floor((x - lo) / (width / {cells})) + {reach * cells} + 1 "
+              f"THEN weight * exp(-0.5 * pow((x - (lo + cell * (width / {cells}))) / width, 2)) END), 0) / (min(n) * min(width) * sqrt(2 * pi()))", 4)} AS density
+    FROM points JOIN grid USING (metric) GROUP BY metric, point"""
+
+
+@query("fig_scatter_kde", _kernel_sql(diagnostics.SCATTER_COLUMNS, diagnostics.DENSITY_POINTS, diagnostics.CELLS_PER_BANDWIDTH, diagnostics.KERNEL_REACH))
+def fig_scatter_kde(i: Inputs) -> DataFrame:
+    rows = written(i.panel().select(*diagnostics.SCATTER_COLUMNS), "panel")
+    out = diagnostics.kernel_density(rows)
+    return out.select("metric", "point", rounded("x").alias("x"), rounded("density", 4).alias("density"))
+
+
 @query(
     "fig_scatter_correlation",
     " UNION ALL ".join(
