@@ -1,4 +1,5 @@
 import datetime as dt
+import math
 
 import numpy as np
 import pytest
@@ -6,6 +7,7 @@ from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import functions as F
 
+from tests.conftest import rows_of
 from volscribe.operators import aggregates, ols, ridge, windows
 from volscribe.operators.windows import ROLLING_FOUR, THREE_AND_GAP, Scheme
 from volscribe.sources.sinks import save_model
@@ -74,6 +76,62 @@ def test_collinear_lags_still_predict(har):
     assert np.isfinite(fit.mse) and fit.r2 > 0.1
 
 
+def test_nearly_equal_lags_keep_their_digits(spark):
+    """Slopes of lags that differ by 3e-9 come out right, where products of sums lose them."""
+    rng = np.random.default_rng(9)
+    rows, truth = [], np.array([0.5, -0.25, 0.2, 0.1])
+    for year in range(2000, 2005):
+        for n in range(400):
+            a, b, c = rng.normal(0.3, 0.05, 3)
+            lags = np.array([a, a + 3e-9 * rng.normal(), b, c])
+            rows.append((n, dt.date(year, 1, 1) + dt.timedelta(days=n % 360), *map(float, lags), float(0.01 + lags @ truth)))
+    frame = spark.createDataFrame(rows, "PERMNO int, date date, vol_1 double, vol_5 double, vol_22 double, vol_63 double, y_1 double").repartition(11)
+    fit = ols.walk_forward(frame).first()
+    assert np.allclose(fit.coefficients, truth, atol=1e-6) and fit.mse < 1e-20
+    data = np.array([r[2:] for r in rows if r[1].year < 2004])
+    cov = np.cov(data.T, bias=True)
+    lost = np.linalg.lstsq(cov[:-1, :-1], cov[:-1, -1], rcond=None)[0]
+    assert np.abs(lost - truth).max() > 1e-3
+
+
+def test_factors_do_not_depend_on_partitions(har):
+    one, many = (sorted(ols.walk_forward(har.repartition(n)).collect()) for n in (1, 13))
+    assert all(np.allclose(a.coefficients, b.coefficients, atol=1e-10) and abs(a.mse - b.mse) < 1e-13 for a, b in zip(one, many, strict=True))
+
+
+def test_winsor_bounds_come_from_training_years_alone(har):
+    plain = {(r.train_start, r.metric): (r.low, r.high) for r in ols.winsor_bounds(har).collect()}
+    wild = har.withColumn("vol_1", F.when(F.year("date") == 2004, F.col("vol_1") * 1000).otherwise(F.col("vol_1")))
+    moved = {(r.train_start, r.metric): (r.low, r.high) for r in ols.winsor_bounds(wild).collect()}
+    assert {s for s, m in plain if plain[s, m] != moved[s, m]} == {2001, 2002, 2003, 2004}
+    usable = {r.train_start for r in ols.winsorised_walk_forward(har).collect()}
+    assert usable == {r.train_start for r in ols.walk_forward(har).collect()}
+    start = min(usable)
+    rows = ols.winsorised_rows(har, tail=0.05).where(F.col("train_start") == start)
+    bounds = {r.metric: (r.low, r.high) for r in ols.winsor_bounds(har, tail=0.05).where(F.col("train_start") == start).collect()}
+    for name in ols.FEATURES:
+        low, high = rows.agg(F.min(name), F.max(name)).first()
+        assert bounds[name] == (low, high)
+    raw = sorted(r.y_1 for r in between(har, start + 4, start + 4).collect())
+    assert sorted(r.y_1 for r in rows.where("role = 'test'").collect()) == raw
+
+
+def test_log_rows(spark):
+    frame = spark.createDataFrame([(0.0, 1.0), (math.e, 1e-9)], "vol_1 double, y_1 double")
+    got = rows_of(ols.log_rows(frame, ("vol_1", "y_1"), least=1e-6))
+    assert np.allclose(got, sorted([(math.log(1e-6), 0.0), (1.0, math.log(1e-6))], key=repr))
+
+
+def test_row_scores_equal_the_window_errors(linked):
+    rows = ridge.design_rows(linked)
+    fits = ridge.ridge_walk_forward(rows).cache()
+    scored = aggregates.regression_metrics(ridge.scored_rows(rows, fits), "y", by=("train_start",)).collect()
+    want = {f.train_start: f for f in fits.filter("usable").collect()}
+    assert {r.train_start for r in scored} == want.keys()
+    for r in scored:
+        assert r.n == want[r.train_start].n_test and np.allclose([r.mse, r.r2], [want[r.train_start].mse, want[r.train_start].r2], rtol=1e-9)
+
+
 def test_gram_matrix(har):
     rows = ols.gram_matrix(har, F.year("date").alias("year")).filter("year = 2000").collect()
     data = np.array([(1.0, r.vol_1, r.vol_5, r.vol_22, r.vol_63, r.y_1) for r in between(har, 2000, 2000).collect()])
@@ -161,7 +219,7 @@ def test_ridge_equals_spark_ml_cross_validation(linked):
 @pytest.mark.parametrize("alpha", [0.3, 1.0])
 def test_elastic_net_equals_spark_ml_in_every_window(linked, alpha):
     rows = ridge.design_rows(linked)
-    fits = ridge.ridge_walk_forward(rows, alpha=alpha).filter("usable").collect()
+    fits = ridge.ridge_walk_forward(rows, alpha=alpha, all_train_years=True).filter("usable").collect()
     assert sorted(f.train_start for f in fits) == [2000, 2001, 2002]
     for fit in fits:
         train = ridge.ml_rows(between(rows, fit.train_start, fit.train_end)).cache()
@@ -208,10 +266,11 @@ def test_small_windows_are_skipped(linked):
     few = ridge.ridge_walk_forward(rows, min_train_rows=229).collect()
     assert few and not any(f.usable for f in few) and max(f.n_train for f in few) == 228
     # No test year after 2006, and training years before 2000 are missing.
-    windows = {f.train_start: f for f in ridge.ridge_walk_forward(rows, min_train_rows=1).collect()}
+    windows = {f.train_start: f for f in ridge.ridge_walk_forward(rows, min_train_rows=1, all_train_years=True).collect()}
     assert {start for start, f in windows.items() if f.usable} == {2000, 2001, 2002}
     assert windows[1999].n_train == 152 and windows[1999].mse is None and windows[1999].train_end == 2001
-    assert ridge.mean_metrics(ridge.ridge_walk_forward(rows)).first().windows == 3
+    assert ridge.mean_metrics(ridge.ridge_walk_forward(rows, all_train_years=True)).first().windows == 3
+    assert {f.train_start for f in ridge.ridge_walk_forward(rows).filter("usable").collect()} == {1999, 2000, 2001, 2002}
 
 
 def test_security_day_grain(linked):

@@ -28,6 +28,16 @@ def test_topn_on_other_layouts_and_seeds(spark):
     assert rows_of(sampling.sample_topn_random(df, ["id"], 100, seed="other")) != one
 
 
+def test_the_cut_is_the_first_prefix_that_reaches_n(spark):
+    places = spark.range(5000).select(F.expr("(id * 7919) % 5000 * 800000").alias("place"))
+    width = sampling.MD5_HEAD_RANGE >> sampling.PREFIX_BITS
+    for n in (1, 50, 4999, 5000):
+        cut = sampling.hash_cut(places, "place", n)
+        below = [k * 800000 for k in range(5000) if k * 800000 < cut]
+        assert len(below) >= n and sum(k < cut - width for k in below) < n
+    assert sampling.hash_cut(places, "place", 5001) == sampling.MD5_HEAD_RANGE
+
+
 def test_topn_with_copies_of_one_row(spark):
     df = spark.range(900).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("id"))
     assert sampling.sample_topn_random(df, ["id"], 450).count() == 450

@@ -6,6 +6,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from tests.conftest import plan_of, rows_of
+from volscribe.operators import link
 from volscribe.plans.datasets import write_archive
 from volscribe.sources import ndjson, sinks, tables
 
@@ -161,3 +162,22 @@ def test_plain_overwrite(spark, tmp_path):
     sinks.write_overwrite(spark.range(5), path)
     sinks.write_overwrite(spark.range(3), path)
     assert spark.read.parquet(path).count() == 3
+
+
+def test_colocated_tables_join_without_an_exchange(spark, tmp_path):
+    left = spark.range(5000).selectExpr("id % 700 AS k", "id % 5 AS day", "id AS v")
+    right = spark.range(700).selectExpr("id AS k", "id % 5 AS day", "id * 2 AS w")
+    tables = [sinks.write_colocated(df, name, str(tmp_path / name), ("k", "day"), 7) for name, df in (("near_l", left), ("near_r", right))]
+    joined = link.join_colocated(*tables, ("k", "day"))
+    assert "Exchange" not in plan_of(joined) and plan_of(joined).count("SelectedBucketsCount: 7 out of 7") == 2
+    assert rows_of(joined, "k", "day", "v", "w") == rows_of(left.join(right, ["k", "day"]), "k", "day", "v", "w")
+    # Written anew with other rows, the table has those only.
+    again = sinks.write_colocated(right.where("k < 10"), "near_r", str(tmp_path / "near_r"), ("k", "day"), 7)
+    assert again.count() == 10
+
+
+def test_model_table_keeps_other_windows(spark, tmp_path):
+    path = str(tmp_path / "models")
+    sinks.write_models(spark.createDataFrame([(1, 0.5), (2, 0.6)], "train_start int, mse double"), path)
+    sinks.write_models(spark.createDataFrame([(2, 0.7)], "train_start int, mse double"), path)
+    assert rows_of(spark.read.parquet(path), "train_start", "mse") == [(1, 0.5), (2, 0.7)]

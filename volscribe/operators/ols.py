@@ -1,26 +1,36 @@
 """Least squares on lagged volatility, walked forward year by year.
 
-One pass over the rows yields count, means and covariances per year. Everything
-else (fits, test errors, pooled errors) follows from those few numbers, so no
-window scans the panel again.
+One pass over the rows yields a triangular factor per year, by a tall-skinny QR: each
+task reduces its own rows, and factors are merged in a tree. Everything else (fits, test
+errors, pooled errors) follows from those few numbers, so no window scans the panel
+again. Unlike sums of products, a factor keeps its digits where lags are nearly equal.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations_with_replacement
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
-from volscribe.operators.windows import ROLLING_FOUR, Scheme, window_bounds, with_roles
+from volscribe.operators.quantiles import exact_quantiles
+from volscribe.operators.windows import ROLLING_FOUR, Scheme, window_bounds, window_row_guards, with_roles
 
 # Regressors and target.
 FEATURES = ("vol_1", "vol_5", "vol_22", "vol_63")
 LABEL = "y_1"
 
+# What is clipped on either side, and the volatility that logarithms begin at.
+TAIL, LEAST_VOLATILITY = 0.01, 1e-6
+
+# Parts of a group's factors that are merged first.
+BRANCHES = 32
+
 _FIT = (
     "train_start int, n_train long, n_test long, intercept double, coefficients array<double>, "
     "mse double, r2 double, test_mean double, test_var double"
@@ -54,63 +64,91 @@ def gram_matrix(
     return sums.select(sums.columns[0], F.inline(F.array(*cells)))
 
 
-def yearly_moments(
-    rows: DataFrame, features: Sequence[str] = FEATURES, label: str = LABEL, date: str = "date"
-) -> DataFrame:
-    """Count, means and population covariances of (features, label) per year."""
-    terms = [*features, label]
-    pairs = list(combinations_with_replacement(terms, 2))
-    out = rows.groupBy(F.year(date).alias("year")).agg(
-        F.count("*").alias("n"),
-        *[F.avg(t).alias(f"m_{t}") for t in terms],
-        *[F.covar_pop(a, b).alias(f"c_{a}_{b}") for a, b in pairs],
-    )
-    return out.select(
-        "year",
-        "n",
-        F.array(*[f"m_{t}" for t in terms]).alias("mean"),
-        F.array(*[f"c_{a}_{b}" for a, b in pairs]).alias("cov"),
-    )
-
+def _reduced(blocks: list[np.ndarray]) -> np.ndarray:
+    """The square triangular factor of all rows of ``blocks``."""
+    factor = np.linalg.qr(np.vstack(blocks), mode="r")
+    size = factor.shape[1]
+    return factor if len(factor) == size else np.vstack([factor, np.zeros((size - len(factor), size))])
 
-def _pool(part: pd.DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
-    """Count, means and covariances of several years taken together."""
-    n = part["n"].to_numpy(dtype=float)
-    means = np.stack(part["mean"].to_list())
-    size = means.shape[1]
-    covs = np.zeros((len(part), size, size))
-    covs[:, *np.triu_indices(size)] = np.stack(part["cov"].to_list())
-    covs += np.triu(covs, 1).transpose(0, 2, 1)
-    mean = n @ means / n.sum()
-    away = means - mean
-    within = np.tensordot(n, covs, 1)
-    between = (away * n[:, None]).T @ away
-    return int(n.sum()), mean, (within + between) / n.sum()
 
+def factors(rows: DataFrame, by: Sequence[str], features: Sequence[str] = FEATURES, label: str = LABEL) -> DataFrame:
+    """Count and triangular factor of the rows (1, features, label) for each value of ``by``, which are integers.
 
-def _solve(mean: np.ndarray, cov: np.ndarray) -> tuple[float, np.ndarray]:
-    """Intercept and slopes of the last variable on the others."""
-    slopes = np.linalg.lstsq(cov[:-1, :-1], cov[:-1, -1], rcond=None)[0]
-    return float(mean[-1] - slopes @ mean[:-1]), slopes
+    A task holds one factor for each group it meets and sends those, so rows are never
+    shuffled. Factors of a group are merged ``BRANCHES`` parts at a time, then once more.
+    """
+    size, number = len(features) + 2, len(by)
+
+    def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.column_stack([np.asarray(c) for c in batch.columns[:number]])
+            table = np.column_stack([np.ones(batch.num_rows), *(np.asarray(c) for c in batch.columns[number:])])
+            groups, codes = np.unique(keys, axis=0, return_inverse=True)
+            for code, group in enumerate(groups.tolist()):
+                block = table[codes.ravel() == code]
+                n, factor = held.get(tuple(group), (0, np.empty((0, size))))
+                held[tuple(group)] = [n + len(block), _reduced([factor, block])]
+        part = TaskContext.get().partitionId() % BRANCHES
+        columns = [pa.array([g[k] for g in held], pa.int32()) for k in range(number)]
+        columns += [pa.array([part] * len(held), pa.int32()), pa.array([n for n, _ in held.values()], pa.int64())]
+        columns.append(pa.array([f.ravel().tolist() for _, f in held.values()], pa.list_(pa.float64())))
+        yield pa.RecordBatch.from_arrays(columns, [*by, "part", "n", "factor"])
+
+    def merged(part: pd.DataFrame) -> pd.DataFrame:
+        n, factor = _pool(part)
+        return part.head(1).assign(n=n, factor=[factor.ravel().tolist()])
+
+    keys = ", ".join(f"{c} int" for c in by)
+    schema = f"{keys}, part int, n bigint, factor array<double>"
+    narrow = rows.select(*[F.col(c).cast("int") for c in by], *[F.col(c).cast("double") for c in (*features, label)])
+    parts = narrow.mapInArrow(reduced, schema).groupBy(*by, "part").applyInPandas(merged, schema)
+    return parts.groupBy(*by).applyInPandas(merged, schema).drop("part")
+
+
+def yearly_factors(rows: DataFrame, features: Sequence[str] = FEATURES, label: str = LABEL, date: str = "date") -> DataFrame:
+    """``factors`` per calendar year."""
+    return factors(rows.withColumn("year", F.year(date)), ["year"], features, label)
+
+
+def _pool(part: pd.DataFrame) -> tuple[int, np.ndarray]:
+    """Count and factor of several factors' rows taken together."""
+    blocks = [np.reshape(f, (round(len(f) ** 0.5), -1)) for f in part["factor"]]
+    return int(part["n"].sum()), _reduced(blocks)
+
+
+def _solve(factor: np.ndarray) -> tuple[float, np.ndarray]:
+    """Intercept and slopes of the last variable on the others.
+
+    Below its first row, a factor that begins with the constant is that of the centred
+    rows. Slopes of equal variables are shared; one without spread gets none.
+    """
+    sizes = np.linalg.norm(factor[1:, 1:-1], axis=0)
+    used = sizes > 1e-13 * np.abs(factor[0, 1:-1]) + 1e-300
+    slopes = np.zeros(len(sizes))
+    if used.any():
+        slopes[used] = np.linalg.lstsq(factor[1:, 1:-1][:, used] / sizes[used], factor[1:, -1], rcond=None)[0] / sizes[used]
+    return float((factor[0, -1] - factor[0, 1:-1] @ slopes) / factor[0, 0]), slopes
 
 
-def _errors(intercept: float, slopes: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> tuple[float, float]:
-    """Mean squared error and R² of a fit on data known by its moments."""
-    weights = np.append(-slopes, 1.0)
-    bias = weights @ mean - intercept
-    mse = float(weights @ cov @ weights + bias * bias)
-    return mse, 1.0 - mse / cov[-1, -1] if cov[-1, -1] > 0 else float("nan")
+def _errors(intercept: float, slopes: np.ndarray, n: int, factor: np.ndarray) -> tuple[float, float]:
+    """Mean squared error and R² of a fit on rows known by their factor."""
+    squares = float(np.sum((factor @ np.concatenate([[-intercept], -slopes, [1.0]])) ** 2))
+    spread = float(np.sum(factor[1:, -1] ** 2))
+    return squares / n, 1.0 - squares / spread if spread > 0 else float("nan")
 
 
 def _fit_record(start: int, train: pd.DataFrame, test: pd.DataFrame) -> dict:
-    n_train, mean, cov = _pool(train)
-    intercept, slopes = _solve(mean, cov)
-    n_test, test_mean, test_cov = _pool(test)
-    mse, r2 = _errors(intercept, slopes, test_mean, test_cov)
+    n_train, factor = _pool(train)
+    intercept, slopes = _solve(factor)
+    n_test, tested = _pool(test)
+    mse, r2 = _errors(intercept, slopes, n_test, tested)
     return {
         "train_start": start, "n_train": n_train, "n_test": n_test, "intercept": intercept,
         "coefficients": slopes.tolist(), "mse": mse, "r2": r2,
-        "test_mean": float(test_mean[-1]), "test_var": float(test_cov[-1, -1]),
+        "test_mean": float(tested[0, -1] / tested[0, 0]), "test_var": float(np.sum(tested[1:, -1] ** 2)) / n_test,
     }
 
 
@@ -130,10 +168,58 @@ def walk_forward(
             return pd.DataFrame()
         return pd.DataFrame([_fit_record(int(part["train_start"].iloc[0]), train, test)])
 
-    fits = with_roles(yearly_moments(rows, features, label), scheme).groupBy("train_start").applyInPandas(fit, _FIT)
+    fits = with_roles(yearly_factors(rows, features, label), scheme).groupBy("train_start").applyInPandas(fit, _FIT)
+    return fits.withColumns(window_bounds(scheme))
+
+
+def winsor_bounds(
+    rows: DataFrame, scheme: Scheme = ROLLING_FOUR, columns: Sequence[str] = (*FEATURES, LABEL), tail: float = TAIL
+) -> DataFrame:
+    """train_start, metric, low and high: the exact quantiles ``tail`` and 1 - ``tail`` of each window's training rows."""
+    yearly = with_roles(rows.withColumn("year", F.year("date")), scheme).where("role = 'train'")
+    long = yearly.select("train_start", F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in columns])))
+    found = exact_quantiles(long, ("train_start", "metric"), "value", (tail, 1 - tail))
+    low, high = (F.max(F.when(F.col("probability") == p, F.col("value"))).alias(name) for p, name in ((tail, "low"), (1 - tail, "high")))
+    return found.groupBy("train_start", "metric").agg(low, high)
+
+
+def winsorised_rows(
+    rows: DataFrame, scheme: Scheme = ROLLING_FOUR, features: Sequence[str] = FEATURES, label: str = LABEL, tail: float = TAIL
+) -> DataFrame:
+    """The training and test rows of every window that may be fitted, clipped at its bounds, which test rows have no say in.
+
+    Test targets stay as they are, so that errors are those of the real values.
+    """
+    columns = (*features, label)
+    bounds = winsor_bounds(rows, scheme, columns, tail)
+    ends = [F.max(F.when(F.col("metric") == c, F.col(end))).alias(f"{end}_{c}") for c in columns for end in ("low", "high")]
+    usable = window_row_guards(rows, scheme).where("usable").select("train_start")
+    # A row for each window, so bounded by the calendar.
+    wide = bounds.groupBy("train_start").agg(*ends).join(usable, "train_start")
+    every = with_roles(rows.withColumn("year", F.year("date")), scheme).join(F.broadcast(wide), "train_start")
+    clipped = {c: F.least(F.greatest(F.col(c), F.col(f"low_{c}")), F.col(f"high_{c}")) for c in columns}
+    clipped[label] = F.when(F.col("role") == "train", clipped[label]).otherwise(F.col(label))
+    return every.select("train_start", "role", *[clipped[c].alias(c) for c in columns])
+
+
+def winsorised_walk_forward(
+    rows: DataFrame, scheme: Scheme = ROLLING_FOUR, features: Sequence[str] = FEATURES, label: str = LABEL, tail: float = TAIL
+) -> DataFrame:
+    """``walk_forward`` on rows clipped at the outer quantiles of each window's training rows."""
+
+    def fit(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([_fit_record(int(part["train_start"].iloc[0]), part[part["testing"] == 0], part[part["testing"] == 1])])
+
+    every = winsorised_rows(rows, scheme, features, label, tail).withColumn("testing", (F.col("role") == "test").cast("int"))
+    fits = factors(every, ("train_start", "testing"), features, label).groupBy("train_start").applyInPandas(fit, _FIT)
     return fits.withColumns(window_bounds(scheme))
 
 
+def log_rows(rows: DataFrame, columns: Sequence[str] = (*FEATURES, LABEL), least: float = LEAST_VOLATILITY) -> DataFrame:
+    """Logarithms of volatilities, those below ``least`` as if they were that."""
+    return rows.withColumns({c: F.log(F.greatest(F.col(c), F.lit(least))) for c in columns})
+
+
 def pooled_refit(
     rows: DataFrame,
     scheme: Scheme = ROLLING_FOUR,
@@ -161,7 +247,7 @@ def pooled_refit(
 
     # One group with a row per calendar year.
     return (
-        yearly_moments(rows, features, label)
+        yearly_factors(rows, features, label)
         .groupBy()
         .applyInPandas(fit, "first_year int, n long, mse double, r2 double")
     )

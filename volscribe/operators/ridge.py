@@ -209,6 +209,7 @@ def ridge_walk_forward(
     penalties: Sequence[float] = PENALTIES,
     min_train_rows: int = MIN_TRAIN_ROWS,
     alpha: float = 0.0,
+    all_train_years: bool = False,
 ) -> DataFrame:
     """Per window: cross-validation error of every penalty, the best one, test error.
 
@@ -216,8 +217,8 @@ def ridge_walk_forward(
 
     Windows start at ``start_year`` and later, and those that would reach
     ``end_year`` are left out; without these bounds every window with rows is there.
-    A window is fitted if it has ``min_train_rows``, rows in each of its training
-    years, and test rows. Others have their counts and ``usable`` false, and null
+    A window is fitted if it has ``min_train_rows`` and test rows and, with
+    ``all_train_years``, rows in each of its training years. Others have their counts and ``usable`` false, and null
     otherwise. Each group holds the matrices of one window.
     """
     grid = [float(p) for p in penalties]
@@ -231,8 +232,8 @@ def ridge_walk_forward(
             "n_train": int(round(sum(m[-1, -1] for m in folds.values()))),
             "n_test": int(round(tested[-1, -1])) if len(test) else 0,
         }
-        whole = train["year"].nunique() == scheme.train_years
-        if not whole or not len(test) or counts["n_train"] < min_train_rows:
+        whole = not all_train_years or train["year"].nunique() == scheme.train_years
+        if not whole or not len(train) or not len(test) or counts["n_train"] < min_train_rows:
             return pd.DataFrame([{**dict.fromkeys(names), **counts, "usable": False}])
         total = sum(folds.values())
         held_out = [[_score(held, *fit)[0] for fit in _path(total - held, grid, alpha)] for held in folds.values()]
@@ -266,6 +267,19 @@ def ridge_walk_forward(
     return fits.withColumns(window_bounds(scheme))
 
 
+def scored_rows(rows: DataFrame, fits: DataFrame) -> DataFrame:
+    """The test rows of every fitted window with its prediction, a dot product in built-in functions.
+
+    Rows in no test year are left out; where test years overlap a row comes once for
+    each window. ``fits`` has a row for each window, so its broadcast is bounded by the calendar.
+    """
+    models = fits.filter("usable").select("train_start", "intercept", "coefficients", F.explode(F.sequence("test_start", "test_end")).alias("year"))
+    joined = rows.withColumn("year", F.year("date")).join(F.broadcast(models), "year")
+    products = F.zip_with("x", "coefficients", lambda x, c: x * c)
+    value = F.aggregate(products, F.col("intercept"), lambda total, p: total + p)
+    return joined.select("train_start", "PERMNO", "date", "id", "y", value.alias("prediction"))
+
+
 def cv_scores(fits: DataFrame) -> DataFrame:
     """Cross-validation error per window and penalty."""
     zipped = F.arrays_zip("penalties", "cv_mse")
@@ -273,9 +287,10 @@ def cv_scores(fits: DataFrame) -> DataFrame:
 
 
 def mean_metrics(fits: DataFrame) -> DataFrame:
-    """Number of fitted windows and the mean of their test errors."""
+    """Number of fitted windows, the mean of their test errors, and that weighted by test rows."""
     fitted = fits.filter("usable")
-    return fitted.agg(F.count("*").alias("windows"), F.avg("mse").alias("mse"), F.avg("r2").alias("r2"))
+    by_row = F.try_divide(F.sum(F.col("mse") * F.col("n_test")), F.sum("n_test"))
+    return fitted.agg(F.count("*").alias("windows"), F.avg("mse").alias("mse"), F.avg("r2").alias("r2"), by_row.alias("mse_by_row"))
 
 
 def best_lambda(fits: DataFrame) -> DataFrame:

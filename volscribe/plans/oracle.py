@@ -205,6 +205,19 @@ TABLES["pooled_rows"] = """
     SELECT 0 AS g, h.* FROM har_rows h WHERE h.yr >= (SELECT min(test_year) FROM har_windows)"""
 TABLES.update(least_squares("pooled_rows", "pooled_rows", "pooled_pred"))
 
+_X = ("x1", "x2", "x3", "x4")
+_CLIPPED = ", ".join(f"least(greatest({x}, l_{x}), h_{x}) AS {x}" for x in _X)
+_LOGS = ", ".join(f"ln(greatest({x}, 1e-6)) AS {x}" for x in (*_X, "y"))
+TABLES["win_bounds"] = "SELECT g, " + ", ".join(
+    f"quantile_disc({x}, 0.01) AS l_{x}, quantile_disc({x}, 0.99) AS h_{x}" for x in (*_X, "y")
+) + " FROM fit_rows GROUP BY g"
+TABLES["win_fit"] = f"SELECT g, PERMNO, date, {_CLIPPED}, least(greatest(y, l_y), h_y) AS y FROM fit_rows JOIN win_bounds USING (g)"
+TABLES["win_score"] = f"SELECT g, PERMNO, date, {_CLIPPED}, y FROM score_rows JOIN win_bounds USING (g)"
+TABLES.update(least_squares("win_fit", "win_score", "win_pred"))
+TABLES["log_fit"] = f"SELECT g, PERMNO, date, {_LOGS} FROM fit_rows"
+TABLES["log_score"] = f"SELECT g, PERMNO, date, {_LOGS} FROM score_rows"
+TABLES.update(least_squares("log_fit", "log_score", "log_pred"))
+
 
 def with_tables(body: str) -> str:
     """``body`` preceded by exactly the tables it needs, in order."""

@@ -179,6 +179,18 @@ def sink_model(i: Inputs) -> DataFrame:
     return scored.select("n", rounded("mse", 8).alias("mse"), rounded("r2").alias("r2"))
 
 
+@query("sink_model_table")
+def sink_model_table(i: Inputs) -> DataFrame:
+    """The models of all windows, saved, read back, and each scored on the rows of its test year."""
+    rows = written(_design(i), "design")
+    path = work_folder(i.spark, "models")
+    fits = ridge.ridge_walk_forward(rows)
+    sinks.write_models(fits, path)
+    scored = ridge.scored_rows(rows, i.spark.read.schema(fits.schema).parquet(path))
+    out = aggregates.regression_metrics(scored, "y", by=("train_start",))
+    return out.select("train_start", "n", rounded("mse", 8).alias("mse"), rounded("r2").alias("r2"))
+
+
 # ------------------------------------------------------------- filters, projections
 
 
@@ -295,11 +307,13 @@ def join_validity_interval(i: Inputs) -> DataFrame:
     return mentions.join_validity_interval(_named(i), i.securities()).select("id", "token", "ticker")
 
 
-@query(
-    "join_embed_left",
+EMBED_LEFT = (
     f"SELECT m.id, m.ticker, coalesce(len(e.embed), 0) AS dimensions, "
-    f"coalesce({R('CAST(e.embed[1] AS DOUBLE)', 5)}, 0.0) AS first_value FROM mention_keys m LEFT JOIN emb e ON e.id = m.id",
+    f"coalesce({R('CAST(e.embed[1] AS DOUBLE)', 5)}, 0.0) AS first_value FROM mention_keys m LEFT JOIN emb e ON e.id = m.id"
 )
+
+
+@query("join_embed_left", EMBED_LEFT)
 def join_embed_left(i: Inputs) -> DataFrame:
     joined = link.attach_embeddings(_mention_keys(i), i.embeddings(), on=("id",))
     return joined.select(
@@ -308,6 +322,21 @@ def join_embed_left(i: Inputs) -> DataFrame:
     )
 
 
+def _colocated(i: Inputs, df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    path = work_folder(i.spark, "colocated")
+    return sinks.write_colocated(df, path.rsplit("/", 1)[1].replace("-", "_"), path, keys)
+
+
+@query("join_embed_colocated", EMBED_LEFT)
+def join_embed_colocated(i: Inputs) -> DataFrame:
+    texts, vectors = _colocated(i, _mention_keys(i), ("id",)), _colocated(i, i.embeddings(), ("id",))
+    joined = link.join_colocated(texts, vectors, ("id",), "left")
+    return joined.select(
+        "id", "ticker", F.when(F.col("embed").isNull(), 0).otherwise(F.size("embed")).cast("bigint").alias("dimensions"),
+        F.coalesce(rounded(F.get("embed", F.lit(0)).cast("double"), 5), F.lit(0.0)).alias("first_value"),
+    )
+
+
 @query(
     "join_date_ticker_broadcast",
     f"SELECT k.id, k.ticker, {DAY(sql.day_of('k.created_utc'))} AS created_date, coalesce(t.PERMNO, -1) AS PERMNO "
@@ -326,6 +355,15 @@ def join_panel_inner(i: Inputs) -> DataFrame:
     return _linked_out(_linked(i))
 
 
+@query("join_panel_colocated", f"SELECT {LINKED_OUT} FROM linked")
+def join_panel_colocated(i: Inputs) -> DataFrame:
+    keys = ("PERMNO", "day")
+    texts = link.prefix_columns(_mapped(i), "r").withColumnsRenamed({"r_PERMNO": "PERMNO", "r_created_date": "day"})
+    days = link.prefix_columns(i.panel("symbol"), "c").withColumnsRenamed({"c_PERMNO": "PERMNO"}).withColumn("day", F.col("c_date"))
+    joined = link.join_colocated(_colocated(i, texts, keys), _colocated(i, days, keys), keys)
+    return _linked_out(joined)
+
+
 @query(
     "join_panel_full_outer",
     f"SELECT m.id AS r_id, m.ticker AS r_ticker, coalesce(m.PERMNO, p.PERMNO) AS PERMNO, {DAY('p.date')} AS c_date, "
@@ -806,6 +844,41 @@ def har_walk_forward(i: Inputs) -> DataFrame:
     return fits.select("train_start", "train_end", "test_start", "test_end", "n_train", "n_test", rounded("mse", 8).alias("mse"), rounded("r2").alias("r2"))
 
 
+def _walk_sql(predictions: str) -> str:
+    scores = WINDOW_METRICS.replace("har_pred", predictions)
+    return (
+        "SELECT CAST(g - 4 AS INTEGER) AS train_start, CAST(g AS INTEGER) AS test_start, (SELECT count(*) FROM fit_rows f WHERE f.g = m.g) AS n_train, "
+        f"n AS n_test, {R('mse', 8)} AS mse, {R('r2')} AS r2 FROM ({scores}) m"
+    )
+
+
+def _walk_out(fits: DataFrame) -> DataFrame:
+    return fits.select("train_start", "test_start", "n_train", "n_test", rounded("mse", 8).alias("mse"), rounded("r2").alias("r2"))
+
+
+@query(
+    "winsor_bounds",
+    " UNION ALL ".join(
+        f"SELECT CAST(g - 4 AS INTEGER) AS train_start, '{name}' AS metric, {R(f'quantile_disc({x}, 0.01)')} AS low, {R(f'quantile_disc({x}, 0.99)')} AS high FROM fit_rows GROUP BY g"
+        for name, x in zip((*ols.FEATURES, ols.LABEL), ("x1", "x2", "x3", "x4", "y"), strict=True)
+    ),
+)
+def winsor_bounds(i: Inputs) -> DataFrame:
+    rows = written(_har_rows(i), "har")
+    usable = windows.window_row_guards(rows, windows.ROLLING_FOUR).where("usable")
+    return ols.winsor_bounds(rows).join(usable, "train_start", "left_semi").select("train_start", "metric", rounded("low").alias("low"), rounded("high").alias("high"))
+
+
+@query("har_walk_forward_winsorised", _walk_sql("win_pred"))
+def har_walk_forward_winsorised(i: Inputs) -> DataFrame:
+    return _walk_out(ols.winsorised_walk_forward(written(_har_rows(i), "har")))
+
+
+@query("har_walk_forward_log", _walk_sql("log_pred"))
+def har_walk_forward_log(i: Inputs) -> DataFrame:
+    return _walk_out(ols.walk_forward(ols.log_rows(_har_rows(i))))
+
+
 @query(
     "har_pooled_refit",
     f"SELECT (SELECT CAST(min(test_year) AS INTEGER) FROM har_windows) AS first_year, {METRICS} FROM pooled_pred",
@@ -844,7 +917,7 @@ def ridge_walk_forward(i: Inputs) -> DataFrame:
 @query("mean_window_metrics_ridge")
 def mean_window_metrics_ridge(i: Inputs) -> DataFrame:
     out = ridge.mean_metrics(_ridge(i))
-    return out.select("windows", rounded("mse", 8).alias("mse"), rounded("r2").alias("r2"))
+    return out.select("windows", rounded("mse", 8).alias("mse"), rounded("r2").alias("r2"), rounded("mse_by_row", 8).alias("mse_by_row"))
 
 
 @query("ridge_walk_forward_security_day")

@@ -76,5 +76,21 @@ def write_zstd(df: DataFrame, path: str, key: str = "ticker") -> None:
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
+def write_colocated(df: DataFrame, name: str, path: str, keys: Sequence[str], buckets: int = BUCKETS) -> DataFrame:
+    """A table at ``path``, bucketed and sorted by ``keys``, one file for each bucket.
+
+    Two such tables with equal keys and buckets join without an exchange, as often as
+    they are used. A bucket is one task's, so this is for keys that are spread evenly.
+    """
+    dealt = df.repartition(buckets, *keys).write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys)
+    dealt.option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def write_models(fits: DataFrame, path: str) -> None:
+    """The fits of all windows as a table with a folder for each window; a rerun replaces those it has."""
+    write_layout(fits, path, key="train_start", dynamic=True)
+
+
 def save_model(model: MLWritable, path: str) -> None:
     model.write().overwrite().save(path)
