@@ -22,15 +22,16 @@ from pyspark.sql import DataFrame, functions as F
 from volscribe.functions.dates import year_range
 from volscribe.functions.numeric import md5_head
 from volscribe.operators.windows import MIN_TRAIN_ROWS, THREE_AND_GAP, Scheme, window_bounds, with_roles
+from volscribe.session import written
 
 # Penalty grid, folds and concurrent fits.
 PENALTIES = (1e-4, 1e-3, 1e-2, 1e-1, 1.0)
 FOLDS = 3
 PARALLELISM = 8
 
-# Parts that the rows of a year and fold are dealt into. A part adds up its rows and
-# sends one matrix, about 5 MB with 768 dimensions.
-SALTS = 64
+# Rows of a year and fold that one part adds up, about. A part sends one matrix, 2.4 MB
+# with 768 dimensions, which is then less than its rows.
+PART_ROWS = 20_000
 
 # Coordinate descent ends when no slope of a standardized feature moves by more, or after so many cycles.
 SETTLED, MAX_CYCLES = 1e-11, 10_000
@@ -75,13 +76,20 @@ def design_rows(
     )
 
 
-def cross_products(rows: DataFrame, salts: int = SALTS) -> DataFrame:
+def parts_for(rows: DataFrame, part_rows: int = PART_ROWS) -> int:
+    """Into how many parts to deal the rows of a year and fold, so that the largest ones have about ``part_rows`` each."""
+    most = rows.groupBy(F.year("date"), "fold").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    return max(1, -(-(most or 0) // part_rows))
+
+
+def cross_products(rows: DataFrame, salts: int | None = None) -> DataFrame:
     """Upper triangle of Z'Z per (year, fold), with Z = (x, y, 1), one row per matrix row.
 
     Rows are dealt out by year, fold and one of ``salts`` parts, so that a task holds
-    one or a few matrices and sends those, however many rows it saw. What is sent
-    grows with the number of years, folds and salts, not with the rows.
+    one or a few matrices and sends those, however many rows it saw. Without ``salts``
+    the rows are counted first, which reads nothing but dates and folds of stored rows.
     """
+    salts = salts or parts_for(rows)
 
     def partial_sums(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -257,7 +265,8 @@ def ridge_walk_forward(
         "best_lambda double, intercept double, coefficients array<double>, mse double, r2 double"
     )
     names = [c.split()[0] for c in schema.split(", ")]
-    roles = with_roles(cross_products(rows), scheme)
+    # Stored, as vectors are dear to make and the rows are counted before they are added up.
+    roles = with_roles(cross_products(written(rows, "design")), scheme)
     if start_year is not None:
         roles = roles.filter(F.col("train_start") >= start_year)
     if end_year is not None:

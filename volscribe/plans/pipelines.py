@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from volscribe.functions.text import clean, has_real_text
 from volscribe.operators.accounting import Accounts
 from volscribe.operators.cleaning import filter_placeholder_text
-from volscribe.operators.embed import batch_embed
+from volscribe.operators.embed import DIMENSIONS, batch_embed
 from volscribe.operators.link import attach_security, keep_ids, link_panel, with_created_date
 from volscribe.operators.mentions import mine_mentions
 from volscribe.operators.ridge import LABEL, LAGS, design_rows, ridge_walk_forward
@@ -82,14 +82,14 @@ def text_to_forecast(
     securities: DataFrame,
     ticker_map: DataFrame,
     panel: DataFrame,
-    dimensions: int = 32,
+    dimensions: int = DIMENSIONS,
     fraction: float = 1.0,
 ) -> DataFrame:
     """Raw texts and returns to ridge forecasts, vectors made by the hashed encoder.
 
     Texts are read once. Short token arrays, not texts or vectors, go through the
-    joins, and only mentions that reach the panel are embedded. The vectors are
-    stored before fitting: they are the costly part to lose with an executor.
+    joins, and only mentions that reach the panel are embedded. The fit stores what it
+    is given, for vectors are the costly part to lose with an executor.
     ``fraction`` is the share of linked rows to fit and test on.
     """
     mentions = clean_mentions(texts, securities)
@@ -100,4 +100,4 @@ def text_to_forecast(
     )
     keep = ("r_id", "r_ticker", "PERMNO", "c_date", *LAGS, LABEL)
     vectors = batch_embed(linked, dimensions=dimensions, keep=keep).withColumnRenamed("embed", "r_embed")
-    return ridge_walk_forward(design_rows(written(vectors, "vectors")))
+    return ridge_walk_forward(design_rows(vectors))

@@ -545,7 +545,7 @@ def gram_matrix(i: Inputs) -> DataFrame:
     "GROUP BY year, fold, i, j",
 )
 def gram_matrix_vectors(i: Inputs) -> DataFrame:
-    out = ridge.cross_products(_design(i)).select("year", "fold", "i", F.posexplode("values").alias("k", "v"))
+    out = ridge.cross_products(written(_design(i), "design")).select("year", "fold", "i", F.posexplode("values").alias("k", "v"))
     return out.select("year", "fold", "i", (F.col("i") + F.col("k")).alias("j"), rounded("v", 4).alias("total"))
 
 
@@ -770,7 +770,7 @@ HASHED_IDS = (
     "list_transform(list_filter(string_split(clean_text, ' '), lambda w: w <> '')[1:32], "
     "lambda w: CAST('0x' || substr(md5(w || '|'), 1, 8) AS BIGINT) % 30000 + 1)"
 )
-DIMENSIONS = 16
+DIMENSIONS = embed.DIMENSIONS
 
 
 @query(
