@@ -85,8 +85,8 @@ def carried(rows: DataFrame, key: str, order: Sequence[str], sums: Sequence[str]
     held: dict[int, tuple] = {}
     going, values = None, [0] * len(sums) + [None] * len(latest)
     ends = ranged.where("closing").select("range", key, *(f"sum_{c}" for c in sums), *(F.coalesce(c, f"last_{c}") for c in latest))
-    firsts = dict(map(tuple, ranged.groupBy("range").agg(F.min(key)).collect()))
-    for number, last, *own in sorted(map(tuple, ends.collect())):
+    firsts = dict(map(tuple, ranged.groupBy("range").agg(F.min(key)).toLocalIterator()))
+    for number, last, *own in sorted(map(tuple, ends.toLocalIterator())):
         if going is not None and firsts[number] == going:
             held[number] = (going, values)
             if last == going:

@@ -212,7 +212,7 @@ def fit_least(docs: DataFrame, judge: Judge) -> dict[int, float]:
     found = drawn.select("text").mapInArrow(scored, "size int, score double").where("score > 0").groupBy("size")
     rows = found.agg(F.count("*").alias("n"), F.percentile("score", F.lit(FIT_SHARE)).alias("low")).where(F.col("n") >= FIT_LEAST)
     # One row for each power of two.
-    known, least, asked = {r["size"]: max(LEAST_SCORE, FIT_PART * r.low) for r in rows.collect()}, {}, LEAST_SCORE
+    known, least, asked = {r["size"]: max(LEAST_SCORE, FIT_PART * r.low) for r in rows.toLocalIterator()}, {}, LEAST_SCORE
     for size in range(64):
         least[size] = asked = known.get(size, asked)
     return least
