@@ -39,7 +39,7 @@ def exact_quantiles(rows: DataFrame, by: Sequence[str], column: str, probabiliti
     """
     value = F.col(column).cast("double")
     rows = written(rows.select(*by, value.alias("value")).where("value IS NOT NULL AND NOT isnan(value)"), "values")
-    groups = [(k, *r) for k, r in enumerate(sorted(map(tuple, rows.groupBy(*by).agg(F.count("*").alias("n")).collect()), key=repr))]
+    groups = [(k, *r) for k, r in enumerate(sorted(map(tuple, rows.groupBy(*by).agg(F.count("*").alias("n")).toLocalIterator()), key=repr))]
     spark = rows.sparkSession
     schema = rows.select(*by).schema
     kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in schema.fields)
@@ -61,7 +61,7 @@ def exact_quantiles(rows: DataFrame, by: Sequence[str], column: str, probabiliti
         summed = digits.withColumn("upto", F.sum("n").over(upto))
         found = summed.join(F.broadcast(ranks), "histogram").where("upto >= rank AND upto - n < rank")
         # A row for each target.
-        for r in found.select("target", "digit", (F.col("upto") - F.col("n")).alias("below")).collect():
+        for r in found.select("target", "digit", (F.col("upto") - F.col("n")).alias("below")).toLocalIterator():
             targets[r.target][2] -= r.below
             targets[r.target][3] = (targets[r.target][3] << DIGIT_BITS) | r.digit
     out = [(*groups[k][1:-1], float(p), from_bits(known)) for k, p, _, known in targets]
