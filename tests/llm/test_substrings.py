@@ -180,6 +180,47 @@ def test_op9_runs_of_any_length(spark):
         assert lines_found(line_dedup.dedup_lines(docs, min_lines)) == brute_lines(rows, min_lines)
 
 
+def brute_runs(texts):
+    """Each maximal run of lines that also starts earlier, with the first place it starts at, by comparing all places."""
+    docs = [(d, [" ".join(x.split()) for x in text.split("\n") if x.split()]) for d, text in texts]
+    places = [(d, lines, k) for d, lines in docs for k in range(len(lines))]
+    out = {d: [] for d, _ in docs}
+    for at, (d, lines, k) in enumerate(places):
+        common = []
+        for e, other, j in places[:at]:
+            n = 0
+            while k + n < len(lines) and j + n < len(other) and lines[k + n] == other[j + n]:
+                n += 1
+            common.append((n, e, j))
+        longest = max((n for n, _, _ in common), default=0)
+        before = out[d][-1] if out[d] else (0, 0, None, None)
+        if longest and k + longest > before[0] + before[1]:
+            out[d].append((k, longest, *next((e, j) for n, e, j in common if n == longest)))
+    return out
+
+
+def runs_found(df):
+    return {r.doc_id: [tuple(x) for x in r.runs] for r in df.collect()}
+
+
+def test_op9_maximal_runs_and_where_they_come_from(spark):
+    rows = [(1, "a\nx"), (2, "b\ny"), (3, "a\nb")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert runs_found(line_dedup.dedup_lines(docs, 1)) == {1: [], 2: [], 3: [(0, 1, 1, 0), (1, 1, 2, 0)]}
+    rng = np.random.default_rng(7)
+    for letters, longest in (("ab", 12), ("abcdefgh", 24)):
+        rows = [(k, "\n".join(rng.choice(list(letters), int(rng.integers(0, longest))))) for k in range(30)]
+        rows += [(100, rows[3][1]), (101, rows[4][1] + "\n" + rows[5][1]), (102, "\n".join(["z"] * 21))]
+        docs = spark.createDataFrame([*rows, rows[3]], "doc_id long, text string")
+        assert runs_found(line_dedup.dedup_lines(docs, 1)) == brute_runs(rows)
+
+
+def test_op9_rows_without_id_come_first(spark):
+    rows = [(None, "p\nq\nr"), (1, "p\nq\ns"), (2, "s\np\nq\nr")]
+    got = runs_found(line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), 1))
+    assert got == {None: [], 1: [(0, 2, None, 0)], 2: [(0, 1, 1, 2), (1, 3, None, 0)]}
+
+
 def test_op9_odd(odd, nothing):
     got = line_dedup.dedup_lines(odd).collect()
     assert len(got) == 15

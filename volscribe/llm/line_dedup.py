@@ -2,15 +2,21 @@
 
 A document is the sequence of its lines' ids. Ranks order its suffixes by their first
 lines: by one at first, then by twice as many each turn, from the ranks of a suffix and
-of the one so many lines further on. Suffixes with equal ranks are an interval of common
-prefixes of that many lines; all but its first place are later copies of a run of lines.
-The copies found at all lengths make up the maximal repeated runs, which are deleted.
+of the one so many lines further on. A suffix that shares its rank with no other leaves.
+
+Suffixes with a common prefix are an interval of the suffix array, and intervals form a
+tree. It is unfolded from the ranks of all turns, the longest first: members of an
+interval that agree on so many more lines are an interval inside it, which its first
+place represents in the outer one. Every member but the first then has its longest run
+of lines that also starts earlier, and where. Those that are not the end of a longer one
+are the maximal repeated runs; later copies are deleted.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
@@ -21,6 +27,7 @@ from volscribe.session import written
 # For callers who want single lines left alone, as these may repeat by chance or by custom. The registered query takes 1.
 MIN_LINES = 2
 KEY = ("doc_id", "version")
+PLACE = ("doc_id", "version", "place")
 
 
 def lines_of(text: str) -> list[tuple[int, int, str]]:
@@ -48,7 +55,7 @@ def line_rows(docs: DataFrame) -> DataFrame:
             if found:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
                 columns = [pa.array(c, kind) for c, kind in zip(zip(*found, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, [*KEY, "place", "left", "line"])
+                yield pa.RecordBatch.from_arrays(columns, [*PLACE, "left", "line"])
 
     return docs.mapInArrow(rows, "doc_id bigint, version bigint, place bigint, left bigint, line binary")
 
@@ -68,90 +75,137 @@ def with_earlier(rows: DataFrame, order: list[str]) -> DataFrame:
     return placed.withColumn("earlier", 1 + F.col("ranges") + F.col("inside")).drop("range", "ranges", "inside")
 
 
-def _ranked(suffixes: DataFrame, keys: list[str]) -> DataFrame:
-    """``suffixes`` with the rank that ``keys`` give them, how many have it (n), and the first place of those.
+def _shared(suffixes: DataFrame, keys: list[str]) -> DataFrame:
+    """The ``suffixes`` whose ``keys`` occur several times, with the rank these give them, and the first place that has them.
 
     Equal keys are counted before the shuffle; a rank with many suffixes then joins as a
     single row, which Spark splits.
     """
-    place = F.struct(*KEY, "place")
-    distinct = suffixes.groupBy(*keys).agg(F.count("*").alias("n"), F.min(place).alias("first"))
-    order = written(with_earlier(distinct, keys).withColumnRenamed("earlier", "rank_now"), "ranks")
-    return suffixes.join(order, keys)
+    counted = suffixes.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.struct(*PLACE)).alias("first")).where("n > 1")
+    order = written(with_earlier(counted, keys).select(*keys, F.col("earlier").alias("rank_now"), "first"), "ranks")
+    return suffixes.join(order, keys).select(*PLACE, "left", F.col("rank_now").alias("rank"), "first")
 
 
-def copies(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """doc_id, version, place, lines: runs of lines that also start at an earlier place.
+def repeated_suffixes(docs: DataFrame) -> list[DataFrame]:
+    """For k = 0, 1, ...: the suffixes whose first 2**k lines (or all, if fewer are left) also start elsewhere.
 
-    ``lines`` is a power of two, or ``min_lines`` where that lies between two of them.
-    The turns grow with the logarithm of the longest repeated run. Documents without a
-    suffix that shares its rank leave; nobody needs their ranks any more.
+    Each as doc_id, version, place, left, rank and first (the first place of that rank).
+    The turns grow with the logarithm of the longest repeated run, and the last one has
+    none that goes on. Rows that repeat a document come once, but for k = 0.
     """
-    found = []
     # Both the count of each line and the join with it read this.
-    ranked = _ranked(written(line_rows(docs), "lines"), ["line"]).drop("line")
-    length = 1
-    while True:
-        ranked = written(ranked, "suffixes")
-        if length >= min_lines:
-            later = F.struct(*KEY, "place") > F.col("first")
-            found.append(ranked.where((F.col("n") > 1) & (F.col("left") >= length) & later).select(*KEY, "place", F.lit(length).alias("lines")))
-        going = ranked.where((F.col("n") > 1) & (F.col("left") > length)).select(*[F.col(k).alias(f"of_{k}") for k in KEY]).distinct()
-        same = F.col("doc_id").eqNullSafe(F.col("of_doc_id")) & (F.col("version") == F.col("of_version"))
-        suffixes = ranked.join(going, same, "left_semi").select(*KEY, "place", "left", F.col("rank_now").alias("rank"))
-        if length >= min_lines and suffixes.isEmpty():
-            break
-        step = length if length >= min_lines or 2 * length <= min_lines else min_lines - length
+    level = written(_shared(written(line_rows(docs), "lines"), ["line"]), "suffixes")
+    levels, length = [level], 1
+    while not level.where(F.col("left") > length).isEmpty():
         # By place, not by row, since rows may repeat a document.
-        ahead = F.max("rank").over(W.partitionBy(*KEY).orderBy("place").rangeBetween(step, step))
-        suffixes = suffixes.withColumn("next", F.coalesce(ahead, F.lit(0)))
-        ranked = _ranked(written(suffixes, "pairs"), ["rank", "next"]).drop("rank", "next")
-        length += step
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+        ahead = F.max("rank").over(W.partitionBy(*KEY).orderBy("place").rangeBetween(length, length))
+        pairs = level.select(*PLACE, "left", "rank", ahead.alias("next"))
+        # Without a shared suffix behind it, one that goes on is unique from here on.
+        pairs = pairs.where((F.col("left") <= length) | F.col("next").isNotNull()).fillna(0, ["next"])
+        level = written(_shared(written(pairs.dropDuplicates(list(PLACE)), "pairs"), ["rank", "next"]), "suffixes")
+        levels.append(level)
+        length *= 2
+    return levels
+
+
+def _at(rows: DataFrame, other: DataFrame, place: str, how: str) -> DataFrame:
+    """``rows`` joined with the rows of ``other`` that name the same document and ``place``."""
+    other = other.select(*[F.col(c).alias(f"of_{c}") for c in PLACE], *[c for c in other.columns if c not in PLACE])
+    same = F.col("doc_id").eqNullSafe(F.col("of_doc_id")) & (F.col("version") == F.col("of_version")) & (F.col(place) == F.col("of_place"))
+    return rows.join(other, same, how).drop("of_doc_id", "of_version", "of_place")
+
+
+def copies(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+    """doc_id, version, place, lines, first: the longest run of lines from a place that also starts earlier, and where first.
+
+    Only runs of ``min_lines`` or more lines. A place with such a run may come twice.
+    An interval is named by its first place (``head``) and its number of lines (``m``);
+    the whole array has no lines. One turn for each table of repeated suffixes, and never
+    more rows in it than twice the repeated suffixes.
+    """
+    levels, found, items = repeated_suffixes(docs), [], None
+    whole = F.struct(F.lit(None).cast("bigint").alias("doc_id"), F.lit(0).cast("bigint").alias("version"), F.lit(-1).cast("bigint").alias("place"))
+    for k in reversed(range(len(levels))):
+        step, level = 1 << k, levels[k]
+        # Of suffixes that agree on twice as many lines, only the first is left in the whole array.
+        looked = level
+        if k + 1 < len(levels):
+            later = levels[k + 1].where(~F.struct(*PLACE).eqNullSafe(F.col("first"))).select(*PLACE)
+            looked = _at(level, later, "place", "left_anti")
+        looked = looked.select(*PLACE, "left", whole.alias("head"), F.lit(0).cast("bigint").alias("m"), "rank")
+        if items is not None:
+            ranks = level.groupBy(*PLACE).agg(F.max("rank").alias("rank"))
+            inner = _at(items.withColumn("ahead", F.col("place") + F.col("m")), ranks, "ahead", "left").drop("ahead")
+            looked = written(looked.unionByName(inner), "looked")
+        inside = looked.where("rank is not null")
+        groups = inside.groupBy("head", "m", "rank").agg(F.count("*").alias("n"), F.min(F.struct(*PLACE)).alias("top")).where("n > 1").drop("n")
+        grouped = inside.join(groups, ["head", "m", "rank"], "left").drop("rank")
+        alone = looked.where("rank is null").drop("rank").withColumn("top", F.lit(None).cast(grouped.schema["top"].dataType))
+        grouped = written(grouped.unionByName(alone), "intervals")
+        is_top, end = F.struct(*PLACE).eqNullSafe(F.col("top")), F.col("m") + step
+        # Equal to the end of their documents, so no longer run can follow.
+        ended = grouped.where(F.col("top").isNotNull() & ~is_top & (F.col("left") < end))
+        found.append(ended.select(*PLACE, F.col("left").alias("lines"), F.col("top").alias("first")))
+        stays = F.when((F.col("m") > 0) & (F.col("top").isNull() | is_top), F.struct("head", "m"))
+        enters = F.when(F.col("top").isNotNull() & (F.col("left") >= end), F.struct(F.col("top").alias("head"), end.alias("m")))
+        items = grouped.select(*PLACE, "left", F.explode(F.array_compact(F.array(stays, enters))).alias("item")).select(*PLACE, "left", "item.*")
+    last = items.where(~F.struct(*PLACE).eqNullSafe(F.col("head"))).select(*PLACE, F.col("m").alias("lines"), F.col("head").alias("first"))
+    # Where documents end alike, others may hold the same lines earlier and go on; then the first of the former starts there.
+    known = written(last, "last").select(F.col("first").alias("earliest"), F.col("lines").alias("of_lines"), *[F.col(c).alias(f"of_{c}") for c in PLACE])
+    same = F.col("first.doc_id").eqNullSafe(F.col("of_doc_id")) & (F.col("lines") == F.col("of_lines"))
+    for c in ("version", "place"):
+        same &= F.col(f"first.{c}") == F.col(f"of_{c}")
+    ended = reduce(DataFrame.unionByName, found).join(known, same, "left").select(*PLACE, "lines", F.coalesce("earliest", "first").alias("first"))
+    return ended.unionByName(known.select(*[F.col(f"of_{c}").alias(c) for c in (*PLACE, "lines")], F.col("earliest").alias("first"))).where(F.col("lines") >= min_lines)
 
 
 def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """doc_id, n_lines, n_removed, runs (first line, lines) and kept_text of every row of ``docs`` (doc_id, text).
+    """doc_id, n_lines, n_removed, runs and kept_text of every row of ``docs`` (doc_id, text).
 
-    Of the runs of ``min_lines`` or more lines that occur several times, the first by
-    doc_id and place stays, also where a run overlaps itself. Lines are compared with
+    ``runs`` holds each maximal run of ``min_lines`` or more lines that also starts
+    earlier: first_line, lines, and from_doc_id and from_line, where it starts first.
+    Runs may touch or overlap; every line in one is removed. Earlier is by doc_id and
+    place, also where a run overlaps itself. Lines are compared with
     their white space as single spaces; blank lines are no lines here, and stay. Null
     texts are empty. A null doc_id comes first. Texts that share a doc_id come in the
     order of a hash, and rows that repeat a document are one place: each keeps what the
-    other does. Other columns are not read.
+    other does. Whole texts are read, however long. An empty table gives no rows. Other
+    columns are not read.
     """
     docs = id_and_text(docs).withColumn("doc_id", F.col("doc_id").cast("bigint")).withColumn("version", F.xxhash64("text"))
-    marks = copies(docs, min_lines).groupBy(*KEY).agg(F.collect_set(F.struct("place", "lines")).alias("marks"))
-    run = pa.struct([("first_line", pa.int64()), ("lines", pa.int64())])
+    marks = copies(docs, min_lines).groupBy(*KEY).agg(F.collect_set(F.struct("place", "lines", "first.doc_id", F.col("first.place").alias("from"))).alias("marks"))
+    run = pa.struct([(c, pa.int64()) for c in ("first_line", "lines", "from_doc_id", "from_line")])
     kinds = {"doc_id": pa.int64(), "n_lines": pa.int64(), "n_removed": pa.int64(), "runs": pa.list_(run), "kept_text": pa.string()}
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             out = []
             for doc_id, text, marked in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "marks")), strict=True):
-                runs: list[list[int]] = []
-                for low, high in sorted((m["place"], m["place"] + m["lines"]) for m in marked or ()):
-                    if runs and low <= runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], high)
+                runs, cuts, end = [], [], 0
+                for m in sorted(marked or (), key=lambda m: m["place"]):
+                    low, high = m["place"], m["place"] + m["lines"]
+                    # The end of the run before it is no run of its own.
+                    if high <= end:
+                        continue
+                    runs.append({"first_line": low, "lines": m["lines"], "from_doc_id": m["doc_id"], "from_line": m["from"]})
+                    if cuts and low <= end:
+                        cuts[-1][1] = high
                     else:
-                        runs.append([low, high])
-                places = lines_of(text) if runs else None
+                        cuts.append([low, high])
+                    end = high
+                places = lines_of(text) if cuts else None
                 kept, at = [], 0
-                for low, high in runs:
+                for low, high in cuts:
                     kept.append(text[at : places[low][0]])
                     # With the line feed, if the text goes on.
                     at = min(len(text), places[high - 1][1] + 1)
                 kept.append(text[at:])
-                named = [{"first_line": a, "lines": b - a} for a, b in runs]
-                n = len(places) if runs else sum(not x.isspace() for x in text.split("\n") if x)
-                out.append((doc_id, n, sum(r["lines"] for r in named), named, "".join(kept)))
+                n = len(places) if cuts else sum(not x.isspace() for x in text.split("\n") if x)
+                out.append((doc_id, n, sum(b - a for a, b in cuts), runs, "".join(kept)))
             columns = zip(zip(*out, strict=True), kinds.values(), strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in columns], names=list(kinds))
 
     named = marks.select(*[F.col(k).alias(f"of_{k}") for k in KEY], "marks")
     both = docs.join(named, F.col("doc_id").eqNullSafe(F.col("of_doc_id")) & (F.col("version") == F.col("of_version")), "left")
-    schema = "doc_id bigint, n_lines bigint, n_removed bigint, runs array<struct<first_line: bigint, lines: bigint>>, kept_text string"
+    schema = "doc_id bigint, n_lines bigint, n_removed bigint, runs array<struct<first_line: bigint, lines: bigint, from_doc_id: bigint, from_line: bigint>>, kept_text string"
     return both.select("doc_id", "text", "marks").mapInArrow(rows, schema)
