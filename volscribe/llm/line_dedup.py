@@ -139,7 +139,8 @@ def copies(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
             looked = written(looked.unionByName(inner), "looked")
         inside = looked.where("rank is not null")
         groups = inside.groupBy("head", "m", "rank").agg(F.count("*").alias("n"), F.min(F.struct(*PLACE)).alias("top")).where("n > 1").drop("n")
-        grouped = inside.join(groups, ["head", "m", "rank"], "left").drop("rank")
+        # A row for each group, stored, so that Spark may split the other side where one group is hot.
+        grouped = inside.join(written(groups, "groups"), ["head", "m", "rank"], "left").drop("rank")
         alone = looked.where("rank is null").drop("rank").withColumn("top", F.lit(None).cast(grouped.schema["top"].dataType))
         grouped = written(grouped.unionByName(alone), "intervals")
         is_top, end = F.struct(*PLACE).eqNullSafe(F.col("top")), F.col("m") + step
