@@ -116,9 +116,8 @@ def common_prefixes(text: Segments, order: np.ndarray, depth: int) -> np.ndarray
     going = np.arange(1, len(order))
     for offset in range(0, depth, _IN_KEY):
         differ = text.key(order[going], offset) ^ text.key(order[going - 1], offset)
-        equal = np.full(len(going), _IN_KEY)
-        for k in range(_IN_KEY - 1, -1, -1):
-            equal[(differ >> (_BITS * (_IN_KEY - 1 - k))) & 511 != 0] = k
+        # The place of the highest bit; without the bit below it, no rounding moves it up.
+        equal = (_IN_KEY * _BITS - np.frexp((differ & ~(differ >> 1)).astype(np.float64))[1]) // _BITS
         out[going] += equal
         going = going[equal == _IN_KEY]
     out[1:] = np.minimum(out[1:], np.minimum(text.left[order[1:]], text.left[order[:-1]]))

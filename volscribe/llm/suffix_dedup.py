@@ -248,13 +248,20 @@ def repeated_strings(found: list[bytes], doc: np.ndarray, version: np.ndarray, s
     # The smallest document for the string at each place of the distinct segments.
     at_place = np.full(len(text.symbols), 2**63 - 1)
     at_place[order] = smallest[group]
-    out: list[tuple[int, int, int, int]] = []
-    for k, d, v, s in zip(which.tolist(), doc.tolist(), version.tolist(), start.tolist(), strict=True):
-        low = text.first[k]
-        strings = text.left[low] - LENGTH + 1
-        later = np.flatnonzero(np.diff(np.r_[False, at_place[low : low + strings] < d, False]))
-        out += [(d, v, s + i, j - i) for i, j in zip(later[::2].tolist(), later[1::2].tolist(), strict=True)]
-    return tuple(np.array(c, np.int64) for c in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 4
+    # All strings of all found segments, one after the other.
+    low = text.first[which]
+    strings = text.left[low] - LENGTH + 1 if len(low) else low
+    ends = np.cumsum(strings)
+    begins = ends - strings
+    segment = np.repeat(np.arange(len(which)), strings)
+    later = at_place[np.arange(len(segment)) + (low - begins)[segment]] < doc[segment]
+    # Where runs of strings to remove begin and end; no run reaches into the next segment.
+    edge = np.zeros(len(segment) + 1, bool)
+    edge[begins], edge[-1] = True, True
+    opens = np.flatnonzero(later & (edge[:-1] | ~np.r_[False, later[:-1]]))
+    closes = np.flatnonzero(later & (edge[1:] | ~np.r_[later[1:], False])) + 1
+    own = segment[opens]
+    return doc[own], version[own], start[own] + opens - begins[own], closes - opens
 
 
 def _compare(group: pa.Table) -> pa.Table:
