@@ -1,6 +1,8 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from hypothesis import given, settings, strategies as st
 
 from tests.conftest import SF
@@ -50,12 +52,43 @@ def made_up(spark):
     return rows, spark.createDataFrame(rows, "doc_id long, text string")
 
 
-def test_op3_periods_and_crowds(spark, monkeypatch):
+def settled_marks(texts):
+    """What one bucket settles or sends on, for texts that arrive in separate slices."""
+    dealt = []
+    for doc_id, text in texts:
+        columns = [pa.array([doc_id], pa.int64()), pa.array([text]), pa.array([0], pa.int64())]
+        dealt += suffix_dedup._dealt(1)(iter([pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "version"])]))
+    return suffix_dedup._settled(1000)(pa.Table.from_batches(dealt)).to_pylist()
+
+
+@pytest.mark.parametrize("narrow", ["content", "check"])
+def test_op3_hashes_that_collide_settle_nothing(monkeypatch, narrow):
+    """Different segments under one anchor are compared by their bytes even if one of their two hashes is the same."""
+    rng = np.random.default_rng(8)
+    noise = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    passage = noise(200)
+    texts = [(k, noise(45) + passage + noise(45)) for k in range(4)]
+    want = settled_marks(texts)
+    whole, place = suffix_dedup.segments, ("content", "check").index(narrow) + 4
+
+    def narrowed(*texts):
+        out = list(whole(*texts))
+        out[place] = out[place] & np.uint64(0)
+        return tuple(out)
+
+    monkeypatch.setattr(suffix_dedup, "segments", narrowed)
+    got = settled_marks(texts)
+    by_place = lambda rows: sorted((r["doc_id"], r["start"], r["strings"], r["anchor"] is None) for r in rows)
+    assert by_place(got) == by_place(want) and any(r["anchor"] is not None for r in want)
+    assert sum(r["anchor"] is None for r in want) >= 3
+
+
+def test_op3_periods_and_crowds(spark):
     rows, docs = made_up(spark)
     want = brute_removed([(d, (t or "").encode()) for d, t in rows])
     for crowd in (1000, 3):
-        monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
-        got = {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in suffix_dedup.remove_repeats(docs).collect()}
+        cut = suffix_dedup.remove_repeats(docs, crowd).collect()
+        got = {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in cut}
         assert got == want
 
 
@@ -78,7 +111,7 @@ def test_op3_odd(odd, nothing):
     assert suffix_dedup.remove_repeats(nothing).count() == 0
 
 
-def test_op3_texts_that_share_a_doc_id(spark, monkeypatch):
+def test_op3_texts_that_share_a_doc_id(spark):
     """Rows without a doc_id, or with the same one, have their own spans; none of them loses another's."""
     rng = np.random.default_rng(6)
     noise = lambda n: "".join(rng.choice(list("abcdefgh éß"), n))
@@ -91,8 +124,8 @@ def test_op3_texts_that_share_a_doc_id(spark, monkeypatch):
         want[text] = (doc_id, *removed[10**6]) if doc_id else (None, *brute_removed([(0, text.encode())])[0])
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for crowd in (1000, 1):
-        monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
-        got = [(r.doc_id, r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in suffix_dedup.remove_repeats(docs).collect()]
+        cut = suffix_dedup.remove_repeats(docs, crowd).collect()
+        got = [(r.doc_id, r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in cut]
         assert sorted(got, key=repr) == sorted(want.values(), key=repr)
 
 

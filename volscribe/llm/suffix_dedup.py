@@ -32,18 +32,21 @@ _LOWEST = -(2**63)
 
 
 def segments(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-    """text, start, strings, anchor, content of each segment.
+    """text, start, strings, anchor, content, check of each segment.
 
     ``start`` counts from the text's start; ``strings`` is how many strings of LENGTH
-    bytes the segment has. ``anchor`` and ``content`` are hashes.
+    bytes the segment has. ``anchor``, ``content`` and ``check`` are hashes: of the
+    smallest part, of the bytes, and of the hashes of all parts, which tells segments
+    apart whose bytes happen to have one hash.
     """
     span = LENGTH - PART + 1
     if len(data) < LENGTH:
-        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 2
+        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 3
     powers, inverses = raised(len(data) + 1)
     with np.errstate(over="ignore"):
         total = np.r_[np.uint64(0), np.cumsum(random_bytes(data) * powers[: len(data)])]
         least = mixed((total[PART:] - total[:-PART]) * inverses[: len(data) - PART + 1])
+        parts = np.r_[np.uint64(0), np.cumsum(least * powers[: len(least)])]
         width = 1
         while width < span:
             step = min(width, span - width)
@@ -57,17 +60,24 @@ def segments(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
         keep = last > first
         first, last, text = first[keep], last[keep], text[keep]
         content = mixed((total[last + LENGTH - 1] - total[first]) * inverses[first])
-    return text, first - at[text], last - first, least[first], content
+        check = mixed((parts[last + LENGTH - PART] - parts[first]) * inverses[first])
+    return text, first - at[text], last - first, least[first], content, check
+
+
+# A segment is named by 128 bits beside its bucket: anchor, content and check.
+_HASH_BYTES = (4, 8, 4)
+# Packed bytes of a segment without and with them.
+_PLACE_BYTES = 8 + 8 + 4 + 2
 
 
 def _packed(doc: np.ndarray, version: np.ndarray, start: np.ndarray, strings: np.ndarray, *hashes: np.ndarray) -> bytes:
     """Columns one after the other; documents, versions and starts as differences, which compress well.
 
-    Of the hashes, if any, the anchor keeps 4 bytes beside its bucket, and the content 6.
+    Of the hashes, if any, the anchor keeps 4 bytes beside its bucket, and the content 8 and 4.
     """
     columns = [np.diff(c, prepend=0).astype("<i8") for c in (doc, version)]
     columns += [np.diff(start, prepend=0).astype("<i4"), strings.astype("<u2")]
-    columns += [h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size] for h, size in zip(hashes, (4, 6), strict=False)]
+    columns += [h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size] for h, size in zip(hashes, _HASH_BYTES, strict=False)]
     return b"".join(np.ascontiguousarray(c).tobytes() for c in columns)
 
 
@@ -78,7 +88,7 @@ def _unpacked(stored: bytes, n: int, hashes: bool) -> list[np.ndarray]:
         out.append(np.frombuffer(stored[low : low + size], kind).astype(np.int64))
         low += size
     out[:3] = [np.cumsum(c) for c in out[:3]]
-    for size in (4, 6) if hashes else ():
+    for size in _HASH_BYTES if hashes else ():
         wide = np.zeros((n, 8), np.uint8)
         wide[:, :size] = np.frombuffer(stored[low : low + size * n], np.uint8).reshape(n, size)
         out.append(wide.view("<u8").ravel())
@@ -114,14 +124,14 @@ def _dealt(buckets: int):
         press = zstandard.ZstdCompressor(level=1)
         for part in slices(batches, _SLICE):
             ids, versions = (part.column(c).to_numpy() for c in ("doc_id", "version"))
-            text, start, strings, anchor, content = segments(*text_buffer(part.column("text")))
+            text, start, strings, anchor, content, check = segments(*text_buffer(part.column("text")))
             # Runs of one repeated part can be longer than the packed form can say.
             if len(strings) and strings.max() > _LONGEST:
-                text, start, strings, anchor, content = _cut(text, start, strings, anchor, content)
+                text, start, strings, anchor, content, check = _cut(text, start, strings, anchor, content, check)
             doc, version = ids[text], versions[text]
-            order = np.lexsort((doc, content, anchor))
+            order = np.lexsort((doc, check, content, anchor))
             settled = np.zeros(len(doc), bool)
-            settled[order] = doc[order] > _leaders(order, doc, anchor, content)
+            settled[order] = doc[order] > _leaders(order, doc, anchor, content, check)
             bucket = ((anchor >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
             by_bucket = np.lexsort((settled, bucket))
             edges = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1))
@@ -130,7 +140,7 @@ def _dealt(buckets: int):
                 own = by_bucket[edges[k] : edges[k + 1]]
                 if len(own):
                     o, d = np.sort(own[~settled[own]]), np.sort(own[settled[own]])
-                    opened = _packed(doc[o], version[o], start[o], strings[o], anchor[o], content[o])
+                    opened = _packed(doc[o], version[o], start[o], strings[o], anchor[o], content[o], check[o])
                     done = _packed(doc[d], version[d], start[d], strings[d])
                     out.append((k, len(o), len(d), press.compress(opened + done)))
             if out:
@@ -140,51 +150,55 @@ def _dealt(buckets: int):
     return rows
 
 
-def _cut(text, start, strings, anchor, content):
+def _cut(text, start, strings, anchor, content, check):
     """Segments of at most _LONGEST strings; a piece's content is named by its place and the whole's."""
     pieces = -(-strings // _LONGEST)
     which = np.repeat(np.arange(len(text)), pieces)
     place = np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     size = np.minimum(strings[which] - place * _LONGEST, _LONGEST)
-    name = np.where(pieces[which] > 1, mixed(content[which] + place.astype(np.uint64)), content[which])
-    return text[which], start[which] + place * _LONGEST, size, anchor[which], name
+    names = [np.where(pieces[which] > 1, mixed(h[which] + place.astype(np.uint64)), h[which]) for h in (content, check)]
+    return text[which], start[which] + place * _LONGEST, size, anchor[which], *names
 
 
-def _settle(group: pa.Table) -> pa.Table:
+def _settled(crowd: int):
     """Marks of one bucket: strings to remove, and segments to compare because others differ under their anchor."""
-    unpress = zstandard.ZstdDecompressor()
-    open_ones, done = [], []
-    for n, m, stored in zip(*(group.column(c).to_pylist() for c in ("open", "settled", "stored")), strict=True):
-        stored = unpress.decompress(stored)
-        size = 32 * n
-        open_ones.append(_unpacked(stored[:size], n, hashes=True))
-        done.append(_unpacked(stored[size:], m, hashes=False))
-    doc, version, start, strings, anchor, content = (np.concatenate(c) for c in zip(*open_ones, strict=True))
-    done = [np.concatenate(c) for c in zip(*done, strict=True)]
-    ordered = np.sort(anchor)
-    shared = np.isin(anchor, np.unique(ordered[1:][ordered[1:] == ordered[:-1]]))
-    doc, version, start, strings, anchor, content = (c[shared] for c in (doc, version, start, strings, anchor, content))
-    order = np.lexsort((doc, content, anchor))
-    doc, version, start, strings, anchor, content = (c[order] for c in (doc, version, start, strings, anchor, content))
-    rows = np.arange(len(doc))
-    copies = doc > _leaders(rows, doc, anchor, content)
-    # Contents and documents under each anchor.
-    new = _first_of_groups(anchor)
-    group_of = np.cumsum(new) - 1
-    contents = np.bincount(group_of, _first_of_groups(anchor, content)) if len(doc) else np.empty(0)
-    first = np.flatnonzero(new)
-    several = np.maximum.reduceat(doc, first) != np.minimum.reduceat(doc, first) if len(doc) else np.empty(0, bool)
-    compare = ~copies & ((contents > 1) & several)[group_of]
-    bucket = group.column("bucket")[0].as_py()
-    parts = [
-        [*done, None, None],
-        [doc[copies], version[copies], start[copies], strings[copies], None, None],
-        [doc[compare], version[compare], start[compare], strings[compare], (np.int64(bucket) << 32) + anchor[compare].astype(np.int64), (contents > CROWD)[group_of][compare]],
-    ]
-    columns = []
-    for k, kind in enumerate(_MARK_TYPES.values()):
-        columns.append(pa.concat_arrays([pa.nulls(len(p[0]), kind) if p[k] is None else pa.array(p[k], kind) for p in parts]))
-    return pa.table(columns, names=list(_MARK_TYPES))
+
+    def marks(group: pa.Table) -> pa.Table:
+        unpress = zstandard.ZstdDecompressor()
+        open_ones, done = [], []
+        for n, m, stored in zip(*(group.column(c).to_pylist() for c in ("open", "settled", "stored")), strict=True):
+            stored = unpress.decompress(stored)
+            size = (_PLACE_BYTES + sum(_HASH_BYTES)) * n
+            open_ones.append(_unpacked(stored[:size], n, hashes=True))
+            done.append(_unpacked(stored[size:], m, hashes=False))
+        columns = [np.concatenate(c) for c in zip(*open_ones, strict=True)]
+        done = [np.concatenate(c) for c in zip(*done, strict=True)]
+        ordered = np.sort(columns[4])
+        shared = np.isin(columns[4], np.unique(ordered[1:][ordered[1:] == ordered[:-1]]))
+        columns = [c[shared] for c in columns]
+        order = np.lexsort((columns[0], *columns[:3:-1]))
+        doc, version, start, strings, anchor, content, check = (c[order] for c in columns)
+        copies = doc > _leaders(np.arange(len(doc)), doc, anchor, content, check)
+        # Contents and documents under each anchor.
+        new = _first_of_groups(anchor)
+        group_of = np.cumsum(new) - 1
+        contents = np.bincount(group_of, _first_of_groups(anchor, content, check)) if len(doc) else np.empty(0)
+        first = np.flatnonzero(new)
+        several = np.maximum.reduceat(doc, first) != np.minimum.reduceat(doc, first) if len(doc) else np.empty(0, bool)
+        compare = ~copies & ((contents > 1) & several)[group_of]
+        bucket = group.column("bucket")[0].as_py()
+        anchors = (np.int64(bucket) << 32) + anchor[compare].astype(np.int64)
+        parts = [
+            [*done, None, None],
+            [doc[copies], version[copies], start[copies], strings[copies], None, None],
+            [doc[compare], version[compare], start[compare], strings[compare], anchors, (contents > crowd)[group_of][compare]],
+        ]
+        out = []
+        for k, kind in enumerate(_MARK_TYPES.values()):
+            out.append(pa.concat_arrays([pa.nulls(len(p[0]), kind) if p[k] is None else pa.array(p[k], kind) for p in parts]))
+        return pa.table(out, names=list(_MARK_TYPES))
+
+    return marks
 
 
 def _with_texts(docs: DataFrame, by_doc: DataFrame, how: str) -> DataFrame:
@@ -303,20 +317,21 @@ def _versioned(docs: DataFrame) -> DataFrame:
     return both.select("doc_id", "text", F.when(F.col("shared id").isNull(), F.lit(0)).otherwise(F.xxhash64("text")).alias("version"))
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (start, end) and kept bytes of every row of ``docs`` (doc_id, text).
 
     A null text is empty; texts under LENGTH bytes lose nothing. A null doc_id counts as
     smaller than all others. Rows that share a doc_id, null or not, may have different
     texts; none of them removes anything from another, and each is cut by its own text's
     marks. Strings never reach across documents, and are
-    judged on the input. Other columns are not read.
+    judged on the input. Other columns are not read. An empty table gives no rows. More
+    than ``crowd`` different segments under one anchor are compared string by string.
     """
     buckets = shuffle_parts(docs)
     docs = id_and_text(docs).withColumn("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LOWEST)))
     docs = _versioned(docs)
     dealt = docs.mapInArrow(_dealt(buckets), "bucket bigint, open bigint, settled bigint, stored binary")
-    marks = written(dealt.groupBy("bucket").applyInArrow(_settle, MARKS), "marks")
+    marks = written(dealt.groupBy("bucket").applyInArrow(_settled(crowd), MARKS), "marks")
     wanted = marks.where("anchor is not null").groupBy(F.col("doc_id").alias("of"), F.col("version").alias("of_version"))
     wanted = wanted.agg(F.collect_list(F.struct("start", "strings", "anchor", "crowd")).alias("wanted"))
     cut = _with_texts(docs, wanted, "inner").mapInArrow(_cut_out, "anchor bigint, doc_id bigint, version bigint, start bigint, settled boolean, segment binary")
