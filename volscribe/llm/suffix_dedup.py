@@ -26,7 +26,7 @@ from volscribe.session import broadcast_if_small, written
 LENGTH, PART = 50, 20
 # More different segments than these under one anchor do not meet in one task; their
 # strings are dealt out one by one, which takes about ten times the work.
-CROWD = 20_000
+CROWD = 2_000
 _SLICE = 4 << 20
 _LOWEST = -(2**63)
 
