@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
@@ -25,7 +26,7 @@ from volscribe.session import broadcast_if_small, written
 
 LENGTH, PART = 50, 20
 # More different segments than these under one anchor do not meet in one task; their
-# strings are dealt out one by one, which takes about ten times the work.
+# strings are dealt out one by one, which moves about ten times the bytes.
 CROWD = 2_000
 _SLICE = 4 << 20
 _LOWEST = -(2**63)
@@ -216,43 +217,66 @@ def _with_texts(docs: DataFrame, by_doc: DataFrame, how: str) -> DataFrame:
     return packed.join(by_doc, same, how).drop("of", "of_version")
 
 
+# A segment to compare, one string of a crowd to compare, or strings of a crowd to remove.
+_SEGMENT, _STRING, _REMOVE = range(3)
+CUT = "anchor bigint, doc_id bigint, version bigint, start bigint, strings bigint, kind tinyint, segment binary"
+
+
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the segments to compare; in a crowd, each string by itself.
 
-    Of a crowd's equal strings within a batch only the smallest document's go on. The
-    others are ``settled``; they pass as segments without bytes.
+    Of a crowd's equal strings within a batch only the smallest document's go on; the
+    others are to be removed and pass without bytes.
     """
     unpress = zstandard.ZstdDecompressor()
     for batch in batches:
         out, crowd = [], []
+        least: dict[bytes, int] = {}
         for doc_id, version, packed, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "version", "packed", "wanted")), strict=True):
             text = unpress.decompress(packed)
             for one in wanted:
                 low, n = one["start"], one["strings"]
-                if one["crowd"]:
-                    crowd += [(text[k : k + LENGTH], doc_id, version, k) for k in range(low, low + n)]
-                else:
-                    out.append((one["anchor"], doc_id, version, low, False, text[low : low + n + LENGTH - 1]))
-        least: dict[bytes, int] = {}
-        for string, doc_id, _, _ in crowd:
-            least[string] = min(doc_id, least.get(string, doc_id))
-        for string, doc_id, version, k in crowd:
-            if doc_id > least[string]:
-                out.append((doc_id + k, doc_id, version, k, True, b""))
-            else:
-                out.append((int.from_bytes(hashlib.blake2b(string, digest_size=7).digest()), doc_id, version, k, False, string))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+                segment = text[low : low + n + LENGTH - 1]
+                if not one["crowd"]:
+                    out.append((one["anchor"], doc_id, version, low, n, _SEGMENT, segment))
+                    continue
+                crowd.append((doc_id, version, low, n, segment))
+                for k in range(n):
+                    string = segment[k : k + LENGTH]
+                    if least.setdefault(string, doc_id) > doc_id:
+                        least[string] = doc_id
+        for doc_id, version, low, n, segment in crowd:
+            later = 0
+            for k in range(n):
+                string = segment[k : k + LENGTH]
+                if doc_id > least[string]:
+                    later += 1
+                    continue
+                if later:
+                    out.append((doc_id + low + k, doc_id, version, low + k - later, later, _REMOVE, b""))
+                    later = 0
+                name = int.from_bytes(hashlib.blake2b(string, digest_size=7).digest())
+                out.append((name, doc_id, version, low + k, 1, _STRING, string))
+            if later:
+                out.append((doc_id + low + n, doc_id, version, low + n - later, later, _REMOVE, b""))
+        kinds = (*[pa.int64()] * 5, pa.int8(), pa.binary())
         columns = zip(zip(*out, strict=True), kinds, strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in columns], ["anchor", "doc_id", "version", "start", "settled", "segment"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in columns], ["anchor", "doc_id", "version", "start", "strings", "kind", "segment"])
 
 
-def repeated_strings(found: list[bytes], doc: np.ndarray, version: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, ...]:
-    """doc, version, start and number of the strings in a row that also start in a segment of a smaller document."""
+def _distinct(found: list[bytes], doc: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The different ones of ``found``, which of them each is, and the smallest document of each."""
     distinct = {s: k for k, s in enumerate(dict.fromkeys(found))}
     which = np.array([distinct[s] for s in found], np.int64)
     least = np.full(len(distinct), 2**63 - 1)
     np.minimum.at(least, which, doc)
-    text = Segments(list(distinct))
+    return list(distinct), which, least
+
+
+def repeated_strings(found: list[bytes], doc: np.ndarray, version: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, ...]:
+    """doc, version, start and number of the strings in a row that also start in a segment of a smaller document."""
+    distinct, which, least = _distinct(found, doc)
+    text = Segments(distinct)
     order = suffix_array(text, LENGTH)
     prefixes = common_prefixes(text, order, LENGTH)
     group = np.cumsum(prefixes < LENGTH) - 1 if len(order) else np.empty(0, np.int64)
@@ -279,13 +303,18 @@ def repeated_strings(found: list[bytes], doc: np.ndarray, version: np.ndarray, s
 
 
 def _compare(group: pa.Table) -> pa.Table:
-    found = group.column("segment").to_pylist()
-    keys = [group.column(c).to_numpy() for c in ("doc_id", "version", "start")]
-    done = group.column("settled").to_numpy()
-    compared = repeated_strings([s for s, d in zip(found, done.tolist(), strict=True) if not d], *(c[~done] for c in keys))
-    settled = (*(c[done] for c in keys), np.ones(int(done.sum()), np.int64))
-    both = [np.concatenate(c) for c in zip(compared, settled, strict=True)]
-    return pa.table([pa.array(c, pa.int64()) for c in both], names=["doc_id", "version", "start", "strings"])
+    def rows(kind: int) -> tuple[list[bytes], list[np.ndarray]]:
+        own = group.filter(pc.equal(group.column("kind"), kind))
+        return own.column("segment").to_pylist(), [own.column(c).to_numpy() for c in ("doc_id", "version", "start", "strings")]
+
+    segments_found, places = rows(_SEGMENT)
+    compared = repeated_strings(segments_found, *places[:3])
+    # Strings by themselves have no suffix of LENGTH bytes but the whole, so they are equal or not.
+    found, places = rows(_STRING)
+    _, which, least = _distinct(found, places[0])
+    later = [c[places[0] > least[which]] for c in places]
+    parts = zip(compared, later, rows(_REMOVE)[1], strict=True)
+    return pa.table([pa.array(np.concatenate(c), pa.int64()) for c in parts], names=["doc_id", "version", "start", "strings"])
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,7 +363,7 @@ def remove_repeats(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     marks = written(dealt.groupBy("bucket").applyInArrow(_settled(crowd), MARKS), "marks")
     wanted = marks.where("anchor is not null").groupBy(F.col("doc_id").alias("of"), F.col("version").alias("of_version"))
     wanted = wanted.agg(F.collect_list(F.struct("start", "strings", "anchor", "crowd")).alias("wanted"))
-    cut = _with_texts(docs, wanted, "inner").mapInArrow(_cut_out, "anchor bigint, doc_id bigint, version bigint, start bigint, settled boolean, segment binary")
+    cut = _with_texts(docs, wanted, "inner").mapInArrow(_cut_out, CUT)
     by_anchor = cut.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(4 * buckets)).alias("deal"))
     compared = by_anchor.applyInArrow(_compare, "doc_id bigint, version bigint, start bigint, strings bigint")
     settled = marks.where("anchor is null").select("doc_id", "version", "start", "strings").unionByName(compared)
