@@ -151,6 +151,25 @@ def test_op5_equals_brute_force(spark, texts):
     assert np.abs(errors).max() < 0.2 and abs(np.mean(errors)) < 0.01
 
 
+def test_op5_ids_that_many_rows_share(spark):
+    """A third of the rows has no doc_id and a third has one in common; their ranges are cut by hash."""
+    rng = np.random.default_rng(9)
+    noise = lambda: " ".join(rng.choice(["ab", "cde", "f", "ghij"], rng.integers(0, 40)))
+    rows = [((None, 7, k)[k % 3], noise()) for k in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    ranges, tops = fingerprint._ranges(docs)
+    assert ranges.crowded() == [fingerprint._LOWEST, 7]
+    order = docs.selectExpr(f"coalesce(doc_id, {fingerprint._LOWEST}) AS id", "xxhash64(text) AS hash", "text").collect()
+    home = Counter(ranges.of(np.array([r.id for r in order]), np.array([r.hash for r in order])).tolist())
+    assert home.keys() == tops.keys() and max(home.values()) < 10 * sorted(home.values())[len(home) // 2]
+    order = [tuple(r) for r in sorted(order, reverse=True)]
+    want = []
+    for (d, _, text), (_, _, after) in zip(order, order[1:] + order[:1], strict=True):
+        want.append((None if d == fingerprint._LOWEST else d, len(text), hashlib.sha256(edited(text, after).encode()).hexdigest()))
+    got = [(r.doc_id, r.n_chars, r.edited_sha256) for r in fingerprint.edited_neighbours(docs).collect()]
+    assert Counter(got) == Counter(want)
+
+
 def test_fingerprints_merge_and_estimate(spark, odd):
     words = [f"w{k}" for k in range(6000)]
     a, b, ab, part = fingerprint.sketches([" ".join(words[:3000]), " ".join(words[3000:]), " ".join(words), " ".join(words[:1500])])

@@ -121,25 +121,55 @@ def merge_by(parts: DataFrame, key: str, kept: int = KEPT_HASHES) -> DataFrame:
     return parts.select(key, "fingerprint").mapInArrow(local, schema).groupBy(key).applyInArrow(whole, schema)
 
 
-def _ranges(docs: DataFrame) -> tuple[list[int], dict[int, int]]:
-    """Cuts between ranges of doc_id with about as many rows each, and the largest doc_id of each range.
+class _Ranges:
+    """Ranges of (doc_id, hash of text) with about as many rows each.
 
-    Both are read off the ids alone and have an entry for each range at most, a fixed
-    multiple of the number of shuffle partitions.
+    ``edges`` are doc_ids. An id that is an edge several times has that many ranges of its
+    own, by hash, after the range of the ids below it.
+    """
+
+    def __init__(self, cuts: list[int], most: int):
+        ids, times = np.unique(np.array(cuts, np.int64), return_counts=True)
+        self.edges, self.parts, self.most = ids, np.where(times > 1, times, 0), most
+
+    def crowded(self) -> list[int]:
+        return self.edges[self.parts > 0].tolist()
+
+    def of(self, ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.edges, ids)
+        edge = np.minimum(at, max(len(self.edges) - 1, 0))
+        parts = np.where(self.edges[edge] == ids, self.parts[edge], 0) if len(self.edges) else np.zeros(len(ids), np.int64)
+        # The hash's upper half as a share of its range, in order.
+        share = (hashes.astype(np.int64) >> 32) + 2**31
+        return at * (self.most + 1) + np.where(parts > 0, 1 + ((share * parts) >> 32), 0)
+
+
+def _ranges(docs: DataFrame) -> tuple[_Ranges, dict[int, tuple[int, int | None]]]:
+    """The ranges, and the largest doc_id of each, with the largest hash where one doc_id has several ranges.
+
+    Texts are read for the hashes of such ids only. Ranges are a fixed multiple of the
+    number of shuffle partitions.
     """
     number = RANGES_PER_PARTITION * shuffle_parts(docs)
-    ids = docs.select(F.coalesce("doc_id", F.lit(_LOWEST)).alias("id"))
+    identity = F.coalesce("doc_id", F.lit(_LOWEST)).alias("id")
     shares = F.array(*[F.lit(k / number) for k in range(1, number)])
-    cuts = sorted(set(ids.agg(F.percentile_approx("id", shares, 20 * number)).first()[0] or []))
-    edges = np.array(cuts, np.int64)
+    ranges = _Ranges(docs.select(identity).agg(F.percentile_approx("id", shares, 20 * number)).first()[0] or [], number)
 
     def ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = batch.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(edges, values), pa.int64()), batch.column(0)], ["range", "id"])
+            home = ranges.of(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(home, pa.int64()), *batch.columns], ["range", "id", "hash"])
+
+    def tops(rows: DataFrame, top) -> dict:
+        found = rows.mapInArrow(ranged, "range bigint, id bigint, hash bigint").groupBy("range").agg(F.max("id").alias("id"), top.alias("hash"))
+        return {r["range"]: (r["id"], r["hash"]) for r in found.toLocalIterator()}
 
-    tops = ids.mapInArrow(ranged, "range bigint, id bigint").groupBy("range").agg(F.max("id").alias("top"))
-    return cuts, {r["range"]: r["top"] for r in tops.toLocalIterator()}
+    crowded = ranges.crowded()
+    is_crowded = F.coalesce("doc_id", F.lit(_LOWEST)).isin(crowded) if crowded else F.lit(False)
+    out = tops(docs.where(~is_crowded).select(identity, F.lit(0).cast("bigint")), F.lit(None).cast("bigint"))
+    if crowded:
+        out |= tops(docs.where(is_crowded).select(identity, F.xxhash64("text")), F.max("hash"))
+    return ranges, out
 
 
 def edited_neighbours(docs: DataFrame, kept: int = KEPT_HASHES) -> DataFrame:
@@ -147,37 +177,39 @@ def edited_neighbours(docs: DataFrame, kept: int = KEPT_HASHES) -> DataFrame:
 
     ``docs`` has doc_id and text (null: empty). The next document is the one with the
     next smaller doc_id, after the last one the first; rows without doc_id come last, and
-    rows of one doc_id follow each other by descending text. The edited text has its last
+    rows of one doc_id follow each other by descending hash of their texts. The edited text has its last
     half replaced by as many code points from the start of the next text, or all it has.
     A single document is its own next one. An empty table gives no rows.
 
-    One shuffle deals the compressed texts out by ranges of doc_id. The largest document
-    of each range also goes to the range above, as the next one of its smallest.
+    One shuffle deals the compressed texts out by ranges of doc_id, and of the texts'
+    hashes where many rows share a doc_id or have none. The largest document of each range
+    also goes to the range above, as the next one of its smallest.
     """
     docs = id_and_text(docs).withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    cuts, tops = _ranges(docs)
-    edges, order = np.array(cuts, np.int64), sorted(tops)
+    ranges, tops = _ranges(docs)
+    docs, order = docs.withColumn("hash", F.xxhash64("text")), sorted(tops)
     # Range to the range that its largest document visits; the overall largest follows the smallest.
     above = {low: high for low, high in zip(order, [*order[1:], *order[:1]], strict=True)}
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
         for part in slices(batches, 4 << 20):
-            ids = part.column("doc_id").to_pylist()
+            ids, hashes = part.column("doc_id").to_pylist(), part.column("hash").to_numpy()
             packed = [press.compress(t) for t in part.column("text").cast(pa.binary()).to_pylist()]
-            home = np.searchsorted(edges, [_LOWEST if i is None else i for i in ids]).tolist()
-            rows = [(r, False, i, t) for r, i, t in zip(home, ids, packed, strict=True)]
-            rows += [(above[r], True, i, t) for r, _, i, t in rows if (_LOWEST if i is None else i) == tops[r]]
-            columns = zip([pa.int64(), pa.bool_(), pa.int64(), pa.binary()], zip(*rows, strict=True), strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for kind, c in columns], ["range", "guest", "doc_id", "packed"])
+            known = [_LOWEST if i is None else i for i in ids]
+            home = ranges.of(np.array(known, np.int64), hashes).tolist()
+            rows = [(r, False, i, h, t) for r, i, h, t in zip(home, ids, hashes.tolist(), packed, strict=True)]
+            rows += [(above[r], True, i, h, t) for (r, _, i, h, t), k in zip(rows, known, strict=True) if k == tops[r][0] and tops[r][1] in (None, h)]
+            columns = zip([pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()], zip(*rows, strict=True), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for kind, c in columns], ["range", "guest", "doc_id", "hash", "packed"])
 
     def compared(group: pa.Table) -> pa.Table:
         unpress = zstandard.ZstdDecompressor()
         rows = [
-            (g, i, unpress.decompress(t).decode())
-            for g, i, t in zip(*(group.column(c).to_pylist() for c in ("guest", "doc_id", "packed")), strict=True)
+            (g, i, unpress.decompress(t).decode(), h)
+            for g, i, h, t in zip(*(group.column(c).to_pylist() for c in ("guest", "doc_id", "hash", "packed")), strict=True)
         ]
-        by_id = lambda r: (_LOWEST if r[1] is None else r[1], r[2])
+        by_id = lambda r: (_LOWEST if r[1] is None else r[1], r[3], r[2])
         guests = sorted((r for r in rows if r[0]), key=by_id)
         own = sorted((r for r in rows if not r[0]), key=by_id, reverse=True)
         own += guests[-1:] if own else []
@@ -201,7 +233,7 @@ def edited_neighbours(docs: DataFrame, kept: int = KEPT_HASHES) -> DataFrame:
             low = high
         return pa.table([pa.array(c, kind) for c, kind in zip(out, OUT_TYPES.values(), strict=True)], names=list(OUT_TYPES))
 
-    schema = "range bigint, guest boolean, doc_id bigint, packed binary"
+    schema = "range bigint, guest boolean, doc_id bigint, hash bigint, packed binary"
     return docs.mapInArrow(dealt, schema).groupBy("range").applyInArrow(compared, OUT)
 
 
