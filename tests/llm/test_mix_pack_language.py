@@ -159,6 +159,18 @@ def test_mixed_rows_of_ids_that_several_rows_share(spark):
     assert found == +planned
 
 
+def test_mixed_rows_without_doc_ids(spark):
+    """Many rows of one source and size without a doc_id: each copy that the mix takes is some row's, none twice as another's."""
+    rows = [(None if k % 3 else k, f"word w{k % 200}", "s") for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    planned = Counter((r.doc_id, r.copies) for r in mixing.mix(docs).collect() if r.copies)
+    kept = Counter((r.doc_id, r.text) for r in mixing.mixed_rows(docs).collect())
+    have = Counter((d, text) for d, text, _ in rows)
+    assert sum(kept.values()) == sum(copies * n for (_, copies), n in planned.items())
+    assert all(n <= 2 * have[row] for row, n in kept.items())
+    assert sum(n for (d, _), n in kept.items() if d is None) == sum(copies * n for (d, copies), n in planned.items() if d is None)
+
+
 def test_op10_accuracy_and_rules(spark):
     docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = {r.doc_id: r for r in queries.QUERIES["op10_language_id"](spark, SF).collect()}

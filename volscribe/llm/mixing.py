@@ -206,7 +206,8 @@ def mixed_rows(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int
     """The rows of ``docs`` (doc_id, text, source, ...), each as often as the mix takes it, with all their columns.
 
     Rows that are alike in doc_id, source and number of words have the copies of such
-    rows in ``mix``, in the order of their texts.
+    rows in ``mix``, in the order of a hash of their texts and of the texts. As a third of
+    all rows may be without a doc_id, such rows are numbered in groups by that hash.
     """
     plan = written(mix(docs, weights, share, most), "plan")
     # Column names with a space, which no other column of the input should have.
@@ -217,9 +218,16 @@ def mixed_rows(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int
     once = keys.where("rows = 1 AND `mix times` > 0").select("mix key", "mix times")
     single = named.join(broadcast_if_small(once), "mix key")
     several = keys.where("rows > 1").select("mix key")
-    number = F.row_number().over(W.partitionBy("mix key", "mix size").orderBy("text"))
-    alike = named.join(broadcast_if_small(several), "mix key", "left_semi").withColumn("mix size", word_count())
-    alike = alike.withColumn("mix copy", number)
+    salt = F.pmod(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit(shuffle_parts(docs)))
+    group = ["mix key", "mix size", "mix salt"]
+    alike = named.join(broadcast_if_small(several), "mix key", "left_semi")
+    alike = alike.withColumn("mix size", word_count()).withColumn("mix salt", salt)
+    earlier = W.partitionBy("mix key", "mix size").orderBy("mix salt").rowsBetween(W.unboundedPreceding, -1)
+    starts = alike.groupBy(*group).agg(F.count("*").alias("mix own"))
+    starts = starts.select(*group, F.coalesce(F.sum("mix own").over(earlier), F.lit(0)).alias("mix start"))
+    number = F.row_number().over(W.partitionBy(*group).orderBy("text"))
+    alike = alike.withColumn("mix copy", number).join(starts, group)
+    alike = alike.withColumn("mix copy", (F.col("mix copy") + F.col("mix start")).cast("int")).drop("mix salt", "mix start")
     takes = plan.where("copies > 0").join(several, "mix key", "left_semi").select(
         "mix key", F.col("size").alias("mix size"), F.col("copy").alias("mix copy"), F.col("copies").alias("mix times")
     )
