@@ -8,7 +8,7 @@ from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import functions as F
 
 from tests.conftest import rows_of
-from volscribe.operators import aggregates, ols, ridge, windows
+from volscribe.operators import aggregates, ols, quantiles, ridge, windows
 from volscribe.operators.windows import ROLLING_FOUR, THREE_AND_GAP, Scheme
 from volscribe.sources.sinks import save_model
 
@@ -116,6 +116,20 @@ def test_winsor_bounds_come_from_training_years_alone(har):
     assert sorted(r.y_1 for r in rows.where("role = 'test'").collect()) == raw
 
 
+def test_winsor_bounds_keep_each_row_once(har, monkeypatch):
+    """A year's rows are stored and counted once, not again for every window and column."""
+    kept, written = [], quantiles.written
+
+    def seen(df, label="stage"):
+        out = written(df, label)
+        kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(quantiles, "written", seen)
+    ols.winsor_bounds(har)
+    assert 0 < sum(kept) <= har.count()
+
+
 def test_log_rows(spark):
     frame = spark.createDataFrame([(0.0, 1.0), (math.e, 1e-9)], "vol_1 double, y_1 double")
     got = rows_of(ols.log_rows(frame, ("vol_1", "y_1"), least=1e-6))

@@ -16,9 +16,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from volscribe.operators.quantiles import exact_quantiles
+from volscribe.operators.quantiles import pooled_quantiles
 from volscribe.operators.windows import ROLLING_FOUR, Scheme, window_bounds, window_row_guards, with_roles
 
 # Regressors and target.
@@ -176,9 +176,15 @@ def winsor_bounds(
     rows: DataFrame, scheme: Scheme = ROLLING_FOUR, columns: Sequence[str] = (*FEATURES, LABEL), tail: float = TAIL
 ) -> DataFrame:
     """train_start, metric, low and high: the exact quantiles ``tail`` and 1 - ``tail`` of each window's training rows."""
-    yearly = with_roles(rows.withColumn("year", F.year("date")), scheme).where("role = 'train'")
-    long = yearly.select("train_start", F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in columns])))
-    found = exact_quantiles(long, ("train_start", "metric"), "value", (tail, 1 - tail))
+
+    def windows(group: tuple) -> list[tuple]:
+        (year,) = group
+        return [(None,)] if year is None else [(year - k,) for k in range(scheme.train_years)]
+
+    # Each row counts for its year alone; windows add up their years.
+    yearly = rows.select(F.year("date").alias("year"), *columns)
+    named = T.StructType([T.StructField("train_start", T.IntegerType())])
+    found = pooled_quantiles(yearly, ("year",), columns, (tail, 1 - tail), windows, named)
     low, high = (F.max(F.when(F.col("probability") == p, F.col("value"))).alias(name) for p, name in ((tail, "low"), (1 - tail, "high")))
     return found.groupBy("train_start", "metric").agg(low, high)
 
