@@ -243,6 +243,16 @@ def test_the_language_stage_rejects_what_is_in_no_language(spark):
     assert not [d for d in kept if d < 0] and len(labelled & kept) >= 0.99 * len(labelled)
 
 
+def test_the_least_scores_come_from_all_rows(spark):
+    """Of 60,000 rows every one counts: the few low ones, spread over all, move the least score as sorting says."""
+    rng = np.random.default_rng(3)
+    scores = np.where(np.arange(60_000) % 190 == 0, rng.uniform(0.1, 0.3, 60_000), rng.uniform(0.6, 0.9, 60_000))
+    frame = spark.createDataFrame([(8, float(s)) for s in scores] + [(9, 0.5)] * 10 + [(7, 0.0)] * 100, "size int, score double")
+    least = language.fit_least(frame)
+    assert abs(least[8] - language.FIT_PART * np.percentile(scores, 100 * language.FIT_SHARE)) < 1e-4
+    assert least[7] == language.LEAST_SCORE and least[9] == least[8] == least[63]
+
+
 def brute_pipeline(docs):
     """doc_ids after language ID, exact and near dedup, one stage after the other."""
     texts = [(d.doc_id, d.text) for d in docs if any(c.isalpha() for c in d.text or "")]

@@ -17,14 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from volscribe.llm.common import SLICE_BYTES, prepared, slices
+from volscribe.session import written
 
 DIMENSIONS = 1024
 UNKNOWN = "und"
 # About the cosine of two random vectors of so many dimensions.
 LEAST_SCORE = 0.03
-# Labelled documents, at most about, that the least score of a length is learned from; the
-# share of them that lies below, and what part of that score is asked for.
-FIT_ROWS, FIT_SHARE, FIT_PART = 20_000, 0.005, 0.5
+# The share of a length's labelled documents that lies below the score its least one is
+# learned from, what part of that score is asked for, and the decimals scores are counted by.
+FIT_SHARE, FIT_PART, FIT_DECIMALS = 0.005, 0.5, 4
 # Fewer documents of a length say nothing about it.
 FIT_LEAST = 50
 _CODE_BITS = 21
@@ -192,25 +193,19 @@ def size_class(triples: int) -> int:
     return max(triples, 1).bit_length()
 
 
-def fit_least(docs: DataFrame, judge: Judge) -> dict[int, float]:
+def fit_least(scored: DataFrame) -> dict[int, float]:
     """The least score that a text of each size class must have to be in a known language.
 
     Scores rise with the number of triples, towards 1 for thousands of them; what is in
     no known language stays near 0.1 however long it is. So each class asks for a part
-    of what all but a few of its labelled documents reach. About FIT_ROWS of ``docs``
-    (text), drawn by a hash of the text, are judged; classes with few of them ask for
-    what the next smaller one does, the smallest for LEAST_SCORE.
+    of what all but a few of its labelled documents reach. All rows of ``scored`` (size,
+    score) count, by their scores to FIT_DECIMALS places, so that a class has a bounded
+    number of them; classes with few rows ask for what the next smaller one does, the
+    smallest for LEAST_SCORE.
     """
-    number = docs.count()
-    drawn = docs.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < 1_000_000 * FIT_ROWS // max(number, 1))
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, SLICE_BYTES // 2):
-            _, scores, sizes = judge.sized(part.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array([size_class(n) for n in sizes], pa.int32()), pa.array(scores, pa.float64())], ["size", "score"])
-
-    found = drawn.select("text").mapInArrow(scored, "size int, score double").where("score > 0").groupBy("size")
-    rows = found.agg(F.count("*").alias("n"), F.percentile("score", F.lit(FIT_SHARE)).alias("low")).where(F.col("n") >= FIT_LEAST)
+    found = scored.where("score > 0").groupBy("size", F.round("score", FIT_DECIMALS).alias("score")).agg(F.count("*").alias("n"))
+    low = F.percentile("score", F.lit(FIT_SHARE), F.col("n")).alias("low")
+    rows = found.groupBy("size").agg(F.sum("n").alias("n"), low).where(F.col("n") >= FIT_LEAST)
     # One row for each power of two.
     known, least, asked = {r["size"]: max(LEAST_SCORE, FIT_PART * r.low) for r in rows.toLocalIterator()}, {}, LEAST_SCORE
     for size in range(64):
@@ -227,24 +222,31 @@ def accepted(docs: DataFrame) -> DataFrame:
     told, and stay. Equal texts are judged alike. Without profiles there is nothing to
     judge by, and all with letters stay; an empty table stays empty.
     """
-    known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", F.col("text").cast("string").alias("text"))
-    judge = Judge(fit_profiles(known), DIMENSIONS, 7)
-    least = fit_least(known, judge) if judge.names else {}
+    learned = ~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()
+    text = F.col("text").cast("string")
+    judge = Judge(fit_profiles(docs.where(learned).select("lang", text.alias("text"))), DIMENSIONS, 7)
 
-    @F.pandas_udf("boolean")
-    def fits(texts: pd.Series) -> pd.Series:
-        out: list[bool] = []
+    @F.pandas_udf("size int, score double")
+    def judged(texts: pd.Series) -> pd.DataFrame:
+        out: list[tuple[int, float]] = []
         sizes = texts.fillna("").str.len().cumsum() // (SLICE_BYTES // 2)
         for _, part in texts.groupby(sizes.to_numpy(), sort=False):
             own = [None if t is None else t for t in part]
             if judge.names:
-                asked = zip(*judge.sized(own), strict=True)
-                out += [n != UNKNOWN and s >= least[size_class(size)] for n, s, size in asked]
+                _, scores, numbers = judge.sized(own)
+                out += [(size_class(n), s) for n, s in zip(numbers, scores, strict=True)]
             else:
-                out += [len(letter_triples(t or "")) > 0 for t in own]
-        return pd.Series(out, dtype=bool)
-
-    return docs.where(fits(F.col("text").cast("string")))
+                out += [(0, float(len(letter_triples(t or "")) > 0)) for t in own]
+        return pd.DataFrame(out, columns=["size", "score"]).astype({"size": "int32", "score": "float64"})
+
+    name = "judged"
+    while name in docs.columns:
+        name += "_"
+    # Each text is judged once: what the scores of a length reach, and which rows do, are read from this.
+    rows = written(docs.withColumn(name, judged(text)), "judged")
+    least = fit_least(rows.where(learned).select(f"{name}.*")) if judge.names else {}
+    asked = F.create_map(*[F.lit(x) for size, low in least.items() for x in (size, low)])[F.col(name)["size"]] if least else F.lit(1.0)
+    return rows.where(F.col(name)["score"] >= asked).drop(name)
 
 
 def identify(docs: DataFrame) -> DataFrame:
