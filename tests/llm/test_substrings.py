@@ -6,6 +6,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 from tests.conftest import SF
+from volscribe import session
 from volscribe.llm import line_dedup, queries, substring_dedup, suffix_dedup
 from volscribe.llm.suffix_array import Segments, common_prefixes, suffix_array
 
@@ -248,6 +249,18 @@ def test_op9_maximal_runs_and_where_they_come_from(spark):
         assert runs_found(line_dedup.dedup_lines(docs, 1)) == brute_runs(rows)
 
 
+def test_op9_long_runs_take_few_turns(spark):
+    """Runs of hundreds of lines, with ends of all lengths, and no set of stored tables for each doubling."""
+    rng = np.random.default_rng(11)
+    long = [str(x) for x in rng.integers(0, 400, 300)]
+    rows = [(0, "\n".join(long)), (1, "\n".join(["u", *long[:257], "v"])), (2, "\n".join(long[3:]))]
+    rows += [(10 + n, "\n".join(long[300 - n :])) for n in (1, 2, 15, 16, 17, 31, 32, 33, 64, 65)]
+    rows += [(30 + n, "\n".join([*long[40 : 40 + n], "w"])) for n in (15, 16, 17, 129)]
+    before = len(session._made)
+    assert runs_found(line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), 1)) == brute_runs(rows)
+    assert len(session._made) - before < 45
+
+
 def test_op9_rows_without_id_come_first(spark):
     rows = [(None, "p\nq\nr"), (1, "p\nq\ns"), (2, "s\np\nq\nr")]
     got = runs_found(line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), 1))

@@ -1,8 +1,8 @@
 """Line dedup with a suffix array over sequences of line ids, built by prefix doubling.
 
 A document is the sequence of its lines' ids. Ranks order its suffixes by their first
-lines: by one at first, then by twice as many each turn, from the ranks of a suffix and
-of the one so many lines further on. A suffix that shares its rank with no other leaves.
+lines: by one at first, then by 2, 4, 8 and 16 times as many each turn, from the ranks of a
+suffix and of those so many lines further on. A suffix that shares its rank with no other leaves.
 
 Suffixes with a common prefix are an interval of the suffix array, and intervals form a
 tree. It is unfolded from the ranks of all turns, the longest first: members of an
@@ -26,6 +26,8 @@ from volscribe.session import written
 
 # For callers who want single lines left alone, as these may repeat by chance or by custom. The registered query takes 1.
 MIN_LINES = 2
+# Doublings that one turn makes of the ranks it is given.
+DOUBLINGS = 4
 KEY = ("doc_id", "version")
 PLACE = ("doc_id", "version", "place")
 
@@ -78,36 +80,66 @@ def with_earlier(rows: DataFrame, order: list[str]) -> DataFrame:
 def _shared(suffixes: DataFrame, keys: list[str]) -> DataFrame:
     """The ``suffixes`` whose ``keys`` occur several times, with the rank these give them, and the first place that has them.
 
-    Equal keys are counted before the shuffle; a rank with many suffixes then joins as a
-    single row, which Spark splits.
+    Ranks are numbers in the order of the keys, with gaps. Equal keys are counted before
+    the shuffle; a rank with many suffixes then joins as a single row, which Spark splits.
     """
-    counted = suffixes.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.struct(*PLACE)).alias("first")).where("n > 1")
-    order = written(with_earlier(counted, keys).select(*keys, F.col("earlier").alias("rank_now"), "first"), "ranks")
-    return suffixes.join(order, keys).select(*PLACE, "left", F.col("rank_now").alias("rank"), "first")
+    counted = suffixes.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.struct(*PLACE)).alias("first")).where("n > 1").drop("n")
+    order = counted.repartitionByRange(shuffle_parts(suffixes), *keys).sortWithinPartitions(*keys)
+    order = written(order.withColumn("rank", F.monotonically_increasing_id()), "ranks")
+    return suffixes.join(order, keys)
+
+
+def _prefixes(names: DataFrame, length: int, k: int) -> DataFrame:
+    """doc_id, version, place, left, k and names: of each suffix its first 2 * ``length``, 4 * ``length``, ... lines.
+
+    ``names`` has the ranks of all suffixes by their first ``length`` lines, as far as
+    these are shared; up to 2**DOUBLINGS of them, that many lines apart, stand for a
+    longer prefix. Where the document ends before, there are fewer. A suffix that lacks one
+    is unique from there on.
+    """
+    ahead = W.partitionBy(*KEY, F.col("place") % length).orderBy("place").rangeBetween(0, length * ((1 << DOUBLINGS) - 1))
+    blocks = names.select(*PLACE, "left", F.collect_list(F.struct("place", "rank")).over(ahead).alias("blocks"))
+    until_end = F.floor((F.col("left") + length - 1) / length)
+    turns = [F.struct(F.lit(k + j).alias("k"), F.least(F.lit(1 << j), until_end).cast("int").alias("n")) for j in range(1, DOUBLINGS + 1)]
+    # Once a suffix has ended, more lines tell nothing new; the longest prefixes have all, as the next turn's names.
+    going = [F.when(F.col("left") > length << (j - 1), turn) for j, turn in enumerate(turns[:-1], 1)]
+    each = blocks.select(*PLACE, "left", "blocks", F.explode(F.array_compact(F.array(*going, turns[-1]))).alias("turn"))
+    last = F.expr("blocks[turn.n - 1].place")
+    each = each.where((F.size("blocks") >= F.col("turn.n")) & (last == F.col("place") + length * (F.col("turn.n") - 1)))
+    return each.select(*PLACE, "left", "turn.k", F.expr("slice(blocks.rank, 1, turn.n)").alias("names"))
 
 
 def repeated_suffixes(docs: DataFrame) -> list[DataFrame]:
     """For k = 0, 1, ...: the suffixes whose first 2**k lines (or all, if fewer are left) also start elsewhere.
 
-    Each as doc_id, version, place, left, rank and first (the first place of that rank).
-    The turns grow with the logarithm of the longest repeated run, and the last one has
-    none that goes on. Rows that repeat a document come once, but for k = 0.
+    Each as doc_id, version, place, left, rank and first (the first place of that rank),
+    and for k > 0 only those with more than 2**(k - 1) lines left. A turn makes DOUBLINGS
+    of these tables at once; the turns grow with the logarithm of the longest repeated
+    run. Rows that repeat a document come once.
     """
     # Both the count of each line and the join with it read this.
-    level = written(_shared(written(line_rows(docs), "lines"), ["line"]), "suffixes")
-    levels, length = [level], 1
-    while not level.where(F.col("left") > length).isEmpty():
-        # By place, not by row, since rows may repeat a document.
-        ahead = F.max("rank").over(W.partitionBy(*KEY).orderBy("place").rangeBetween(length, length))
-        pairs = level.select(*PLACE, "left", "rank", ahead.alias("next"))
-        # Without a shared suffix behind it, one that goes on is unique from here on.
-        pairs = pairs.where((F.col("left") <= length) | F.col("next").isNotNull()).fillna(0, ["next"])
-        level = written(_shared(written(pairs.dropDuplicates(list(PLACE)), "pairs"), ["rank", "next"]), "suffixes")
-        levels.append(level)
-        length *= 2
+    names = _shared(written(line_rows(docs), "lines"), ["line"]).drop("line")
+    names = written(names.dropDuplicates(list(PLACE)), "suffixes")
+    levels, length, k = [names], 1, 0
+    goes_on = names.agg(F.max("left")).first()[0]
+    while goes_on is not None and goes_on > length:
+        found = _shared(written(_prefixes(names, length, k), "prefixes"), ["k", "names"])
+        found = written(found.select(*PLACE, "left", "k", "rank", "first"), "suffixes")
+        going = F.col("left") > F.expr("shiftleft(1L, k - 1)")
+        highest, goes_on = found.agg(F.max(F.when(going, F.col("k"))), F.max(F.when(F.col("k") == k + DOUBLINGS, F.col("left")))).first()
+        levels += [found.where(going & (F.col("k") == n)).drop("k") for n in range(k + 1, (highest or k) + 1)]
+        names, length, k = found.where(F.col("k") == k + DOUBLINGS), length << DOUBLINGS, k + DOUBLINGS
     return levels
 
 
+def _longest(levels: list[DataFrame]) -> DataFrame:
+    """The rows of all ``levels``, with their number ``k``, but those of a suffix that has an earlier one of its rank in a longer level."""
+    every = reduce(DataFrame.unionByName, [level.withColumn("k", F.lit(k)) for k, level in enumerate(levels)])
+    later = F.max(F.when(~F.struct(*PLACE).eqNullSafe(F.col("first")), F.col("k"))).over(W.partitionBy(*PLACE))
+    every = every.withColumn("later", later).where("later IS NULL OR k >= later")
+    return written(every.select(*PLACE, "left", "rank", "k"), "longest")
+
+
 def _at(rows: DataFrame, other: DataFrame, place: str, how: str) -> DataFrame:
     """``rows`` joined with the rows of ``other`` that name the same document and ``place``."""
     other = other.select(*[F.col(c).alias(f"of_{c}") for c in PLACE], *[c for c in other.columns if c not in PLACE])
@@ -125,16 +157,14 @@ def copies(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """
     levels, found, items = repeated_suffixes(docs), [], None
     whole = F.struct(F.lit(None).cast("bigint").alias("doc_id"), F.lit(0).cast("bigint").alias("version"), F.lit(-1).cast("bigint").alias("place"))
+    # Of suffixes that agree on twice as many lines, only the first is left in the whole array.
+    longest = _longest(levels)
     for k in reversed(range(len(levels))):
-        step, level = 1 << k, levels[k]
-        # Of suffixes that agree on twice as many lines, only the first is left in the whole array.
-        looked = level
-        if k + 1 < len(levels):
-            later = levels[k + 1].where(~F.struct(*PLACE).eqNullSafe(F.col("first"))).select(*PLACE)
-            looked = _at(level, later, "place", "left_anti")
+        step = 1 << k
+        looked = longest.where(F.col("k") == k)
         looked = looked.select(*PLACE, "left", whole.alias("head"), F.lit(0).cast("bigint").alias("m"), "rank")
         if items is not None:
-            ranks = level.groupBy(*PLACE).agg(F.max("rank").alias("rank"))
+            ranks = levels[k].select(*PLACE, "rank")
             inner = _at(items.withColumn("ahead", F.col("place") + F.col("m")), ranks, "ahead", "left").drop("ahead")
             looked = written(looked.unionByName(inner), "looked")
         inside = looked.where("rank is not null")
