@@ -11,6 +11,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from tests.conftest import SF, plan_of
 from tests.llm.test_near_prints import brute_classes
+from volscribe import session
 from volscribe.llm import language, mixing, packing, queries
 from volscribe.llm.common import text_buffer
 
@@ -243,6 +244,21 @@ def test_the_language_stage_rejects_what_is_in_no_language(spark):
     assert not [d for d in kept if d < 0] and len(labelled & kept) >= 0.99 * len(labelled)
 
 
+def test_the_language_stage_stores_no_texts(spark):
+    """What it leaves in the shared folder is far less than its input; equal texts share their verdict."""
+    path = f"{Path(SF).parent}/sf0.01/documents.parquet"
+    docs = spark.read.parquet(path).select("doc_id", "text", "lang")
+    noise = "".join(np.random.default_rng(5).choice(list("abcdefghijklmnopqrstuvwxyz     "), 2000))
+    added = spark.createDataFrame([(-1, noise, None), (-1, noise, None), (-2, None, None), (None, noise, None)], docs.schema)
+    before = len(session._made)
+    kept = language.accepted(docs.unionByName(added))
+    assert not kept.where("doc_id < 0 OR doc_id IS NULL").count()
+    size = lambda top: sum(f.stat().st_size for f in Path(top).rglob("*.parquet"))
+    stored = sum(size(folder.removeprefix("file://")) for folder in session._made[before:])
+    given = size(path) or Path(path).stat().st_size
+    assert 0 < stored < given / 4
+
+
 def test_the_least_scores_come_from_all_rows(spark):
     """Of 60,000 rows every one counts: the few low ones, spread over all, move the least score as sorting says."""
     rng = np.random.default_rng(3)

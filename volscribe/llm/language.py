@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from volscribe.llm.common import SLICE_BYTES, prepared, slices
-from volscribe.session import written
+from volscribe.session import broadcast_if_small, written
 
 DIMENSIONS = 1024
 UNKNOWN = "und"
@@ -220,7 +220,8 @@ def accepted(docs: DataFrame) -> DataFrame:
     below what ``fit_least`` learned for their number of letter triples: random letters,
     and languages that no document is labelled with. Very short texts can hardly be
     told, and stay. Equal texts are judged alike. Without profiles there is nothing to
-    judge by, and all with letters stay; an empty table stays empty.
+    judge by, and all with letters stay; an empty table stays empty. Rejected texts are named
+    by their SHA-256, which is broadcast if it measures small; else Spark shuffles both sides.
     """
     learned = ~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()
     text = F.col("text").cast("string")
@@ -239,14 +240,17 @@ def accepted(docs: DataFrame) -> DataFrame:
                 out += [(0, float(len(letter_triples(t or "")) > 0)) for t in own]
         return pd.DataFrame(out, columns=["size", "score"]).astype({"size": "int32", "score": "float64"})
 
-    name = "judged"
+    name = "rejected text"
     while name in docs.columns:
         name += "_"
-    # Each text is judged once: what the scores of a length reach, and which rows do, are read from this.
-    rows = written(docs.withColumn(name, judged(text)), "judged")
-    least = fit_least(rows.where(learned).select(f"{name}.*")) if judge.names else {}
-    asked = F.create_map(*[F.lit(x) for size, low in least.items() for x in (size, low)])[F.col(name)["size"]] if least else F.lit(1.0)
-    return rows.where(F.col(name)["score"] >= asked).drop(name)
+    # Each text is judged once. Stored are its digest and score, as the texts themselves would be the input once more.
+    digest = F.unhex(F.sha2(text, 256))
+    scored = docs.where(text.isNotNull()).select(digest.alias(name), F.coalesce(learned, F.lit(False)).alias("learned"), judged(text).alias("judged"))
+    scored = written(scored.select(name, "learned", "judged.*"), "judged")
+    least = fit_least(scored.where("learned")) if judge.names else {}
+    asked = F.create_map(*[F.lit(x) for size, low in least.items() for x in (size, low)])[F.col("size")] if least else F.lit(1.0)
+    rejected = written(scored.where(F.col("score") < asked).select(name).distinct(), "rejected")
+    return docs.where(text.isNotNull()).join(broadcast_if_small(rejected), digest == F.col(name), "left_anti")
 
 
 def identify(docs: DataFrame) -> DataFrame:
