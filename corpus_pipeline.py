@@ -17,7 +17,7 @@ from volscribe.llm.common import prepared, table
 from volscribe.session import written
 
 # Stages run one after the other in the same Python workers, which keep some of what each needed.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -54,6 +54,20 @@ def test_op7_odd(odd, nothing, tokenizer):
     assert packing.pack(nothing, FILE).count() == 0
 
 
+def test_packing_leaves_no_encoder_in_the_workers(spark):
+    def held(batches):
+        import pyarrow as pa
+
+        from volscribe.llm import packing
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([packing._encoder.cache_info().currsize] * batch.num_rows)], ["encoders"])
+
+    docs = spark.range(200, numPartitions=16).selectExpr("id AS doc_id", "concat('word ', id, ' and more') AS text")
+    assert packing.pieces(docs, Path(FILE).read_text()).count() == 200
+    assert spark.range(200, numPartitions=16).mapInArrow(held, "encoders bigint").agg({"encoders": "max"}).first()[0] == 0
+
+
 pieces_of_text = st.text(alphabet="aB'st .,!é…1\u0301İΣσ\u2003\x1c\x01<|>", max_size=30)
 
 

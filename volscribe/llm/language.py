@@ -16,7 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from volscribe.llm.common import SLICE_BYTES, prepared, slices
+from volscribe.llm.common import SLICE_BYTES, give_back, prepared, slices
 from volscribe.session import broadcast_if_small, written
 
 DIMENSIONS = 1024
@@ -238,6 +238,7 @@ def accepted(docs: DataFrame) -> DataFrame:
                 out += [(size_class(n), s) for n, s in zip(numbers, scores, strict=True)]
             else:
                 out += [(0, float(len(letter_triples(t or "")) > 0)) for t in own]
+        give_back()
         return pd.DataFrame(out, columns=["size", "score"]).astype({"size": "int32", "score": "float64"})
 
     name = "rejected text"

@@ -19,13 +19,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from volscribe.llm.common import id_and_text, shuffle_parts, slices, text_buffer
+from volscribe.llm.common import give_back, id_and_text, shuffle_parts, slices, text_buffer
 from volscribe.llm.words import span_hashes, word_spans
 from volscribe.session import written
 
 CAPACITY = 4096
 END_ID = 1
-# Distinct words that a worker remembers the ids of: up to 170 MB.
+# Distinct words that a task remembers the ids of: up to 170 MB.
 CACHED_WORDS = 700_000
 # A control character that is a token of its own.
 _BETWEEN = "\x01"
@@ -131,7 +131,7 @@ class Encoder:
 
 @lru_cache(maxsize=1)
 def _encoder(tokenizer: str) -> Encoder:
-    """The encoder of this worker process, which keeps the words it knows from task to task, up to a bound."""
+    """The encoder of this task, which keeps the words it knows, up to a bound."""
     return Encoder(tokenizer)
 
 
@@ -158,6 +158,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, kind) for c, kind in columns], ["doc_id", "piece", "start", "length", "ids_crc32"]
             )
+        # The worker lives on, and what it does next needs neither the tokenizer nor the words.
+        del encoder
+        _encoder.cache_clear()
+        give_back()
 
     docs = id_and_text(docs).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     return docs.mapInArrow(cut, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
