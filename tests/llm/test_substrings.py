@@ -1,8 +1,11 @@
 import hashlib
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
+import zstandard
 from hypothesis import given, settings, strategies as st
 
 from tests.conftest import SF
@@ -130,6 +133,83 @@ def test_op3_texts_that_share_a_doc_id(spark):
         assert sorted(got, key=repr) == sorted(want.values(), key=repr)
 
 
+def op3_in_process(rows, crowd):
+    """The steps of op3 on ``rows`` (doc_id, text) one after the other, without Spark; of each document what brute_removed says."""
+    press, ids = zstandard.ZstdCompressor(), pa.array([d for d, _ in rows], pa.int64())
+    packed = pa.array([press.compress(t.encode()) for _, t in rows], pa.binary())
+    versions = pa.array([0] * len(rows), pa.int64())
+    docs = pa.RecordBatch.from_arrays([ids, pa.array([t for _, t in rows]), versions], ["doc_id", "text", "version"])
+    dealt = pa.Table.from_batches(suffix_dedup._dealt(3)(iter([docs.slice(k, 5) for k in range(0, len(rows), 5)])))
+    groups = [dealt.filter(pc.equal(dealt.column("bucket"), k)) for k in set(dealt.column("bucket").to_pylist())]
+    marks = [m for group in groups for m in suffix_dedup._settled(crowd)(group).to_pylist()]
+
+    def with_texts(name, lists, kind):
+        columns = [ids, versions, packed, pa.array([lists.get(d) for d, _ in rows], pa.list_(kind))]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "version", "packed", name])
+
+    place = [("start", pa.int64()), ("strings", pa.int64())]
+    wanted, spans = {d: [] for d, _ in rows}, {}
+    for m in marks:
+        (spans.setdefault(m["doc_id"], []) if m["anchor"] is None else wanted[m["doc_id"]]).append(m)
+    texts = with_texts("wanted", wanted, pa.struct([*place, ("anchor", pa.int64()), ("crowd", pa.bool_())]))
+    cut = pa.Table.from_batches(suffix_dedup._cut_out(iter([texts.slice(3), texts.slice(0, 3)]))).sort_by("anchor")
+    for m in pa.Table.from_batches(suffix_dedup._compared(iter(cut.to_batches(7)))).to_pylist():
+        spans.setdefault(m["doc_id"], []).append(m)
+    removed = suffix_dedup._removed(iter([with_texts("marks", spans, pa.struct(place))]))
+    found = [r for batch in removed for r in batch.to_pylist()]
+    return {r["doc_id"]: (r["n_bytes"], r["n_removed"], len(r["spans"]), hashlib.sha256(r["kept"]).hexdigest()) for r in found}
+
+
+@pytest.mark.parametrize("limits", [{}, {"_TOGETHER": 2, "_STRINGS": 9, "_COMPARED": 300, "_ROWS": 4, "_SLICE": 700}, {"_string_names": lambda data, at: np.zeros(len(at), np.uint64)}])
+def test_op3_in_pieces_of_any_size(spark, monkeypatch, limits):
+    """Where the pieces that a task holds are cut, or strings have one hash, changes nothing."""
+    rows = [(d, t or "") for d, t in made_up(spark)[0]]
+    for name, value in limits.items():
+        monkeypatch.setattr(suffix_dedup, name, value)
+    want = brute_removed([(d, t.encode()) for d, t in rows])
+    for crowd in (1000, 3):
+        assert op3_in_process(rows, crowd) == want
+
+
+def held_mb(run):
+    """The most that Python and numpy hold at once while ``run`` is read to its end, and what it gave."""
+    tracemalloc.start()
+    try:
+        n = sum(batch.num_rows for batch in run())
+        return tracemalloc.get_traced_memory()[1] / 1e6, n
+    finally:
+        tracemalloc.stop()
+
+
+def test_op3_tasks_hold_few_marks_and_strings_at_once():
+    """Memory of a task does not follow how many segments of its texts repeat."""
+    rng = np.random.default_rng(12)
+    press, n = zstandard.ZstdCompressor(), 400
+    texts = [rng.integers(97, 123, 1000, np.uint8).tobytes() for _ in range(n)]
+    columns = [pa.array(range(n), pa.int64()), pa.array([0] * n, pa.int64()), pa.array([press.compress(t) for t in texts], pa.binary())]
+    place = [("start", pa.int64()), ("strings", pa.int64())]
+    every = [{"start": k, "strings": 1, "anchor": 5, "crowd": True} for k in range(951)]
+    wanted = pa.array([every] * n, pa.list_(pa.struct([*place, ("anchor", pa.int64()), ("crowd", pa.bool_())])))
+    batch = pa.RecordBatch.from_arrays([*columns, wanted], ["doc_id", "version", "packed", "wanted"])
+    mb, rows = held_mb(lambda: suffix_dedup._cut_out(iter([batch])))
+    assert rows == 951 * n and mb < 80
+    marks = pa.array([[{"start": k, "strings": 1} for k in range(0, 951, 2)]] * n, pa.list_(pa.struct(place)))
+    batch = pa.RecordBatch.from_arrays([*columns, marks], ["doc_id", "version", "packed", "marks"])
+    mb, rows = held_mb(lambda: suffix_dedup._removed(iter([batch])))
+    assert rows == n and mb < 30
+
+
+def test_op3_bucket_holds_few_repeated_segments_at_once():
+    rng, n, blocks = np.random.default_rng(13), 50_000, []
+    hashes = [rng.integers(0, 2**63, n, np.uint64) for _ in range(3)]
+    for k in range(20):
+        doc, zero = np.arange(k * n, (k + 1) * n), np.zeros(n, np.int64)
+        packed = suffix_dedup._packed(doc, zero, zero, zero + 7, *hashes)
+        blocks.append({"bucket": 0, "open": n, "settled": 0, "stored": zstandard.ZstdCompressor(level=1).compress(packed)})
+    mb, rows = held_mb(lambda: suffix_dedup._settled(1000)(pa.Table.from_pylist(blocks)).to_batches())
+    assert rows == 19 * n and mb < 120
+
+
 def brute_units(texts):
     """Characters that line and sentence hashing removes, unit by unit in the order of the documents."""
     seen, out = set(), {}
